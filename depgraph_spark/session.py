@@ -6,7 +6,7 @@ import tempfile
 import uuid
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 # A side is broadcast only when its row count is known and at most this many (narrow) rows.
@@ -42,10 +42,11 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def cut_counted(df: DataFrame) -> tuple[DataFrame, int]:
-    """``cut`` that also returns the row count, observed by the same job that writes the rows."""
+def cut_counted(df: DataFrame, which: Column | None = None) -> tuple[DataFrame, int]:
+    """``cut`` that also returns how many rows (or rows with ``which`` true) the writing job saw."""
     seen = Observation()
-    stored = cut(df.observe(seen, F.count(F.lit(1)).alias("n")))
+    counted = F.count(F.lit(1)) if which is None else F.count_if(which)
+    stored = cut(df.observe(seen, counted.alias("n")))
     return stored, int(seen.get["n"])
 
 
