@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import fixtures as fx
+from .functions import complexity, layers, paths, scoring
 from .graph import DependencyGraph
+from .operators import coupling, gate, incremental, profile, rank, resolve
 from .operators import graph as lookups
-from .operators import resolve
+from .session import checkpoint_dir
+from .sources import graph_store
 from .sources import listing as scans
 from .sources import manifests as texts
+from .streaming import changes as streams
 
 Query = Callable[[SparkSession, str], DataFrame]
 _GRAPHS: dict[tuple, DependencyGraph] = {}
@@ -99,5 +104,327 @@ def traversal_queries() -> dict[str, Query]:
     }
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder for a query that writes, beside the checkpoints."""
+    return f"{checkpoint_dir(spark)}/{name}/{uuid.uuid4().hex}"
+
+
+def listing_queries() -> dict[str, Query]:
+    def listed(run: Callable[[DataFrame], DataFrame]) -> Query:
+        return lambda s, d: run(path_listing(s, d))
+
+    def languages_of_repos(listing):
+        return scans.detect_languages(listing).select("repo", F.array_join("languages", "+").alias("languages"))
+
+    def packages(spark, sf_dir):
+        manifests = fx.manifests(spark, sf_dir)
+        return texts.package_names(scans.detected(manifests), manifests)
+
+    def scanned(spark, sf_dir):
+        root = scratch(spark, "scan")
+        docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+        docs.select("source", "doc_id", "text").write.partitionBy("source", "doc_id").text(root)
+        found = scans.scan_source_files(spark, root)
+        return found.select(
+            F.regexp_extract("repo", "source=(.*)", 1).alias("repo"),
+            F.regexp_extract("path", r"doc_id=(\d+)/", 1).cast("bigint").alias("doc_id"),
+            "content",
+        )
+
+    def saved(spark, sf_dir):
+        path = scratch(spark, "graph")
+        graph_store.write_graph(graph_of(spark, sf_dir), path)
+        return graph_store.read_graph(spark, path).edges.select("repo", "src", "dst", "n_refs")
+
+    def normalized(spark, sf_dir):
+        detour = F.concat(F.lit("./x//../y/./z/../../"), F.regexp_replace("path", "/", "/./skip/..//"))
+        return fx.files(spark, sf_dir).select("repo", paths.normalize_path(detour).alias("path"))
+
+    return {
+        "scan_source_files": scanned,
+        "discover_files": listed(scans.discover_files),
+        "language_of_file": listed(scans.language_of_file),
+        "detect_languages": listed(languages_of_repos),
+        "project_roots": listed(scans.project_roots),
+        "source_dirs": listed(scans.source_dirs),
+        "package_names": packages,
+        "path_aliases": lambda s, d: texts.path_aliases(fx.manifests(s, d)),
+        "resolve_request_path": listed(
+            lambda df: df.withColumn(
+                "resolved", paths.resolve_request_path(F.col("path"), F.lit("app"), F.lit("app/src"))
+            )
+        ),
+        "write_graph": saved,
+        "normalize_path": normalized,
+        "relative_path": listed(
+            lambda df: df.withColumn("relative", paths.relative_path(F.col("path"), F.lit("src")))
+        ),
+    }
+
+
+def import_queries() -> dict[str, Query]:
+    def parts(spark, sf_dir, sources, listing, packages, aliases):
+        dirs = scans.source_dirs(listing)
+        stems = resolve.import_stems(resolve.specifiers(sources), dirs, packages, aliases)
+        return stems, resolve.resolve_imports(stems, resolve.resolution_index(listing, dirs))
+
+    def resolved(spark, sf_dir):
+        _, rows = parts(spark, sf_dir, *corpus(spark, sf_dir))
+        nth = Window.partitionBy("repo", "src", "dst").orderBy("line_no")
+        return rows.select("repo", "src", "dst", F.row_number().over(nth).cast("bigint").alias("occurrence"))
+
+    def unresolved(spark, sf_dir):
+        sources, listing, packages, aliases = corpus(spark, sf_dir)
+        gone = fx.file_changes(spark, sf_dir).where(F.col("op") == "delete").select("repo", "path")
+        left = listing.join(gone, ["repo", "path"], "left_anti")
+        stems, rows = parts(spark, sf_dir, sources, left, packages, aliases)
+        return resolve.unresolved_imports(stems, rows).groupBy("repo", "path").agg(F.count(F.lit(1)).alias("n"))
+
+    return {"resolve_imports": resolved, "unresolved_imports": unresolved}
+
+
+def _warnings(spark, sf_dir) -> DataFrame:
+    rows = fx.table(spark, sf_dir, "warnings", ",".join([fx.graph_ctes(), fx.GATE_CTES]))
+    return rows.withColumn("broken_imports", F.array_compact(F.array("broken_import"))).drop("broken_import")
+
+
+def _acks(spark, sf_dir) -> DataFrame:
+    return fx.table(spark, sf_dir, "acks", ",".join([fx.graph_ctes(), fx.GATE_CTES]))
+
+
+def _changes(spark, sf_dir) -> DataFrame:
+    return fx.table(spark, sf_dir, "changes", ",".join([fx.graph_ctes(), fx.GATE_CTES]))
+
+
+def _change_sets(spark, sf_dir) -> DataFrame:
+    """Every change set with files, and per repository one without a file list and one with an empty list."""
+    nations = spark.read.parquet(f"{sf_dir}/nation.parquet").select(F.concat(F.lit("repo"), "n_nationkey").alias("repo"))
+    extra = nations.select("repo", F.explode(F.array(F.lit(-1), F.lit(-2))).cast("bigint").alias("change_id"))
+    given = _changes(spark, sf_dir).select("repo", "change_id").distinct().withColumn("has_files", F.lit(True))
+    return given.unionByName(extra.withColumn("has_files", F.col("change_id") == -2))
+
+
+def _commit_files(spark, sf_dir) -> DataFrame:
+    return fx.table(spark, sf_dir, "commit_files", ",".join([fx.graph_ctes(), fx.COMMIT_CTES]))
+
+
+def _commits(spark, sf_dir) -> DataFrame:
+    return fx.table(spark, sf_dir, "commits", ",".join([fx.graph_ctes(), fx.COMMIT_CTES]))
+
+
+def _recent_coupling(spark, sf_dir) -> DataFrame:
+    """Coupling as the gate mines it: from the last 500 commits of each repository."""
+
+    def build():
+        recent = rank.recent_commits(_commits(spark, sf_dir)).select("repo", "commit_id")
+        return coupling.change_coupling(_commit_files(spark, sf_dir).join(recent, ["repo", "commit_id"], "left_semi"))
+
+    return fx.stored(spark, (sf_dir, "recent_coupling"), build)
+
+
+def scalar_queries() -> dict[str, Query]:
+    def complexities(spark, sf_dir):
+        docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+        rules = F.explode(F.array(*map(F.lit, fx.LANGS)))
+        return docs.select("doc_id", "text", rules.alias("rules")).select(
+            "doc_id", "rules", complexity.cyclomatic_complexity(F.col("text"), F.col("rules")).alias("complexity")
+        )
+
+    return {
+        "classify_risk": lambda s, d: graph_of(s, d)
+        .degrees()
+        .select("repo", "path", "fan_in", scoring.classify_risk(F.col("fan_in")).alias("risk_level")),
+        "map_severity": lambda s, d: _warnings(s, d).select(
+            "id", "risk_level", scoring.map_severity(F.col("risk_level")).alias("severity")
+        ),
+        "classify_layer_typescript": lambda s, d: path_listing(s, d).withColumn(
+            "layer", layers.typescript_layer(F.col("path"))
+        ),
+        "classify_layer_dart": lambda s, d: path_listing(s, d).withColumn("layer", layers.dart_layer(F.col("path"))),
+        "cyclomatic_complexity": complexities,
+    }
+
+
+def rank_queries() -> dict[str, Query]:
+    def ranks(spark, sf_dir):
+        return fx.stored(spark, (sf_dir, "pagerank"), lambda: rank.pagerank(graph_of(spark, sf_dir)))
+
+    def scores(spark, sf_dir):
+        def build():
+            sources, *_ = corpus(spark, sf_dir)
+            found = rank.complexity_of_files(sources)
+            return rank.risk_score(graph_of(spark, sf_dir), found, ranks(spark, sf_dir))
+
+        return fx.stored(spark, (sf_dir, "scores"), build)
+
+    return {
+        "pagerank": lambda s, d: rank.pagerank(graph_of(s, d)),
+        "pagerank_percentile": lambda s, d: rank.pagerank_percentile(ranks(s, d)),
+        "risk_score": scores,
+        "risk_action": lambda s, d: scores(s, d).select(
+            "repo", "path", "composite", scoring.risk_action(F.col("composite")).alias("action")
+        ),
+        "hub_files_pagerank": lambda s, d: rank.hub_files_pagerank(scores(s, d), ranks(s, d)),
+    }
+
+
+def coupling_queries() -> dict[str, Query]:
+    def percents(spark, sf_dir):
+        rows = coupling.change_coupling(_commit_files(spark, sf_dir)).select(
+            "repo", "file", "other",
+            scoring.coupling_percent(F.col("confidence")).alias("percent"),
+            scoring.coupling_severity(F.col("confidence")).alias("severity"),
+        )
+        return rows.where(F.col("severity").isNotNull())
+
+    return {
+        "mega_commit_filter": lambda s, d: coupling.mega_commit_filter(_commit_files(s, d), 8),
+        "co_change_pairs": lambda s, d: coupling.co_change_pairs(_commit_files(s, d)),
+        "change_coupling": lambda s, d: coupling.coupling_in_graph(
+            coupling.change_coupling(_commit_files(s, d)), fx.edges(s, d)
+        ),
+        "hidden_coupling": lambda s, d: coupling.hidden_coupling(
+            coupling.change_coupling(_commit_files(s, d)), fx.edges(s, d)
+        ),
+        "coupling_percent": percents,
+        "recent_commits": lambda s, d: rank.recent_commits(_commits(s, d)),
+    }
+
+
+def gate_queries() -> dict[str, Query]:
+    def open_warnings(spark, sf_dir):
+        return gate.unacknowledged_warnings(_warnings(spark, sf_dir), _acks(spark, sf_dir))
+
+    def renamed(spark, sf_dir):
+        risk, file = F.col("risk_level"), F.col("file")
+        return open_warnings(spark, sf_dir).withColumn(
+            "file",
+            F.when(risk == "HIGH", paths.basename(file))
+            .when(risk == "MEDIUM", F.concat(F.lit("home/"), file))
+            .when(risk == "LOW", F.expr("substring(file, 5)"))
+            .when(risk == "SAFE", F.concat(F.lit("x"), file))
+            .otherwise(file),
+        )
+
+    def found_warnings(spark, sf_dir):
+        opened = open_warnings(spark, sf_dir)
+        matched = gate.warnings_for_files(_changes(spark, sf_dir), opened, _change_sets(spark, sf_dir))
+        return gate.warning_issues(matched, opened)
+
+    return {
+        "unacknowledged_warnings": lambda s, d: open_warnings(s, d).select("repo", "id", "ts", "file", "risk_level"),
+        "acknowledge_warnings": lambda s, d: gate.acknowledge_warnings(
+            _warnings(s, d), _acks(s, d), F.lit("2024-06-01 00:00:00").cast("timestamp_ntz")
+        ),
+        "warnings_for_files": lambda s, d: gate.warnings_for_files(_changes(s, d), renamed(s, d), _change_sets(s, d)),
+        "warning_issues": found_warnings,
+        "cycles_for_files": lambda s, d: graph_of(s, d).cycles_for_files(_changes(s, d)),
+        "cycle_issues": lambda s, d: gate.cycle_issues(graph_of(s, d), _changes(s, d)),
+        "hub_issues": lambda s, d: gate.hub_issues(graph_of(s, d), _changes(s, d)),
+        "coupling_issues": lambda s, d: gate.coupling_issues(graph_of(s, d), _changes(s, d), _recent_coupling(s, d)),
+        "gate_verdict": lambda s, d: gate.gate_verdict(
+            graph_of(s, d), _change_sets(s, d), _changes(s, d), _warnings(s, d), _acks(s, d), _recent_coupling(s, d)
+        ),
+    }
+
+
+def incremental_queries() -> dict[str, Query]:
+    def deleted(spark, sf_dir):
+        gone = fx.file_changes(spark, sf_dir).where(F.col("op") == "delete")
+        return gone.select("repo", F.lit(1).alias("change_id"), F.col("path").alias("file"))
+
+    def before(spark, sf_dir):
+        """Files, stems, edges, folders and packages of the first version."""
+        sources, listing, packages, aliases = corpus(spark, sf_dir)
+        dirs = fx.stored(spark, (sf_dir, "dirs"), lambda: scans.source_dirs(listing))
+        stems = fx.stored(
+            spark, (sf_dir, "stems"),
+            lambda: resolve.import_stems(resolve.specifiers(sources), dirs, packages, aliases),
+        )
+        return fx.files(spark, sf_dir), stems, fx.edges(spark, sf_dir), dirs, packages, aliases
+
+    def applied(spark, sf_dir):
+        files, stems, edges, dirs, packages, aliases = before(spark, sf_dir)
+        feed = fx.file_changes(spark, sf_dir)
+        return incremental.apply_file_changes(files, stems, edges, feed, dirs, packages, aliases)[2]
+
+    def feed_folder(spark, sf_dir):
+        """The change feed as files in order of time, for a stream to pick up one by one."""
+        path = scratch(spark, "feed")
+        feed = fx.file_changes(spark, sf_dir)
+        late = F.col("ts") >= F.lit("2024-01-02").cast("timestamp")
+        feed.where(~late).coalesce(1).write.parquet(path)
+        feed.where(late).coalesce(1).write.mode("append").parquet(path)
+        return spark.readStream.schema(streams.FILE_CHANGES).option("maxFilesPerTrigger", 1).parquet(path)
+
+    def streamed(spark, sf_dir):
+        files, stems, edges, dirs, packages, aliases = before(spark, sf_dir)
+        state = streams.start_state(spark, scratch(spark, "state"), files, stems, edges)
+        query = streams.file_change_stream(
+            feed_folder(spark, sf_dir), state, scratch(spark, "progress"), dirs, packages, aliases
+        )
+        query.awaitTermination()
+        return state.current("edges").select("repo", "src", "dst", "n_refs")
+
+    def warned(spark, sf_dir):
+        out = scratch(spark, "warned")
+        query = streams.warning_stream(
+            feed_folder(spark, sf_dir), fx.edges(spark, sf_dir), out, scratch(spark, "progress")
+        )
+        query.awaitTermination()
+        return spark.read.parquet(out).select("repo", "file", "importer")
+
+    def refreshed(spark, sf_dir):
+        sources, listing, packages, aliases = corpus(spark, sf_dir)
+        return incremental.refresh_graph(sources, listing, scratch(spark, "refresh"), packages, aliases)
+
+    return {
+        "edge_diff": lambda s, d: incremental.edge_diff(fx.edges(s, d), fx.edited_edges(s, d)),
+        "invalidation_set": lambda s, d: incremental.invalidation_set(fx.edges(s, d), fx.edited_edges(s, d)),
+        "broken_imports": lambda s, d: incremental.broken_imports(fx.edges(s, d), deleted(s, d)),
+        "broken_import_warnings": lambda s, d: incremental.broken_import_warnings(graph_of(s, d), deleted(s, d)),
+        "apply_file_changes": applied,
+        "refresh_graph": refreshed,
+        "file_change_stream": streamed,
+        "warning_stream": warned,
+        "open_warning_state": lambda s, d: streams.open_warning_state(_warnings(s, d), _acks(s, d)),
+    }
+
+
+def profile_queries() -> dict[str, Query]:
+    def overview(spark, sf_dir):
+        sources, *_ = corpus(spark, sf_dir)
+        newlines = F.length("content") - F.length(F.replace(F.col("content"), F.lit("\n"), F.lit("")))
+        lines = sources.select("repo", "path", (newlines + 1).alias("lines"))
+        g = graph_of(spark, sf_dir)
+        cyclic = g.cyclic_clusters().select("repo", F.col("member").alias("path"))
+        return profile.project_profile(g.files, g.edges, lines, cyclic)
+
+    def context(spark, sf_dir):
+        docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.concat(F.lit("o"), "doc_id").alias("name"), "text")
+        bodies = fx.table(spark, sf_dir, "files", fx.graph_ctes()).join(docs, "name", "left")
+        bodies = bodies.select("repo", "path", F.coalesce("text", F.lit("")).alias("content"))
+        rows = profile.analysis_context(bodies, fx.edges(spark, sf_dir))
+        heads = F.aggregate("dependents", F.lit(0).cast("bigint"), lambda n, x: n + F.length(x["head"]))
+        return rows.select(
+            "repo", "path", "content",
+            F.coalesce(F.array_join("dependents.dependent", ","), F.lit("")).alias("dependents"),
+            F.coalesce(heads, F.lit(0)).alias("head_chars"),
+        )
+
+    return {"project_profile": overview, "analysis_context": context}
+
+
 def all_queries() -> dict[str, Query]:
-    return {**graph_queries(), **traversal_queries()}
+    return {
+        **listing_queries(),
+        **graph_queries(),
+        **import_queries(),
+        **scalar_queries(),
+        **traversal_queries(),
+        **rank_queries(),
+        **coupling_queries(),
+        **gate_queries(),
+        **incremental_queries(),
+        **profile_queries(),
+    }

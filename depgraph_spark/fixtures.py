@@ -64,8 +64,20 @@ def _path(lang: str, name: str) -> str:
     return f"concat(CASE {lang} {lead} END, {_folder(name)}, '/', {name}, CASE {lang} {tail} END)"
 
 
-def graph_ctes(lang: str | None = None) -> str:
-    """CTEs refs(repo, lang, src_name, dst_name), edges(repo, src, dst, n_refs), files(repo, lang, name, path)."""
+def graph_ctes(lang: str | None = None, edited: bool = False) -> str:
+    """CTEs refs(repo, lang, src_name, dst_name), edges(repo, src, dst, n_refs), files(repo, lang, name, path).
+
+    ``edited`` gives the second version: finished orders no longer import the parts they hold fewer than 10 of, import
+    their nation, and suppliers short of money are gone.
+    """
+    kept_lines = "WHERE NOT (o_orderstatus = 'F' AND l_quantity < 10)" if edited else ""
+    to_nation = (
+        "UNION ALL SELECT repo, lang, concat('o', o_orderkey), concat('n', c_nationkey) FROM placed_orders "
+        "WHERE o_orderstatus = 'F'"
+        if edited
+        else ""
+    )
+    gone = "WHERE dst_name NOT IN (SELECT name FROM gone)" if edited else ""
     return f"""
 placed_orders AS (
   SELECT o_orderkey, o_custkey, o_orderstatus, o_orderpriority, o_orderdate, c_nationkey,
@@ -76,11 +88,13 @@ chained AS (
          lag(o_orderpriority) OVER w AS prev_priority
   FROM placed_orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)),
 placed_lines AS (
-  SELECT repo, lang, l_orderkey, l_partkey, l_suppkey, l_linenumber
+  SELECT repo, lang, l_orderkey, l_partkey, l_suppkey, l_quantity, o_orderstatus
   FROM {{lineitem}} JOIN placed_orders ON l_orderkey = o_orderkey),
-refs AS (
+gone AS (SELECT concat('s', s_suppkey) AS name FROM {{supplier}} WHERE s_acctbal < 1000),
+all_refs AS (
   SELECT repo, lang, concat('o', l_orderkey) AS src_name, concat('p', l_partkey) AS dst_name FROM placed_lines
-  UNION ALL SELECT repo, lang, concat('p', l_partkey), concat('s', l_suppkey) FROM placed_lines
+            {kept_lines}
+  UNION ALL SELECT repo, lang, concat('p', l_partkey), concat('s', l_suppkey) FROM placed_lines {to_nation}
   UNION ALL SELECT repo, lang, concat('o', o_orderkey), concat('c', o_custkey) FROM placed_orders
   UNION ALL SELECT repo, lang, concat('o', o_orderkey), concat('o', prev) FROM chained WHERE prev_status = o_orderstatus
   UNION ALL SELECT repo, lang, concat('o', prev), concat('o', o_orderkey) FROM chained
@@ -89,6 +103,7 @@ refs AS (
             concat('c', c_custkey), concat('n', c_nationkey) FROM {{customer}}
   UNION ALL SELECT concat('repo', n_nationkey), {_lang_of("n_nationkey", lang)},
             concat('n', n_nationkey), concat('r', n_regionkey) FROM {{nation}}),
+refs AS (SELECT * FROM all_refs {gone}),
 edges AS (
   SELECT repo, {_path("lang", "src_name")} AS src, {_path("lang", "dst_name")} AS dst, count(*) AS n_refs
   FROM refs GROUP BY 1, 2, 3),
@@ -146,12 +161,6 @@ changes AS (SELECT repo, change_id, PATH_OF_NAME AS file FROM change_names)""".r
 ).replace("PATH_OF", _path("lang", "concat('o', event_id)"))
 
 
-# The second version of the graph: lines under quantity 3 are gone, and orders import their customer's nation.
-CHANGED_CTES = """
-removed_refs AS (
-  SELECT DISTINCT repo, lang, concat('o', l_orderkey) AS src_name FROM placed_lines)"""
-
-
 def load(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     return {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES}
 
@@ -231,14 +240,44 @@ def _line(lang: str, by_alias: bool = False):
     return text("require_relative '../", slashed, "'")
 
 
+def edited_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stored(spark, (sf_dir, "edited"), lambda: run(spark, sf_dir, graph_ctes(edited=True), "SELECT * FROM edges"))
+
+
+def file_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``file_changes(repo, path, content, op, ts)``: the step from the first version to the second, with a stale row.
+
+    Every edited order also has an earlier, empty version in the feed that the later one replaces.
+    """
+
+    def build():
+        after = _render(spark, sf_dir, None, False, edited=True)
+        orders = run(
+            spark, sf_dir, graph_ctes(),
+            f"SELECT repo, {_path('lang', 'name')} AS path FROM (SELECT repo, lang, concat('o', o_orderkey) AS name "
+            "FROM placed_orders WHERE o_orderstatus = 'F') AS e",
+        )
+        edits = after.join(orders, ["repo", "path"], "left_semi").withColumn("op", F.lit("change"))
+        stale = edits.withColumn("content", F.lit(""))
+        gone = (
+            table(spark, sf_dir, "files", graph_ctes())
+            .join(run(spark, sf_dir, graph_ctes(), "SELECT name FROM gone"), "name", "left_semi")
+            .select("repo", "path", F.lit(None).cast("string").alias("content"), F.lit("delete").alias("op"))
+        )
+        new = edits.unionByName(gone).withColumn("ts", F.lit("2024-01-02").cast("timestamp"))
+        return stale.withColumn("ts", F.lit("2024-01-01").cast("timestamp")).unionByName(new)
+
+    return stored(spark, (sf_dir, "file_changes"), build)
+
+
 def source_files(spark: SparkSession, sf_dir: str, lang: str | None = None, by_alias: bool = False) -> DataFrame:
     """``source_files(repo, path, content)``: the graph rendered as source text, with whole documents as file bodies."""
     return stored(spark, (sf_dir, "texts", lang, by_alias), lambda: _render(spark, sf_dir, lang, by_alias))
 
 
-def _render(spark: SparkSession, sf_dir: str, lang: str | None, by_alias: bool) -> DataFrame:
+def _render(spark: SparkSession, sf_dir: str, lang: str | None, by_alias: bool, edited: bool = False) -> DataFrame:
     app = F.concat(F.lit("nation_"), F.regexp_extract("repo", r"\d+", 0))
-    refs = run(spark, sf_dir, graph_ctes(lang), f"SELECT *, {_folder('dst_name')} AS folder FROM refs").withColumn(
+    refs = run(spark, sf_dir, graph_ctes(lang, edited), f"SELECT *, {_folder('dst_name')} AS folder FROM refs").withColumn(
         "app", app
     )
     line = F.lit(None).cast("string")

@@ -53,3 +53,18 @@ def reach(steps: DataFrame, seeds: DataFrame | None = None, steps_rows: int | No
             frontier, rows = cut_counted(fresh.withColumn("level", F.lit(level)))
             seen.append(frontier)
     return _all(seen)
+
+
+def spread_set(steps: DataFrame, seeds: DataFrame) -> DataFrame:
+    """``(node)``: the seeds and everything reachable from them by ``steps(a, b)``, as one set."""
+    spark = steps.sparkSession
+    steps, steps_rows = cut_counted(steps)
+    with shuffle_partitions(spark, loop_partitions(spark, steps_rows)):
+        frontier, rows = cut_counted(seeds.select("node").distinct())
+        seen = [frontier]
+        while rows:
+            ahead = steps.join(small(frontier.select(F.col("node").alias("a")), rows), "a")
+            found = ahead.select(F.col("b").alias("node")).distinct()
+            frontier, rows = cut_counted(found.join(_all(seen), "node", "left_anti"))
+            seen.append(frontier)
+    return _all(seen)
