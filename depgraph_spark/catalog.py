@@ -199,7 +199,7 @@ def _changes(spark, sf_dir) -> DataFrame:
 def _change_sets(spark, sf_dir) -> DataFrame:
     """Every change set with files, and per repository one without a file list and one with an empty list."""
     nations = spark.read.parquet(f"{sf_dir}/nation.parquet").select(F.concat(F.lit("repo"), "n_nationkey").alias("repo"))
-    extra = nations.select("repo", F.explode(F.array(F.lit(-1), F.lit(-2))).cast("bigint").alias("change_id"))
+    extra = nations.select("repo", F.explode(F.array(F.lit(-1).cast("bigint"), F.lit(-2).cast("bigint"))).alias("change_id"))
     given = _changes(spark, sf_dir).select("repo", "change_id").distinct().withColumn("has_files", F.lit(True))
     return given.unionByName(extra.withColumn("has_files", F.col("change_id") == -2))
 

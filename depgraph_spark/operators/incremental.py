@@ -2,19 +2,17 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.paths import parent_dirs
 from ..functions.scoring import classify_risk
 from ..graph import DependencyGraph
 from ..plans.encode import assign_ids
 from ..plans.reach import spread_set
+from ..session import cut
 from ..sources.listing import graph_files
 from .languages import languages
-from .resolve import answered_stems, count_edges, import_stems, resolution_index, resolve_imports, specifiers
+from .resolve import count_edges, import_stems, language_stems, resolution_index, resolve_imports, specifiers
 
 
 def edge_diff(old: DataFrame, new: DataFrame) -> DataFrame:
@@ -75,12 +73,10 @@ def latest_changes(changes: DataFrame) -> DataFrame:
 
 def stems_answered_by(paths: DataFrame) -> DataFrame:
     """``(repo, lang, stem)`` that any of ``paths(repo, path)`` could be the answer to, in any language."""
-    path = F.col("path")
-    parts = []
-    for k in languages():
-        stems = parent_dirs(path) if k.to_directory else F.transform(answered_stems(path, k.suffixes), lambda a: a["stem"])
-        parts.append(paths.select("repo", F.lit(k.id).alias("lang"), F.explode(stems).alias("stem")))
-    return reduce(DataFrame.unionByName, parts).distinct()
+    every = F.explode(F.array(*[F.lit(k.id) for k in languages()]))
+    rows = paths.select("repo", "path", every.alias("lang"))
+    stems = F.explode(language_stems(F.col("path"), F.col("lang")))
+    return rows.select("repo", "lang", stems.alias("a")).select("repo", "lang", "a.stem").distinct()
 
 
 def apply_file_changes(
@@ -94,26 +90,27 @@ def apply_file_changes(
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """``(files, stems, edges)`` after a batch of added, changed and deleted files; equal to a full rebuild.
 
-    Added and changed texts are read again. Every other file keeps its edges unless one of its import stems could be
+    Work grows with the batch: the changed rows and what they touch are written once and joined, small, against the
+    stored tables. Added and changed texts are read again. Every other file keeps its edges unless one of its import stems could be
     answered by an added or deleted path: a new file can outrank or rescue a target, a deleted one lets it fall back.
     ``files(repo, path)``, ``stems`` from ``import_stems``, ``dirs`` the source folders (if those change, rebuild).
     """
-    last = latest_changes(changes)
+    last = cut(latest_changes(changes))
     gone = last.where(F.col("op") == "delete").select("repo", "path")
     texts = last.where(F.col("op") != "delete").select("repo", "path", "content")
     present = files.select("repo", "path")
     eligible = graph_files(texts.select("repo", "path"), dirs).select("repo", "path").distinct()
     added = eligible.join(present, ["repo", "path"], "left_anti")
     new_files = present.join(gone, ["repo", "path"], "left_anti").unionByName(added)
-    fresh = import_stems(specifiers(texts), dirs, packages, aliases)
+    fresh = cut(import_stems(specifiers(texts), dirs, packages, aliases))
     new_stems = stems.join(last.select("repo", "path"), ["repo", "path"], "left_anti").unionByName(fresh)
-    moved = stems_answered_by(added.unionByName(gone))
-    touched = (
+    moved = cut(stems_answered_by(added.unionByName(gone)))
+    touched = cut(
         new_stems.join(moved, ["repo", "lang", "stem"], "left_semi").select("repo", "path")
         .unionByName(texts.select("repo", "path"))
         .distinct()
     )
-    again = new_stems.join(touched, ["repo", "path"], "left_semi")
+    again = cut(new_stems.join(touched, ["repo", "path"], "left_semi"))
     wanted = again.select("repo", "lang", "stem").distinct()
     index = resolution_index(new_files, dirs).join(wanted, ["repo", "lang", "stem"], "left_semi")
     redone = count_edges(resolve_imports(again, index))

@@ -12,7 +12,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.paths import parent_dirs, resolve_under
-from ..sources.listing import discover_files, graph_files, source_dirs
+from ..session import cut
+from ..sources.listing import discover_files, graph_files, is_source, source_dirs
 from .languages import languages, trim_line
 
 
@@ -106,6 +107,19 @@ def answered_stems(path: Column, suffixes: tuple[str, ...]) -> Column:
     return F.array_compact(F.array(*out))
 
 
+def language_stems(path: Column, lang: Column) -> Column:
+    """Array of ``(rank, stem)`` that the file ``path`` answers to in the language ``lang``."""
+    out = F.array().cast("array<struct<rank:int,stem:string>>")
+    for k in languages():
+        if k.to_directory:
+            above = F.transform(parent_dirs(path), lambda d: F.struct(F.lit(0).alias("rank"), d.alias("stem")))
+            stems = F.when(is_source(path, k), above).otherwise(F.array().cast("array<struct<rank:int,stem:string>>"))
+        else:
+            stems = answered_stems(path, k.suffixes)
+        out = F.when(lang == k.id, stems).otherwise(out)
+    return out
+
+
 def resolution_index(files: DataFrame, langs: DataFrame, strict_dir_shadow: bool = False) -> DataFrame:
     """``(repo, lang, stem, dst, known)``: the file each stem resolves to, for every language of the repository.
 
@@ -116,16 +130,12 @@ def resolution_index(files: DataFrame, langs: DataFrame, strict_dir_shadow: bool
     if "known" not in files.columns:
         files = files.withColumn("known", F.lit(True))
     pairs = files.select("repo", "path", "known").join(langs.select("repo", "lang").distinct(), "repo")
-    none = F.array().cast("array<struct<rank:int,stem:string>>")
-    by_file = [k for k in languages() if not k.to_directory]
-    answers = none
-    for k in by_file:
-        answers = F.when(F.col("lang") == k.id, answered_stems(F.col("path"), k.suffixes)).otherwise(answers)
-    keys = pairs.select("repo", "lang", "path", "known", F.explode(answers).alias("a")).select(
-        "repo", "lang", "path", "known", "a.rank", "a.stem"
-    )
+    # A folder import keeps every file of the language below it: there the file itself is part of the key.
+    spread = [k.id for k in languages() if k.to_directory]
+    keys = pairs.select("repo", "lang", "path", "known", F.explode(language_stems(F.col("path"), F.col("lang"))).alias("a"))
+    keys = keys.select("repo", "lang", "path", "known", "a.rank", "a.stem")
     if strict_dir_shadow:
-        bare_first = [k.id for k in by_file if len(k.suffixes) > 1 and k.suffixes[0] == ""]
+        bare_first = [k.id for k in languages() if len(k.suffixes) > 1 and k.suffixes[0] == ""]
         folders = pairs.where(F.col("lang").isin(bare_first)).select(
             "repo", "lang", F.explode(parent_dirs(F.col("path"))).alias("stem")
         )
@@ -134,16 +144,9 @@ def resolution_index(files: DataFrame, langs: DataFrame, strict_dir_shadow: bool
                 "repo", "lang", F.col("stem").alias("path"), F.lit(False).alias("known"), F.lit(0).alias("rank"), "stem"
             )
         )
-    best = keys.groupBy("repo", "lang", "stem").agg(F.min_by(F.struct("path", "known"), "rank").alias("best"))
-    index = best.select("repo", "lang", "stem", F.col("best.path").alias("dst"), F.col("best.known").alias("known"))
-    for k in [k for k in languages() if k.to_directory]:
-        inside = discover_files(files).where(F.col("lang") == k.id)
-        index = index.unionByName(
-            inside.select(
-                "repo", "lang", F.explode(parent_dirs(F.col("path"))).alias("stem"), F.col("path").alias("dst"), "known"
-            )
-        )
-    return index
+    each = F.when(F.col("lang").isin(spread), F.col("path")).otherwise(F.lit("")).alias("each")
+    best = keys.groupBy("repo", "lang", "stem", each).agg(F.min_by(F.struct("path", "known"), "rank").alias("best"))
+    return best.select("repo", "lang", "stem", F.col("best.path").alias("dst"), F.col("best.known").alias("known"))
 
 
 def resolve_imports(stems: DataFrame, index: DataFrame) -> DataFrame:
@@ -177,12 +180,14 @@ def dependency_edges(
     langs: list[str] | None = None,
     strict_dir_shadow: bool = False,
 ) -> DataFrame:
-    """``edges(repo, src, dst, n_refs)`` of all languages from source texts, in one lazy plan.
+    """``edges(repo, src, dst, n_refs)`` of all languages from source texts; the texts are read once.
+
+    The source folders, a few rows per repository, are written first: three joins use them, with their size known.
 
     ``listing(repo, path)`` is every file of the repositories (manifests included); the texts by default.
     """
     listing = source_files.select("repo", "path") if listing is None else listing.select("repo", "path")
-    dirs = source_dirs(listing)
+    dirs = cut(source_dirs(listing))
     members = graph_files(listing, dirs).select("repo", "path").distinct().withColumn("known", F.lit(True))
     files = listing.join(members, ["repo", "path"], "left").withColumn("known", F.coalesce("known", F.lit(False)))
     stems = import_stems(specifiers(source_files, langs), dirs, packages, aliases)

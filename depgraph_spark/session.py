@@ -66,11 +66,16 @@ def loop_partitions(spark: SparkSession, rows: int) -> int:
 
 @contextmanager
 def shuffle_partitions(spark: SparkSession, n: int):
-    """Run the eager rounds of a loop with ``n`` shuffle partitions so that its state stays aligned."""
-    key = "spark.sql.shuffle.partitions"
-    before = spark.conf.get(key)
-    spark.conf.set(key, str(n))
+    """Run the rounds of a loop with ``n`` shuffle partitions, and keep persisted tables laid out in that many."""
+    values = {
+        "spark.sql.shuffle.partitions": str(n),
+        "spark.sql.optimizer.canChangeCachedPlanOutputPartitioning": "false",
+    }
+    before = {key: spark.conf.get(key) for key in values}
+    for key, value in values.items():
+        spark.conf.set(key, value)
     try:
         yield
     finally:
-        spark.conf.set(key, before)
+        for key, value in before.items():
+            spark.conf.set(key, value)

@@ -61,14 +61,15 @@ def _ends_with_any(path: Column, endings) -> Column:
     return reduce(Column.__or__, [path.endswith(e) for e in endings], F.lit(False))
 
 
-def _is_source(path: Column, lang: Language) -> Column:
+def is_source(path: Column, lang: Language) -> Column:
+    """The file name is one of the language's sources (endings are case-sensitive)."""
     return _ends_with_any(path, lang.extensions) & ~_ends_with_any(path, lang.skip_endings)
 
 
 def discover_files(listing: DataFrame) -> DataFrame:
     """Files of any registered language outside skipped folders, one row per (file, language)."""
     path = F.col("path")
-    langs = F.array_compact(F.array(*[F.when(_is_source(path, lang), F.lit(lang.id)) for lang in languages()]))
+    langs = F.array_compact(F.array(*[F.when(is_source(path, lang), F.lit(lang.id)) for lang in languages()]))
     return listing.where(~has_skipped_folder(path)).withColumn("lang", F.explode(langs))
 
 
