@@ -170,7 +170,7 @@ def import_queries() -> dict[str, Query]:
 
     def resolved(spark, sf_dir):
         _, rows = parts(spark, sf_dir, *corpus(spark, sf_dir))
-        nth = Window.partitionBy("repo", "src", "dst").orderBy("line_no")
+        nth = Window.partitionBy("repo", "src", "dst").orderBy("import_no")
         return rows.select("repo", "src", "dst", F.row_number().over(nth).cast("bigint").alias("occurrence"))
 
     def unresolved(spark, sf_dir):

@@ -155,7 +155,8 @@ acks AS (
 change_names AS (
   SELECT repo, lang, l_orderkey AS change_id, concat('p', l_partkey) AS name FROM placed_lines
   UNION SELECT repo, lang, o_orderkey, concat('o', o_orderkey) FROM placed_orders
-  UNION SELECT repo, lang, o_orderkey, concat('c', o_custkey) FROM placed_orders),
+  UNION SELECT repo, lang, o_orderkey, concat('c', o_custkey) FROM placed_orders
+  UNION SELECT repo, lang, l_orderkey, concat('s', l_suppkey) FROM placed_lines),
 changes AS (SELECT repo, change_id, PATH_OF_NAME AS file FROM change_names)""".replace(
     "PATH_OF_NAME", _path("lang", "name")
 ).replace("PATH_OF", _path("lang", "concat('o', event_id)"))

@@ -10,7 +10,7 @@ specifier stays one row per stem instead of one per candidate path.
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -22,6 +22,8 @@ _WIDE = [0x00A0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F,
 BLANKS = "\t\n\x0b\x0c\r " + "".join(chr(c) for c in _WIDE)
 _BLANK_CLASS = r"\t\n\x0B\f\r " + "".join(f"\\u{c:04X}" for c in _WIDE)
 S = f"[{_BLANK_CLASS}]"
+GAP = S.replace(r"\n", "")
+TEXT = f"[^{_BLANK_CLASS}]"
 NS = f"[^{_BLANK_CLASS}]"
 ANY = r"[^\n\r\u2028\u2029]"
 QUOTE = r"""['"]"""
@@ -50,7 +52,6 @@ class Language:
     uses_source_dir: bool = False
     to_directory: bool = False
     aliases: bool = False
-    line_prefixes: tuple[str, ...] = field(default=())
 
 
 def trim_line(line: Column) -> Column:
@@ -65,27 +66,18 @@ def _first(*found: Column) -> Column:
     return F.get(F.filter(F.array(*found), lambda s: s != ""), 0)
 
 
-def all_lines(content: Column) -> Column:
-    return F.split(content, "\n")
+def lines_starting(*starts: str) -> Callable[[Column], Column]:
+    """The lines whose first non-blank text matches one of the patterns: one scan of the text, no row per line."""
+    pattern = rf"(?md)^{GAP}*+(?:{'|'.join(starts)})[^\n]*"
+    return lambda content: F.regexp_extract_all(content, F.lit(pattern), 0)
 
 
-def header_lines(*starts: str) -> Callable[[Column], Column]:
-    """Lines before the first non-blank one that starts with none of ``starts``."""
-
-    def cut_header(content: Column) -> Column:
-        lines = F.split(content, "\n")
-
-        def is_body(line: Column) -> Column:
-            text = trim_line(line)
-            body = text != ""
-            for start in starts:
-                body = body & ~text.startswith(start)
-            return body
-
-        first_body = F.array_position(F.transform(lines, is_body), True)
-        return F.when(first_body > 0, F.slice(lines, F.lit(1), first_body.cast("int") - 1)).otherwise(lines)
-
-    return cut_header
+def header_lines(words: tuple[str, ...], signs: tuple[str, ...]) -> Callable[[Column], Column]:
+    """Import lines before the first non-blank line that starts with none of ``words`` (and a blank) or ``signs``."""
+    known = [rf"(?:{'|'.join(words)}) {GAP}*+{TEXT}", *signs]
+    body = rf"(?md)^{GAP}*+(?!{'|'.join(known)}){TEXT}[\s\S]*"
+    imports = lines_starting("import")
+    return lambda content: imports(F.regexp_replace(content, body, ""))
 
 
 def _stem(folder: Column, rest: Column) -> Column:
@@ -226,18 +218,17 @@ _BUILT_IN = [
     Language(
         "dart",
         (".dart",),
-        header_lines("import ", "//", "library ", "part ", "export "),
+        header_lines(("import", "library", "part", "export"), ("//",)),
         _dart_spec,
         _dart_bases,
         manifests=("pubspec.yaml",),
         source_dirs=(("lib",),),
         uses_source_dir=True,
-        line_prefixes=("import",),
     ),
     Language(
         "typescript",
         (".ts", ".tsx", ".js", ".jsx"),
-        all_lines,
+        lines_starting(r"""[iecvl][^\n'"]*['"]"""),
         _ts_spec,
         _ts_bases,
         ("", ".ts", ".tsx", ".js", ".jsx", "/index.ts", "/index.tsx", "/index.js"),
@@ -246,12 +237,11 @@ _BUILT_IN = [
         skip_endings=(".d.ts",),
         spread_dirs=True,
         aliases=True,
-        line_prefixes=("i", "e", "c", "l", "v"),
     ),
     Language(
         "python",
         (".py",),
-        all_lines,
+        lines_starting("from", "import"),
         _py_spec,
         _py_bases,
         (".py", "/__init__.py"),
@@ -260,7 +250,6 @@ _BUILT_IN = [
         spread_dirs=True,
         fallback_root=True,
         uses_source_dir=True,
-        line_prefixes=("from", "import"),
     ),
     Language(
         "go",
@@ -272,53 +261,48 @@ _BUILT_IN = [
         skip_endings=("_test.go",),
         fallback_root=True,
         to_directory=True,
-        line_prefixes=('"',),
     ),
     Language(
         "rust",
         (".rs",),
-        all_lines,
+        lines_starting("use", "mod"),
         _rust_spec,
         _rust_bases,
         (".rs", "/mod.rs"),
         manifests=("Cargo.toml",),
         source_dirs=(("src",),),
         uses_source_dir=True,
-        line_prefixes=("use", "mod"),
     ),
     Language(
         "java",
         (".java",),
-        header_lines("import ", "package ", "//", "/*", "*"),
+        header_lines(("import", "package"), ("//", r"/\*", r"\*")),
         _java_spec,
         _java_bases,
         manifests=("pom.xml", "build.gradle", "build.gradle.kts"),
         source_dirs=(("src/main/java",), ("src",)),
         uses_source_dir=True,
-        line_prefixes=("import",),
     ),
     Language(
         "cpp",
         (".cpp", ".cc", ".cxx", ".c", ".h", ".hpp", ".hxx"),
-        all_lines,
+        lines_starting("#include"),
         _cpp_spec,
         _cpp_bases,
         manifests=("CMakeLists.txt", "Makefile", "meson.build"),
         source_dirs=(("src", "include"),),
         fallback_root=True,
         uses_source_dir=True,
-        line_prefixes=("#include",),
     ),
     Language(
         "ruby",
         (".rb",),
-        all_lines,
+        lines_starting("require_relative"),
         _ruby_spec,
         _ruby_bases,
         manifests=("Gemfile",),
         source_dirs=(("lib",),),
         fallback_root=True,
-        line_prefixes=("require_relative",),
     ),
 ]
 _REGISTRY: list[Language] = list(_BUILT_IN)

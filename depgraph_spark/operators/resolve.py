@@ -26,24 +26,20 @@ def _by_lang(lang: Column, value_of, empty: Column, ids=None) -> Column:
 
 
 def specifiers(source_files: DataFrame, langs: list[str] | None = None) -> DataFrame:
-    """``(repo, path, lang, line_no, spec)``: one pass over the texts, no shuffle, at most one row per line."""
+    """``(repo, path, lang, import_no, spec)``: one scan of the texts, no shuffle.
+
+    ``import_no`` numbers the candidate lines of a file."""
     no_lines = F.array().cast("array<string>")
     files = discover_files(source_files)
     if langs is not None:
         files = files.where(F.col("lang").isin(langs))
     lang, line = F.col("lang"), F.col("line")
-    trimmed = F.transform(_by_lang(lang, lambda k: k.lines(F.col("content")), no_lines, langs), trim_line)
-    lines = files.select("repo", "path", "lang", F.posexplode(trimmed).alias("line_no", "line"))
-    guard = _by_lang(
-        lang,
-        lambda k: reduce(Column.__or__, [line.startswith(p) for p in k.line_prefixes]) if k.line_prefixes else F.lit(True),
-        F.lit(False),
-        langs,
-    )
+    found = F.transform(_by_lang(lang, lambda k: k.lines(F.col("content")), no_lines, langs), trim_line)
+    lines = files.select("repo", "path", "lang", F.posexplode(found).alias("import_no", "line"))
     spec = _by_lang(lang, lambda k: k.spec(line), F.lit(None).cast("string"), langs)
     # Exploding a list of zero or one evaluates the patterns once; a filter on the column would run them twice.
     hit = F.filter(F.array(spec), lambda s: s != "")
-    return lines.where(guard).select("repo", "path", "lang", "line_no", F.explode(hit).alias("spec"))
+    return lines.select("repo", "path", "lang", "import_no", F.explode(hit).alias("spec"))
 
 
 def import_stems(
@@ -52,7 +48,7 @@ def import_stems(
     packages: DataFrame | None = None,
     aliases: DataFrame | None = None,
 ) -> DataFrame:
-    """``(repo, path, lang, source_dir, line_no, spec, ord, stem)``: where each specifier may point, best first.
+    """``(repo, path, lang, source_dir, import_no, spec, ord, stem)``: where each specifier may point, best first.
 
     Only files below a source folder of their language take part. This is the table to keep beside the edges for
     incremental updates: a changed file touches exactly the specifiers whose stem it can answer to.
@@ -65,7 +61,7 @@ def import_stems(
     else:
         placed = placed.join(packages.select("repo", "lang", "package"), ["repo", "lang"], "left")
     package = F.coalesce("package", F.when(F.col("lang") != "go", F.col("repo")).otherwise(F.lit("")))
-    cols = ["repo", "path", "lang", "source_dir", "line_no", "spec"]
+    cols = ["repo", "path", "lang", "source_dir", "import_no", "spec"]
     stems = _by_lang(
         F.col("lang"),
         lambda k: k.bases(F.col("spec"), F.col("path"), F.col("source_dir"), package),
@@ -150,21 +146,21 @@ def resolution_index(files: DataFrame, langs: DataFrame, strict_dir_shadow: bool
 
 
 def resolve_imports(stems: DataFrame, index: DataFrame) -> DataFrame:
-    """``(repo, src, line_no, spec, dst)``: per import the files of the first stem that exists, graph files only."""
+    """``(repo, src, import_no, spec, dst)``: per import the files of the first stem that exists, graph files only."""
     hits = stems.join(index, ["repo", "lang", "stem"]).withColumnRenamed("path", "src").repartition("repo", "src")
-    one = Window.partitionBy("repo", "src", "source_dir", "line_no")
+    one = Window.partitionBy("repo", "src", "source_dir", "import_no")
     return (
         hits.withColumn("first", F.min("ord").over(one))
         .where((F.col("ord") == F.col("first")) & F.col("known"))
-        .select("repo", "src", "line_no", "spec", "dst")
-        .dropDuplicates(["repo", "src", "line_no", "dst"])
+        .select("repo", "src", "import_no", "spec", "dst")
+        .dropDuplicates(["repo", "src", "import_no", "dst"])
     )
 
 
 def unresolved_imports(stems: DataFrame, resolved: DataFrame) -> DataFrame:
-    """``(repo, path, line_no, spec)``: imports that look internal (they have a stem) but reach no graph file."""
-    done = resolved.select("repo", F.col("src").alias("path"), "line_no").distinct()
-    return stems.select("repo", "path", "line_no", "spec").distinct().join(done, ["repo", "path", "line_no"], "left_anti")
+    """``(repo, path, import_no, spec)``: imports that look internal (they have a stem) but reach no graph file."""
+    done = resolved.select("repo", F.col("src").alias("path"), "import_no").distinct()
+    return stems.select("repo", "path", "import_no", "spec").distinct().join(done, ["repo", "path", "import_no"], "left_anti")
 
 
 def count_edges(resolved: DataFrame) -> DataFrame:
