@@ -49,7 +49,6 @@ class Language:
     source_dirs: tuple[tuple[str, ...], ...] = ()
     fallback_root: bool = False
     spread_dirs: bool = False
-    uses_source_dir: bool = False
     to_directory: bool = False
     aliases: bool = False
 
@@ -223,7 +222,6 @@ _BUILT_IN = [
         _dart_bases,
         manifests=("pubspec.yaml",),
         source_dirs=(("lib",),),
-        uses_source_dir=True,
     ),
     Language(
         "typescript",
@@ -249,7 +247,6 @@ _BUILT_IN = [
         manifest_depth=1,
         spread_dirs=True,
         fallback_root=True,
-        uses_source_dir=True,
     ),
     Language(
         "go",
@@ -271,7 +268,6 @@ _BUILT_IN = [
         (".rs", "/mod.rs"),
         manifests=("Cargo.toml",),
         source_dirs=(("src",),),
-        uses_source_dir=True,
     ),
     Language(
         "java",
@@ -281,7 +277,6 @@ _BUILT_IN = [
         _java_bases,
         manifests=("pom.xml", "build.gradle", "build.gradle.kts"),
         source_dirs=(("src/main/java",), ("src",)),
-        uses_source_dir=True,
     ),
     Language(
         "cpp",
@@ -292,7 +287,6 @@ _BUILT_IN = [
         manifests=("CMakeLists.txt", "Makefile", "meson.build"),
         source_dirs=(("src", "include"),),
         fallback_root=True,
-        uses_source_dir=True,
     ),
     Language(
         "ruby",
