@@ -67,24 +67,22 @@ def import_stems(
         lambda k: k.bases(F.col("spec"), F.col("path"), F.col("source_dir"), package),
         F.array().cast("array<string>"),
     )
-    own = placed.select(*cols, F.posexplode(stems).alias("ord", "stem")).withColumn("ord", F.col("ord").cast("bigint"))
-    own = own.where(F.col("stem").isNotNull())
-    if aliases is None:
-        return own
-    aliased = [k.id for k in languages() if k.aliases]
-    named = aliases.withColumnRenamed("ord", "alias_ord")
-    rest = F.expr("substring(spec, length(prefix) + 1)")
-    by_alias = (
-        placed.where(F.col("lang").isin(aliased) & ~F.col("spec").startswith("."))
-        .join(named, "repo")
-        .where(F.col("spec").startswith(F.col("prefix")))
-        .select(
-            *cols,
-            (F.col("alias_ord").cast("bigint") * 1_000_000 + F.col("target_ord")).alias("ord"),
-            resolve_under(F.col("target"), rest).alias("stem"),
-        )
+    order = F.col("pos").cast("bigint")
+    if aliases is not None:
+        # A name that starts with an alias is looked up below the alias targets; joined on, so texts are read once.
+        named = aliases.select(F.col("repo").alias("alias_repo"), F.col("ord").alias("alias_ord"), "prefix", "target_ord", "target")
+        aliased = F.col("lang").isin([k.id for k in languages() if k.aliases]) & ~F.col("spec").startswith(".")
+        fits = (F.col("repo") == F.col("alias_repo")) & aliased & F.col("spec").startswith(F.col("prefix"))
+        placed = placed.join(named, fits, "left")
+        under = F.array(resolve_under(F.col("target"), F.expr("substring(spec, length(prefix) + 1)")))
+        stems = F.when(F.col("prefix").isNotNull(), under).otherwise(stems)
+        cols += ["alias_ord", "target_ord"]
+        order = F.coalesce(F.col("alias_ord").cast("bigint") * 1_000_000 + F.col("target_ord"), order)
+    return (
+        placed.select(*cols, F.posexplode(stems).alias("pos", "stem"))
+        .where(F.col("stem").isNotNull())
+        .select("repo", "path", "lang", "source_dir", "import_no", "spec", order.alias("ord"), "stem")
     )
-    return own.unionByName(by_alias)
 
 
 def answered_stems(path: Column, suffixes: tuple[str, ...]) -> Column:
