@@ -13,6 +13,7 @@ from .functions import complexity, layers, paths, scoring
 from .graph import DependencyGraph
 from .operators import coupling, gate, incremental, profile, rank, resolve
 from .operators import graph as lookups
+from .operators.languages import Language, lines_starting, register_language, unregister_language
 from .session import checkpoint_dir
 from .sources import graph_store
 from .sources import listing as scans
@@ -180,7 +181,27 @@ def import_queries() -> dict[str, Query]:
         stems, rows = parts(spark, sf_dir, sources, left, packages, aliases)
         return resolve.unresolved_imports(stems, rows).groupBy("repo", "path").agg(F.count(F.lit(1)).alias("n"))
 
-    return {"resolve_imports": resolved, "unresolved_imports": unresolved}
+    def registered(spark, sf_dir):
+        """The whole code base in a language the library does not know, added for this one job."""
+        added = Language(
+            "rbx",
+            (".rbx",),
+            lines_starting("require_relative"),
+            lambda line: F.regexp_extract(line, "^require_relative '([^']+)'", 1),
+            lambda spec, path, _source_dir, _package: F.array(paths.resolve_under(paths.dirname(path), spec)),
+            (".rbx",),
+            manifests=("Rbxfile",),
+        )
+        sources = fx.source_files(spark, sf_dir, "ruby").withColumn("path", F.regexp_replace("path", r"\.rb$", ".rbx"))
+        marks = fx.manifests(spark, sf_dir, "ruby").where(F.col("path") == "Gemfile")
+        listing = sources.select("repo", "path").unionByName(marks.select("repo", F.lit("Rbxfile").alias("path")))
+        register_language(added)
+        try:
+            return resolve.dependency_edges(sources, listing)
+        finally:
+            unregister_language(added.id)
+
+    return {"resolve_imports": resolved, "unresolved_imports": unresolved, "register_language": registered}
 
 
 def _warnings(spark, sf_dir) -> DataFrame:

@@ -147,6 +147,9 @@ def graph_sql() -> dict[str, str]:
     for lang in LANGS:
         q[f"imports_{lang}"] = duck(graph_ctes(lang), "SELECT repo, src, dst, n_refs FROM edges")
     q["imports_typescript_alias"] = q["imports_typescript"]
+    q["register_language"] = duck(
+        graph_ctes("ruby"), "SELECT repo, concat(src, 'x') AS src, concat(dst, 'x') AS dst, n_refs FROM edges"
+    )
     q["reverse_dependencies"] = graph("SELECT repo, dst AS file, src AS importer, n_refs FROM edges")
     q["forward_dependencies"] = graph(
         """SELECT e.repo, e.src AS file, e.dst AS dependency, e.n_refs FROM edges e
