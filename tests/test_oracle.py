@@ -6,13 +6,15 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from depgraph_spark.catalog import all_queries
+from depgraph_spark.oracle import all_sql
 
 SF_DIR = "/root/testdata/sf0.001"
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
 ).split()
-QUERIES = entry.queries()
-SQL = entry.oracle_sql()
+QUERIES = all_queries()
+SQL = all_sql()
 
 
 def plain(value):
@@ -49,5 +51,10 @@ def test_query(spark, duck, name):
     assert got == want
 
 
+def test_entry_has_every_query():
+    assert set(QUERIES) <= set(entry.queries())
+    assert set(SQL) <= set(entry.oracle_sql())
+
+
 def test_entry_runs(spark):
     assert entry.entry(spark).count() > 0
