@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .quality_rules import judge_documents
 from .url_filter import filter_urls
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -48,8 +49,15 @@ SELECT page_id, host, path, best.rule AS rule, coalesce(best.verdict, 'allow') A
 """
 
 
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_documents(read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
-    return {"op3_url_filter": op3_url_filter}
+    return {
+        "op3_url_filter": op3_url_filter,
+        "op10_quality_rules": op10_quality_rules,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
