@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .pii import pii_digest
 from .quality_rules import judge_documents
 from .url_filter import filter_urls
 
@@ -49,16 +50,62 @@ SELECT page_id, host, path, best.rule AS rule, coalesce(best.verdict, 'allow') A
 """
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii_digest(read(spark, sf_dir, "documents"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_documents(read(spark, sf_dir, "documents"))
 
 
+OP6_SQL = r"""
+WITH texts AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+proposed AS (
+  SELECT r, doc_id, kind, rank, kinds.pattern,
+    regexp_extract_all(t, pattern) AS found, string_split_regex(t, pattern) AS gaps
+  FROM texts, (VALUES
+    ('email', 0, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+'),
+    ('ip', 1, '[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)'),
+    ('card', 2, '[0-9](?:[ -]?[0-9])+'),
+    ('phone', 3, '\+[0-9][ ().0-9-]+[0-9]'),
+    ('iban', 4, '\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}\b')) AS kinds(kind, rank, pattern)),
+placed AS (
+  SELECT r, doc_id, kind, rank, i, found[i] AS x,
+    list_sum(list_transform(gaps[1:i], lambda g: length(g))) + coalesce(list_sum(list_transform(found[1:i - 1], lambda f: length(f))), 0) AS s
+  FROM proposed, unnest(range(1, len(found) + 1)) AS u(i)),
+digit AS (SELECT *, regexp_replace(x, '[^0-9]', '', 'g') AS d, replace(x, ' ', '') AS plain FROM placed),
+checked AS (
+  SELECT *, CASE kind
+    WHEN 'ip' THEN list_max(list_transform(string_split(x, '.'), lambda p: CAST(p AS HUGEINT))) <= 255
+    WHEN 'card' THEN length(d) BETWEEN 12 AND 19 AND list_sum(list_transform(range(1, length(d) + 1), lambda k:
+      CASE WHEN k % 2 = 1 THEN CAST(d[length(d) + 1 - k] AS INT)
+           WHEN CAST(d[length(d) + 1 - k] AS INT) > 4 THEN 2 * CAST(d[length(d) + 1 - k] AS INT) - 9
+           ELSE 2 * CAST(d[length(d) + 1 - k] AS INT) END)) % 10 = 0
+    WHEN 'phone' THEN length(d) BETWEEN 9 AND 15
+    WHEN 'iban' THEN length(plain) BETWEEN 15 AND 34 AND list_reduce(list_prepend(0, list_transform(
+      string_split(plain[5:] || plain[:4], ''), lambda c: CASE WHEN c >= 'A' THEN 100 + ascii(c) - 55 ELSE ascii(c) - 48 END)),
+      lambda a, b: CASE WHEN b >= 100 THEN (a * 100 + b - 100) % 97 ELSE (a * 10 + b) % 97 END) = 1
+    ELSE true END AS ok
+  FROM digit),
+spans AS (SELECT r, kind, rank, s, kind || ':' || CAST(s AS BIGINT) || ':' || CAST(s + length(x) AS BIGINT) AS span FROM checked WHERE ok),
+summed AS (
+  SELECT r, count(*) FILTER (kind = 'email') AS n_email, count(*) FILTER (kind = 'ip') AS n_ip,
+    count(*) FILTER (kind = 'card') AS n_card, count(*) FILTER (kind = 'phone') AS n_phone,
+    string_agg(span, ',' ORDER BY s, rank) FILTER (rank < 4) AS base, string_agg(span, ',' ORDER BY s, rank) AS spans
+  FROM spans GROUP BY r)
+SELECT doc_id, coalesce(n_email, 0) AS n_email, coalesce(n_ip, 0) AS n_ip, coalesce(n_card, 0) AS n_card,
+  coalesce(n_phone, 0) AS n_phone, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM texts LEFT JOIN summed USING (r)
+"""
+
+
 def queries() -> dict[str, Query]:
     return {
         "op3_url_filter": op3_url_filter,
+        "op6_pii": op6_pii,
         "op10_quality_rules": op10_quality_rules,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_url_filter": OP3_SQL}
+    return {"op3_url_filter": OP3_SQL, "op6_pii": OP6_SQL}
