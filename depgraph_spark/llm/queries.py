@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import checkpoint_dir
+from .lexicon import round_trip
 from .pii import pii_digest
 from .quality_rules import judge_documents
+from .token_orc import read_token_orc, token_digest, write_token_orc
 from .url_filter import filter_urls
 
+# The tokenizer file of the byte-level vocabulary, in the public_tokenizers package.
+TOKENIZER = "byte_bpe_50k.json"
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 # Fixed values of the URL rules: host, path, verdict.
@@ -54,6 +61,22 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_digest(read(spark, sf_dir, "documents"))
 
 
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(TOKENIZER)
+
+
+def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trip(read(spark, sf_dir, "documents"), tokenizer_path())
+
+
+def op9_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{checkpoint_dir(spark)}/tokens/{uuid.uuid4().hex}"
+    write_token_orc(read(spark, sf_dir, "documents"), path, tokenizer_path())
+    return token_digest(read_token_orc(spark, path))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_documents(read(spark, sf_dir, "documents"))
 
@@ -103,6 +126,8 @@ def queries() -> dict[str, Query]:
     return {
         "op3_url_filter": op3_url_filter,
         "op6_pii": op6_pii,
+        "op8_bpe": op8_bpe,
+        "op9_token_orc": op9_token_orc,
         "op10_quality_rules": op10_quality_rules,
     }
 
