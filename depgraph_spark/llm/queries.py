@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import checkpoint_dir
+from .language_id import identify_languages
 from .lexicon import round_trip
 from .pii import pii_digest
 from .quality_rules import judge_documents
@@ -61,6 +62,10 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_digest(read(spark, sf_dir, "documents"))
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify_languages(read(spark, sf_dir, "documents"))
+
+
 def tokenizer_path() -> str:
     import public_tokenizers
 
@@ -126,6 +131,7 @@ def queries() -> dict[str, Query]:
     return {
         "op3_url_filter": op3_url_filter,
         "op6_pii": op6_pii,
+        "op7_language_id": op7_language_id,
         "op8_bpe": op8_bpe,
         "op9_token_orc": op9_token_orc,
         "op10_quality_rules": op10_quality_rules,
