@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -82,15 +84,19 @@ def repeated_words(words: Column) -> Column:
     return F.when(n < WINDOW, F.lit(0)).otherwise(let(hashed(words), count))
 
 
-def text_statistics(docs: DataFrame, *keep: str) -> DataFrame:
+def text_statistics(docs: DataFrame, *keep: str, more: dict[str, Callable[[Column], Column]] | None = None) -> DataFrame:
     """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words of whole texts; a null text has no words.
 
+    ``more`` names further statistics, each computed from the array of words.
+
     Words are ``[^\\x20\\x09-\\x0D]+``; duplicate lines are ``\\n``-split lines with a word, equal to an earlier line.
     """
+    extra = more or {}
     text = F.coalesce("text", F.lit(""))
     words = F.array_remove(F.split(text, SPACE_RUN), "")
     lines = F.filter(F.split(text, "\n"), lambda line: line.rlike(r"[^\x20\x09-\x0D]"))
-    found = let(words, lambda w: F.struct(F.size(w).alias("n_words"), repeated_words(w).alias("n_repeat_words")))
+    found = let(words, lambda w: F.struct(F.size(w).alias("n_words"), repeated_words(w).alias("n_repeat_words"),
+                                               *[f(w).alias(k) for k, f in extra.items()]))
     dup = let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x)))
     return docs.select(
         *keep,
@@ -103,6 +109,7 @@ def text_statistics(docs: DataFrame, *keep: str) -> DataFrame:
         F.col("found.n_words").cast("bigint").alias("n_words"),
         "word_chars", "n_symbols", "n_dup_lines",
         F.col("found.n_repeat_words").cast("bigint").alias("n_repeat_words"),
+        *[F.col(f"found.{k}").alias(k) for k in extra],
     )
 
 
@@ -212,7 +219,7 @@ def mcd_fits(rows: DataFrame, keys: list[str], enough: Column) -> tuple[DataFram
 
 def at_level(level: int) -> Column:
     """The group of a row: its language and source, its language, or all documents."""
-    none = F.lit("")
+    none = F.substring("_lang", 1, 0)
     return F.struct(
         F.lit(level).alias("level"),
         (F.col("_lang") if level < 2 else none).alias("lang"),

@@ -11,6 +11,7 @@ from ..session import checkpoint_dir
 from .language_id import identify_languages
 from .lexicon import round_trip
 from .pii import pii_digest
+from .quality_ranker import learn_ranker, score_documents
 from .quality_rules import judge_documents
 from .token_orc import read_token_orc, token_digest, write_token_orc
 from .url_filter import filter_urls
@@ -58,6 +59,11 @@ SELECT page_id, host, path, best.rule AS rule, coalesce(best.verdict, 'allow') A
 """
 
 
+def op4_quality_ranker(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return score_documents(docs, learn_ranker(docs, read(spark, sf_dir, "labels")))
+
+
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_digest(read(spark, sf_dir, "documents"))
 
@@ -130,6 +136,7 @@ FROM texts LEFT JOIN summed USING (r)
 def queries() -> dict[str, Query]:
     return {
         "op3_url_filter": op3_url_filter,
+        "op4_quality_ranker": op4_quality_ranker,
         "op6_pii": op6_pii,
         "op7_language_id": op7_language_id,
         "op8_bpe": op8_bpe,
