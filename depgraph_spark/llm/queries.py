@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ..session import checkpoint_dir
 from .language_id import identify_languages
 from .lexicon import round_trip
+from .line_dedup import dedup_lines
 from .pii import pii_digest
 from .quality_ranker import learn_ranker, score_documents
 from .quality_rules import judge_documents
@@ -35,6 +36,29 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_lines(read(spark, sf_dir, "documents"))
+
+
+OP2_SQL = """
+WITH parts AS (
+  SELECT doc_id, coalesce(source, '') AS site, unnest(string_split(text, chr(10))) AS line,
+    generate_subscripts(string_split(text, chr(10)), 1) AS pos
+  FROM documents),
+keyed AS (SELECT *, trim(line, chr(32) || chr(9) || chr(11) || chr(12) || chr(13)) AS k FROM parts),
+common AS (
+  SELECT k, min({'d': doc_id, 'p': pos}) AS first FROM keyed WHERE k != '' GROUP BY k HAVING count(DISTINCT site) >= 10),
+marked AS (
+  SELECT keyed.*, c.k IS NOT NULL AND {'d': doc_id, 'p': pos} != c.first AS gone FROM keyed LEFT JOIN common c USING (k)),
+kept AS (
+  SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_removed,
+    coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '') AS text
+  FROM marked GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed, kept.text AS text
+FROM documents d LEFT JOIN kept USING (doc_id)
+"""
+
+
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
     return filter_urls(read(spark, sf_dir, "pages"), rules)
@@ -135,6 +159,7 @@ FROM texts LEFT JOIN summed USING (r)
 
 def queries() -> dict[str, Query]:
     return {
+        "op2_line_dedup": op2_line_dedup,
         "op3_url_filter": op3_url_filter,
         "op4_quality_ranker": op4_quality_ranker,
         "op6_pii": op6_pii,
@@ -146,4 +171,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_url_filter": OP3_SQL, "op6_pii": OP6_SQL}
+    return {"op2_line_dedup": OP2_SQL, "op3_url_filter": OP3_SQL, "op6_pii": OP6_SQL}
