@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import checkpoint_dir
+from .decontaminate import judge_contamination
 from .language_id import identify_languages
 from .lexicon import round_trip
 from .line_dedup import dedup_lines
@@ -88,6 +89,10 @@ def op4_quality_ranker(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(docs, learn_ranker(docs, read(spark, sf_dir, "labels")))
 
 
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_digest(read(spark, sf_dir, "documents"))
 
@@ -162,6 +167,7 @@ def queries() -> dict[str, Query]:
         "op2_line_dedup": op2_line_dedup,
         "op3_url_filter": op3_url_filter,
         "op4_quality_ranker": op4_quality_ranker,
+        "op5_decontaminate": op5_decontaminate,
         "op6_pii": op6_pii,
         "op7_language_id": op7_language_id,
         "op8_bpe": op8_bpe,
