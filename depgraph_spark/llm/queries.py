@@ -12,6 +12,7 @@ from .decontaminate import judge_contamination
 from .language_id import identify_languages
 from .lexicon import round_trip
 from .line_dedup import dedup_lines
+from .near_dedup import near_duplicates
 from .pii import pii_digest
 from .quality_ranker import learn_ranker, score_documents
 from .quality_rules import judge_documents
@@ -37,6 +38,10 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(read(spark, sf_dir, "documents"), percent=85)
+
+
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(read(spark, sf_dir, "documents"))
 
@@ -164,6 +169,7 @@ FROM texts LEFT JOIN summed USING (r)
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_near_dedup": op1_near_dedup,
         "op2_line_dedup": op2_line_dedup,
         "op3_url_filter": op3_url_filter,
         "op4_quality_ranker": op4_quality_ranker,
