@@ -146,6 +146,23 @@ def crc_remainder(doc_id="doc_id"):
     return F.crc32(F.encode(F.coalesce(F.col(doc_id).cast("string"), F.lit("")), "UTF-8")) % 3
 
 
-def with_row_key(docs: DataFrame) -> DataFrame:
-    """``_id`` and ``_text``: what tells documents apart; null-safe joins on both find a document's row again."""
-    return docs.withColumns({"_id": F.col("doc_id"), "_text": F.xxhash64(F.coalesce("text", F.lit("")))})
+def text_hash():
+    return F.xxhash64(F.coalesce("text", F.lit("")))
+
+
+def row_keys(docs: DataFrame) -> DataFrame:
+    """``_id``, ``_text``, text and source: what tells documents apart, for null-safe joins that find a row again."""
+    source = F.col("source") if "source" in docs.columns else F.lit(None).cast("string")
+    return docs.select(F.col("doc_id").cast("bigint").alias("_id"), text_hash().alias("_text"), "text", source.alias("source"))
+
+
+def whole_rows(docs: DataFrame) -> DataFrame:
+    """``_row``, the row as a struct whatever its columns are named, with ``_id``, ``_text`` and text beside it."""
+    return docs.select(
+        F.struct("*").alias("_row"), F.col("doc_id").cast("bigint").alias("_id"), text_hash().alias("_text"), F.col("text").alias("text")
+    )
+
+
+def same_row(left: DataFrame, right: DataFrame):
+    """``left``'s (_id, _text) is ``right``'s (_doc, _doc_text)."""
+    return left["_id"].eqNullSafe(right["_doc"]) & (left["_text"] == right["_doc_text"])

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_counted, small
-from .common import SHINGLE_WORDS, shingle_hashes, slices, text_buffers, with_row_key, word_hashes
+from .common import SHINGLE_WORDS, row_keys, same_row, shingle_hashes, slices, text_buffers, whole_rows, word_hashes
 
 # Share of an item's words under tiles from which on a document is contaminated.
 COVERAGE = 0.8
@@ -132,7 +132,7 @@ def benchmark_matches(docs: DataFrame, benchmark: DataFrame, coverage: float = C
                     ]
                     yield pa.RecordBatch.from_arrays(columns, ["_id", "_text", "item_id", "coverage", "n_tiles"])
 
-        keyed = with_row_key(docs).select(F.col("_id").cast("bigint"), "_text", "text")
+        keyed = row_keys(docs).select("_id", "_text", "text")
         schema = "_id bigint, _text bigint, item_id bigint, coverage double, n_tiles bigint"
         found = keyed.mapInArrow(matched, schema)
         matches = found if matches is None else matches.unionByName(found)
@@ -142,10 +142,6 @@ def benchmark_matches(docs: DataFrame, benchmark: DataFrame, coverage: float = C
     return cut_counted(matches)
 
 
-def _same_row(keyed: DataFrame, other: DataFrame):
-    return keyed["_id"].eqNullSafe(other["_doc"]) & (keyed["_text"] == other["_doc_text"])
-
-
 def judge_contamination(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) -> DataFrame:
     """doc_id, contaminated, item_id, coverage, n_tiles and n_items of every row of docs(doc_id, text).
 
@@ -159,10 +155,10 @@ def judge_contamination(docs: DataFrame, benchmark: DataFrame, coverage: float =
         F.max(F.struct("coverage", (-F.col("item_id")).alias("item"), "n_tiles")).alias("best"),
         F.countDistinct("item_id").alias("n_items"),
     )
-    keyed = with_row_key(docs).select("doc_id", F.col("_id").cast("bigint").alias("_id"), "_text")
-    joined = keyed.join(small(best, n), _same_row(keyed, best), "left")
+    keyed = row_keys(docs).select("_id", "_text")
+    joined = keyed.join(small(best, n), same_row(keyed, best), "left")
     return joined.select(
-        "doc_id",
+        F.col("_id").alias("doc_id"),
         F.col("best").isNotNull().alias("contaminated"),
         (-F.col("best.item")).alias("item_id"),
         F.coalesce("best.coverage", F.lit(0.0)).alias("coverage"),
@@ -175,5 +171,5 @@ def without_contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float
     """The rows of ``docs``, all columns as they are, that cover no item enough."""
     matches, n = benchmark_matches(docs, benchmark, coverage)
     gone = matches.select(F.col("_id").alias("_doc"), F.col("_text").alias("_doc_text")).distinct()
-    keyed = with_row_key(docs)
-    return keyed.join(small(gone, n), _same_row(keyed, gone), "left_anti").select(*docs.columns)
+    keyed = whole_rows(docs)
+    return keyed.join(small(gone, n), same_row(keyed, gone), "left_anti").select("_row.*")

@@ -151,7 +151,8 @@ def training_sample(docs: DataFrame, per_language: int = DOCS_PER_LANGUAGE) -> D
     Only documents with a language, a text and crc32(doc_id) mod 3 other than 1 take part. Counts per language set the
     share that is drawn, so no text is shuffled.
     """
-    usable = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (crc_remainder() != 1))
+    usable = docs.select("doc_id", "lang", "text")
+    usable = usable.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (crc_remainder() != 1))
     counts, n = cut_counted(usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n")))
     drawn = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) < 1_000_003.0 * per_language / F.col("n")
     return usable.join(small(counts, n), "lang").where(drawn).select("lang", "text")

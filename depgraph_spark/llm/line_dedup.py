@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_counted, small
-from .common import with_row_key
+from .common import row_keys, same_row, whole_rows
 
 # Sites from which on a line is boilerplate.
 MIN_SITES = 10
@@ -28,7 +28,7 @@ def line_key(line: Column) -> list[Column]:
 
 def lines_of(docs: DataFrame) -> DataFrame:
     """(_id, _text, site, pos, h, g) of every line with a word; a null source is a site of its own."""
-    rows = with_row_key(docs).select(
+    rows = row_keys(docs).select(
         "_id", "_text", F.coalesce("source", F.lit("")).alias("site"), F.posexplode(F.split("text", "\n")).alias("pos", "line")
     )
     trimmed = rows.withColumn("line", F.btrim("line", F.lit(SPACES))).where(F.col("line") != "")
@@ -53,7 +53,9 @@ def boilerplate_lines(lines: DataFrame, min_sites: int = MIN_SITES) -> tuple[Dat
 
 
 def without_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
-    """``docs`` with ``_n_lines``, ``_n_removed`` and ``_clean``, the text without repeated boilerplate lines.
+    """``_row``, ``_n_lines``, ``_n_removed`` and ``_clean``, the text without repeated boilerplate lines.
+
+    ``_row`` is the row of ``docs`` as a struct, so that its columns may have any names.
 
     The first occurrence of a line is the one with the least (doc_id, line number), null ids first; rows that repeat
     both id and text are treated alike. Lines are compared without white space around them; lines without a word
@@ -67,10 +69,9 @@ def without_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFram
     later = found.join(small(first, n_first), ["h", "g"])
     later = later.where(~F.struct("_id", "pos").eqNullSafe(F.col("first")))
     gone = later.groupBy("_id", "_text").agg(F.collect_set("pos").alias("_gone"))
-    gone = gone.select(F.col("_id").alias("_gone_id"), F.col("_text").alias("_gone_text"), "_gone")
-    keyed = with_row_key(docs)
-    same = keyed["_id"].eqNullSafe(gone["_gone_id"]) & (keyed["_text"] == gone["_gone_text"])
-    joined = keyed.join(small(gone, n_found), same, "left")
+    gone = gone.select(F.col("_id").alias("_doc"), F.col("_text").alias("_doc_text"), "_gone")
+    keyed = whole_rows(docs)
+    joined = keyed.join(small(gone, n_found), same_row(keyed, gone), "left")
 
     def kept(parts: Column) -> Column:
         places = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("_gone"))
@@ -79,7 +80,7 @@ def without_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFram
     clean = F.transform(F.array(F.split("text", "\n")), kept)[0]
     n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n")))
     return joined.select(
-        *[keyed[c] for c in docs.columns],
+        "_row",
         n_lines.cast("bigint").alias("_n_lines"),
         F.coalesce(F.size("_gone"), F.lit(0)).cast("bigint").alias("_n_removed"),
         F.when(F.col("_gone").isNull(), F.col("text")).otherwise(clean).alias("_clean"),
@@ -90,5 +91,5 @@ def dedup_lines(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     """doc_id, n_lines, n_removed and text of every row; see ``without_boilerplate``."""
     rows = without_boilerplate(docs.select("doc_id", "text", "source"), min_sites)
     return rows.select(
-        "doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_removed").alias("n_removed"), F.col("_clean").alias("text")
+        F.col("_row.doc_id").alias("doc_id"), F.col("_n_lines").alias("n_lines"), F.col("_n_removed").alias("n_removed"), F.col("_clean").alias("text")
     )

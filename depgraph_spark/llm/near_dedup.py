@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut, cut_counted, small
-from .common import binary, powers, shingle_hashes, slices, text_buffers, word_hashes
+from .common import binary, powers, row_keys, same_row, shingle_hashes, slices, text_buffers, whole_rows, word_hashes
 
 # Bands of hashes: a pair of similarity 0.8 shares none of them three times in a million.
 BANDS, ROWS = 24, 4
@@ -107,19 +107,19 @@ def signatures(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
 
 
 def signed(docs: DataFrame) -> DataFrame:
-    """(doc_id, node, n_shingles, bands, bits) of every row; node is null for a text without words."""
+    """(doc_id, _text, node, n_shingles, bands, bits) of every row; node is null for a text without words."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
-            node, sizes, bands, bits = signatures(batch.column(1))
+            node, sizes, bands, bits = signatures(batch.column(2))
             columns = [
-                batch.column(0), pa.array(node.view(np.int64), pa.int64(), mask=sizes == 0), pa.array(sizes),
+                batch.column(0), batch.column(1), pa.array(node.view(np.int64), pa.int64(), mask=sizes == 0), pa.array(sizes),
                 binary(bands), binary(bits),
             ]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "node", "n_shingles", "bands", "bits"])
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "_text", "node", "n_shingles", "bands", "bits"])
 
-    rows = docs.select(F.col("doc_id").cast("bigint"), "text")
-    return rows.mapInArrow(sign, "doc_id bigint, node bigint, n_shingles bigint, bands binary, bits binary")
+    rows = row_keys(docs).select(F.col("_id").alias("doc_id"), "_text", "text")
+    return rows.mapInArrow(sign, "doc_id bigint, _text bigint, node bigint, n_shingles bigint, bands binary, bits binary")
 
 
 def matrix(column: pa.Array, kind, width: int) -> np.ndarray:
@@ -314,6 +314,24 @@ def links(docs: DataFrame, classes: DataFrame, percent: int, miss: float) -> tup
     return connected(edges.unionByName(extra)) if n_extra else (comps, n_comps)
 
 
+def grouped(docs: DataFrame, percent: int, miss: float) -> DataFrame:
+    """(doc_id, _text, n_shingles, node, comp, component_id) of every row; comp is one node per component."""
+    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    rows = cut(signed(docs))
+    classes = rows.where("node is not null").groupBy("node").agg(
+        F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("bits").alias("bits")
+    )
+    classes = cut(classes)
+    comps, n_comps = links(docs, classes, percent, miss)
+    reps = classes.select("node", "rep").join(small(comps, n_comps), "node")
+    least = cut(reps.groupBy("comp").agg(F.min("rep").alias("component_id")))
+    linked, n_linked = cut_counted(reps.join(least, "comp").select("node", "comp", "component_id"))
+    alone = classes.select("node", F.col("node").alias("comp"), F.col("rep").alias("component_id"))
+    alone = alone.join(small(linked.select("node"), n_linked), "node", "left_anti")
+    target, n_target = cut_counted(alone.unionByName(linked))
+    return rows.select("doc_id", "_text", "n_shingles", "node").join(small(target, n_target), "node", "left")
+
+
 def near_duplicates(docs: DataFrame, percent: int = THRESHOLD_PERCENT, miss: float = MISS) -> DataFrame:
     """doc_id, n_shingles, component_id, kept and node of every row of docs(doc_id, text).
 
@@ -325,20 +343,31 @@ def near_duplicates(docs: DataFrame, percent: int = THRESHOLD_PERCENT, miss: flo
     get equal results; of copies under one id all are kept. A null doc_id counts as no id: such a row belongs to the
     least id of its component, and is kept if that has none. An empty table gives no rows. Other columns aren't read.
     """
-    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    rows = cut(signed(docs))
-    classes = rows.where("node is not null").groupBy("node").agg(
-        F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("bits").alias("bits")
-    )
-    classes = cut(classes)
-    comps, n_comps = links(docs, classes, percent, miss)
-    reps = classes.select("node", "rep").join(small(comps, n_comps), "node")
-    least = cut(reps.groupBy("comp").agg(F.min("rep").alias("component_id")))
-    linked, n_linked = cut_counted(reps.join(least, "comp").select("node", "component_id"))
-    alone = classes.select("node", F.col("rep").alias("component_id")).join(small(linked, n_linked), "node", "left_anti")
-    target, n_target = cut_counted(alone.unionByName(linked.select("node", "component_id")))
-    joined = rows.select("doc_id", "n_shingles", "node").join(small(target, n_target), "node", "left")
     component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return joined.select(
+    return grouped(docs, percent, miss).select(
         "doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"), "node"
     )
+
+
+def without_near_duplicates(docs: DataFrame, percent: int = THRESHOLD_PERCENT, miss: float = MISS) -> DataFrame:
+    """The rows of ``docs``, all columns as they are, without all but one of each group of near-duplicates.
+
+    The row with the least doc_id stays (null ids come last), of several with that id one. Rows without words stay.
+    """
+    key = F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "_text")
+    rows = grouped(docs, percent, miss).where(F.col("node").isNotNull())
+    counted = rows.groupBy("comp", "doc_id", "_text").agg(F.count(F.lit(1)).alias("n"))
+    counted = cut(counted.withColumn("key", key))
+    winners, n_winners = cut_counted(counted.groupBy("comp").agg(F.min("key").alias("first"), F.sum("n").alias("all")).where("all > 1"))
+    many = counted.join(small(winners, n_winners), "comp")
+    stays = F.col("key").eqNullSafe(F.col("first"))
+    gone, n_gone = cut_counted(many.where(~stays).select(F.col("doc_id").alias("_doc"), F.col("_text").alias("_doc_text")).distinct())
+    twice, n_twice = cut_counted(many.where(stays & (F.col("n") > 1)).select(F.col("doc_id").alias("_doc"), F.col("_text").alias("_doc_text")))
+
+    keyed = whole_rows(docs)
+    left = keyed.join(small(gone, n_gone), same_row(keyed, gone), "left_anti")
+    if not n_twice:
+        return left.select("_row.*")
+    single = left.join(small(twice, n_twice), same_row(left, twice), "left_anti")
+    repeated = keyed.join(small(twice, n_twice), same_row(keyed, twice), "left_semi").dropDuplicates(["_id", "_text"])
+    return single.unionByName(repeated).select("_row.*")

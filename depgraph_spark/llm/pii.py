@@ -86,7 +86,7 @@ def mod97(found: Column) -> Column:
 
 
 def span_columns(text: Column) -> dict[str, Column]:
-    """Per kind an array of struct(start, end, kind, rank, score): confirmed proposals only."""
+    """Per kind an array of struct(start, rank, end, kind, score): confirmed proposals only."""
     confirmed = {
         "email": (EMAIL, lambda x: F.lit(True), 0.0),
         "ip": (IP, ip_parts, CONFIRMED),
@@ -103,7 +103,7 @@ def span_columns(text: Column) -> dict[str, Column]:
             around = F.substring(text, begin + 1, x["end"] - begin + CONTEXT_CHARS)
             near = F.when(F.lower(around).rlike(CONTEXT_WORDS[kind]), CONTEXT).otherwise(0.0)
             score = F.lit(PROPOSED + bonus) + near
-            return F.struct(x["start"].alias("start"), x["end"].alias("end"), F.lit(rank).alias("rank"),
+            return F.struct(x["start"].alias("start"), F.lit(rank).alias("rank"), x["end"].alias("end"),
                             F.lit(kind).alias("kind"), score.alias("score"))
 
         return F.transform(F.filter(hits(text, pattern), lambda x: check(x["found"])), scored)
@@ -112,7 +112,7 @@ def span_columns(text: Column) -> dict[str, Column]:
 
 
 def find_pii(docs: DataFrame, keep_score: float = KEEP_SCORE) -> DataFrame:
-    """doc_id and ``found``: an array of struct(start, end, rank, kind, score) by start, then kind as in KINDS.
+    """doc_id and ``found``: an array of struct(start, rank, end, kind, score) by start, then kind as in KINDS.
 
     Per kind, proposals are the leftmost non-overlapping matches; a proposal whose check fails is dropped without
     another try. Base kinds (email, ip, card, phone) always stay; other kinds need ``keep_score``.
