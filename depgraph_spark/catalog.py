@@ -56,13 +56,9 @@ def _graph(run: Callable[[DependencyGraph], DataFrame]) -> Query:
     return lambda spark, sf_dir: run(graph_of(spark, sf_dir))
 
 
-def _requests(prefix: str) -> Callable[[SparkSession, str], DataFrame]:
-    """Every file whose node name starts with ``prefix``, as a request table."""
-    return lambda spark, sf_dir: (
-        fx.table(spark, sf_dir, "files", fx.graph_ctes())
-        .where(F.col("name").startswith(prefix))
-        .select("repo", F.col("path").alias("file"))
-    )
+def _requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every file, as a request table."""
+    return fx.files(spark, sf_dir).select("repo", F.col("path").alias("file"))
 
 
 def graph_queries() -> dict[str, Query]:
@@ -71,8 +67,8 @@ def graph_queries() -> dict[str, Query]:
         q[f"imports_{lang}"] = _imports(lang)
     q["imports_typescript_alias"] = _imports("typescript", by_alias=True)
     q["reverse_dependencies"] = lambda s, d: lookups.reverse_dependencies(fx.edges(s, d))
-    q["forward_dependencies"] = lambda s, d: lookups.forward_dependencies(_requests("o")(s, d), fx.edges(s, d))
-    q["direct_dependents"] = lambda s, d: lookups.direct_dependents(_requests("p")(s, d), fx.edges(s, d))
+    q["forward_dependencies"] = lambda s, d: lookups.forward_dependencies(_requests(s, d), fx.edges(s, d))
+    q["direct_dependents"] = lambda s, d: lookups.direct_dependents(_requests(s, d), fx.edges(s, d))
     q["isolated_files"] = lambda s, d: lookups.isolated_files(fx.files(s, d), fx.edges(s, d))
     q["unknown_files"] = lambda s, d: lookups.unknown_files(
         path_listing(s, d).withColumnRenamed("path", "file"), fx.files(s, d)
@@ -233,14 +229,9 @@ def _commits(spark, sf_dir) -> DataFrame:
     return fx.table(spark, sf_dir, "commits", ",".join([fx.graph_ctes(), fx.COMMIT_CTES]))
 
 
-def _recent_coupling(spark, sf_dir) -> DataFrame:
-    """Coupling as the gate mines it: from the last 500 commits of each repository."""
-
-    def build():
-        recent = rank.recent_commits(_commits(spark, sf_dir)).select("repo", "commit_id")
-        return coupling.change_coupling(_commit_files(spark, sf_dir).join(recent, ["repo", "commit_id"], "left_semi"))
-
-    return fx.stored(spark, (sf_dir, "recent_coupling"), build)
+def _coupling(spark, sf_dir) -> DataFrame:
+    """Coupling over the whole history, as a stored input of the gate."""
+    return fx.stored(spark, (sf_dir, "coupling"), lambda: coupling.change_coupling(_commit_files(spark, sf_dir)))
 
 
 def scalar_queries() -> dict[str, Query]:
@@ -256,7 +247,7 @@ def scalar_queries() -> dict[str, Query]:
         .degrees()
         .select("repo", "path", "fan_in", scoring.classify_risk(F.col("fan_in")).alias("risk_level")),
         "map_severity": lambda s, d: _warnings(s, d).select(
-            "id", "risk_level", scoring.map_severity(F.col("risk_level")).alias("severity")
+            "repo", "id", "risk_level", scoring.map_severity(F.col("risk_level")).alias("severity")
         ),
         "classify_layer_typescript": lambda s, d: path_listing(s, d).withColumn(
             "layer", layers.typescript_layer(F.col("path"))
@@ -299,7 +290,7 @@ def coupling_queries() -> dict[str, Query]:
         return rows.where(F.col("severity").isNotNull())
 
     return {
-        "mega_commit_filter": lambda s, d: coupling.mega_commit_filter(_commit_files(s, d), 8),
+        "mega_commit_filter": lambda s, d: coupling.mega_commit_filter(_commit_files(s, d)),
         "co_change_pairs": lambda s, d: coupling.co_change_pairs(_commit_files(s, d)),
         "change_coupling": lambda s, d: coupling.coupling_in_graph(
             coupling.change_coupling(_commit_files(s, d)), fx.edges(s, d)
@@ -332,6 +323,18 @@ def gate_queries() -> dict[str, Query]:
         matched = gate.warnings_for_files(_changes(spark, sf_dir), opened, _change_sets(spark, sf_dir))
         return gate.warning_issues(matched, opened)
 
+    def all_issues(spark, sf_dir):
+        """Issues of the change sets with files; those without any see the warnings that ``warning_issues`` has."""
+        opened, changes = open_warnings(spark, sf_dir), _changes(spark, sf_dir)
+        matched = gate.warnings_for_files(changes, opened)
+        return gate.gate_issues(graph_of(spark, sf_dir), changes, matched, opened, _coupling(spark, sf_dir))
+
+    def verdict(spark, sf_dir):
+        return gate.gate_verdict(
+            graph_of(spark, sf_dir), _change_sets(spark, sf_dir), _changes(spark, sf_dir), _warnings(spark, sf_dir),
+            _acks(spark, sf_dir), _coupling(spark, sf_dir),
+        )
+
     return {
         "unacknowledged_warnings": lambda s, d: open_warnings(s, d).select("repo", "id", "ts", "file", "risk_level"),
         "acknowledge_warnings": lambda s, d: gate.acknowledge_warnings(
@@ -341,10 +344,13 @@ def gate_queries() -> dict[str, Query]:
         "warning_issues": found_warnings,
         "cycles_for_files": lambda s, d: graph_of(s, d).cycles_for_files(_changes(s, d)),
         "cycle_issues": lambda s, d: gate.cycle_issues(graph_of(s, d), _changes(s, d)),
+        "cycle_members": lambda s, d: gate.cycle_members(graph_of(s, d), _changes(s, d)),
         "hub_issues": lambda s, d: gate.hub_issues(graph_of(s, d), _changes(s, d)),
-        "coupling_issues": lambda s, d: gate.coupling_issues(graph_of(s, d), _changes(s, d), _recent_coupling(s, d)),
-        "gate_verdict": lambda s, d: gate.gate_verdict(
-            graph_of(s, d), _change_sets(s, d), _changes(s, d), _warnings(s, d), _acks(s, d), _recent_coupling(s, d)
+        "coupling_issues": lambda s, d: gate.coupling_issues(graph_of(s, d), _changes(s, d), _coupling(s, d)),
+        "gate_issues": all_issues,
+        "gate_verdict": verdict,
+        "pass_acknowledgements": lambda s, d: gate.pass_acknowledgements(
+            verdict(s, d), open_warnings(s, d), F.lit("2024-06-01 00:00:00").cast("timestamp_ntz")
         ),
     }
 
@@ -426,12 +432,7 @@ def profile_queries() -> dict[str, Query]:
         bodies = fx.table(spark, sf_dir, "files", fx.graph_ctes()).join(docs, "name", "left")
         bodies = bodies.select("repo", "path", F.coalesce("text", F.lit("")).alias("content"))
         rows = profile.analysis_context(bodies, fx.edges(spark, sf_dir))
-        heads = F.aggregate("dependents", F.lit(0).cast("bigint"), lambda n, x: n + F.length(x["head"]))
-        return rows.select(
-            "repo", "path", "content",
-            F.coalesce(F.array_join("dependents.dependent", ","), F.lit("")).alias("dependents"),
-            F.coalesce(heads, F.lit(0)).alias("head_chars"),
-        )
+        return rows.select("repo", "path", "dependent", F.md5(F.encode("content", "UTF-8")).alias("content_md5"))
 
     return {"project_profile": overview, "analysis_context": context}
 

@@ -130,28 +130,40 @@ marks AS (
     ('repo3', 'Cargo.toml'), ('repo3', 'lib/setup.py')) AS m(repo, path)),
 listing AS (SELECT repo, path FROM listed UNION ALL SELECT repo, path FROM marks)"""
 
-# Orders as commits: the order's parts and suppliers are the files that changed together.
+# A customer's orders of a year as a commit: the parts and suppliers in them are the files that changed together.
+# About one commit in six touches more than 20 files.
 COMMIT_CTES = """
-commits AS (SELECT repo, o_orderkey AS commit_id, o_orderdate AS ts FROM placed_orders),
+order_commits AS (
+  SELECT repo, o_orderkey, o_orderdate,
+    min(o_orderkey) OVER (PARTITION BY repo, o_custkey, year(o_orderdate)) AS commit_id FROM placed_orders),
+commits AS (SELECT repo, commit_id, min(o_orderdate) AS ts FROM order_commits GROUP BY repo, commit_id),
+commit_lines AS (
+  SELECT l.repo, l.lang, c.commit_id, l.l_partkey, l.l_suppkey
+  FROM placed_lines l JOIN order_commits c ON c.repo = l.repo AND c.o_orderkey = l.l_orderkey),
 commit_names AS (
-  SELECT repo, lang, l_orderkey AS commit_id, concat('p', l_partkey) AS name FROM placed_lines
-  UNION SELECT repo, lang, l_orderkey, concat('s', l_suppkey) FROM placed_lines),
+  SELECT repo, lang, commit_id, concat('p', l_partkey) AS name FROM commit_lines
+  UNION SELECT repo, lang, commit_id, concat('s', l_suppkey) FROM commit_lines),
 commit_files AS (SELECT repo, commit_id, PATH_OF AS file FROM commit_names)""".replace("PATH_OF", _path("lang", "name"))
 
-# Events as warnings on the order with the same number; a later event of the same user acknowledges a view.
+# Events as warnings on the order with the same number, numbered within each repository; a later event of the same
+# user acknowledges a view.
 GATE_CTES = """
+numbered AS (
+  SELECT e.*, repo, lang, row_number() OVER (PARTITION BY repo ORDER BY event_id) AS id
+  FROM {events} e JOIN placed_orders ON event_id = o_orderkey),
 warnings AS (
-  SELECT repo, event_id AS id, ts, PATH_OF AS file,
+  SELECT repo, CAST(id AS BIGINT) AS id, ts, PATH_OF AS file,
     CASE event_type WHEN 'error' THEN 'CRITICAL' WHEN 'purchase' THEN 'HIGH' WHEN 'signup' THEN 'MEDIUM'
       WHEN 'click' THEN 'LOW' ELSE 'SAFE' END AS risk_level,
     concat(event_type, ' by user ', user_id) AS summary,
     CASE WHEN value >= 40 THEN concat('u', user_id) END AS broken_import
-  FROM {events} JOIN placed_orders ON event_id = o_orderkey),
+  FROM numbered),
 acks AS (
-  SELECT event_id AS id FROM (
+  SELECT n.repo, CAST(n.id AS BIGINT) AS id FROM (
     SELECT event_id, event_type, lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS next_type
-    FROM {events}) AS e
-  WHERE event_type = 'view' OR next_type = 'purchase'),
+    FROM {events}) AS e JOIN numbered n ON n.event_id = e.event_id
+  WHERE e.event_type = 'view' OR e.next_type = 'purchase'
+  UNION ALL SELECT 'elsewhere', CAST(event_id AS BIGINT) FROM {events} WHERE event_type = 'click'),
 change_names AS (
   SELECT repo, lang, l_orderkey AS change_id, concat('p', l_partkey) AS name FROM placed_lines
   UNION SELECT repo, lang, o_orderkey, concat('o', o_orderkey) FROM placed_orders

@@ -120,11 +120,11 @@ class DependencyGraph:
             .agg(F.min_by("file", order).alias("file"), F.first("size").alias("size"))
         )
 
-    def bounded_cycles(self, max_length: int = 3, max_cycles: int | None = 10) -> DataFrame:
+    def bounded_cycles(self, max_length: int = 3, max_cycles: int | None = None) -> DataFrame:
         """``(repo, length, cycle)``: simple cycles of 2..max_length files, smallest file first.
 
-        Grown from the smallest file of each cycle along edges inside cyclic components only; at most ``max_cycles``
-        per repository, shortest and then smallest first.
+        Grown from the smallest file of each cycle along edges inside cyclic components only. All of them, or at most
+        ``max_cycles`` per repository, shortest and then smallest first.
         """
         members = self._cyclic_members
         inner = (

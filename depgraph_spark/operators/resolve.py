@@ -67,7 +67,7 @@ def import_stems(
         lambda k: k.bases(F.col("spec"), F.col("path"), F.col("source_dir"), package),
         F.array().cast("array<string>"),
     )
-    order = F.col("pos").cast("bigint")
+    order = F.struct(F.lit(0).cast("bigint").alias("first"), F.col("pos").cast("bigint").alias("second"))
     if aliases is not None:
         # A name that starts with an alias is looked up below the alias targets; joined on, so texts are read once.
         named = aliases.select(F.col("repo").alias("alias_repo"), F.col("ord").alias("alias_ord"), "prefix", "target_ord", "target")
@@ -77,7 +77,8 @@ def import_stems(
         under = F.array(resolve_under(F.col("target"), F.expr("substring(spec, length(prefix) + 1)")))
         stems = F.when(F.col("prefix").isNotNull(), under).otherwise(stems)
         cols += ["alias_ord", "target_ord"]
-        order = F.coalesce(F.col("alias_ord").cast("bigint") * 1_000_000 + F.col("target_ord"), order)
+        by_alias = F.struct(F.col("alias_ord").cast("bigint").alias("first"), F.col("target_ord").cast("bigint").alias("second"))
+        order = F.when(F.col("alias_ord").isNotNull(), by_alias).otherwise(order)
     return (
         placed.select(*cols, F.posexplode(stems).alias("pos", "stem"))
         .where(F.col("stem").isNotNull())

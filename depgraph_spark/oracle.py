@@ -110,8 +110,7 @@ def traversal_sql() -> dict[str, str]:
           FROM edges a JOIN edges b ON b.repo = a.repo AND b.src = a.dst
           JOIN edges c ON c.repo = b.repo AND c.src = b.dst AND c.dst = a.src
           WHERE a.src < a.dst AND a.src < b.dst AND a.dst <> b.dst)
-        SELECT repo, length, cycle FROM (
-          SELECT *, row_number() OVER (PARTITION BY repo ORDER BY length, cycle) AS rn FROM cycles) AS c WHERE rn <= 10"""
+        SELECT repo, length, cycle FROM cycles"""
     )
     q["impact"] = graph(
         """, levels AS (
@@ -152,13 +151,10 @@ def graph_sql() -> dict[str, str]:
     )
     q["reverse_dependencies"] = graph("SELECT repo, dst AS file, src AS importer, n_refs FROM edges")
     q["forward_dependencies"] = graph(
-        """SELECT e.repo, e.src AS file, e.dst AS dependency, e.n_refs FROM edges e
-        WHERE EXISTS (SELECT 1 FROM placed_orders o JOIN files f ON f.repo = o.repo AND f.name = concat('o', o.o_orderkey)
-          WHERE f.repo = e.repo AND f.path = e.src)"""
+        "SELECT repo, src AS file, dst AS dependency, n_refs FROM edges"
     )
     q["direct_dependents"] = graph(
-        """SELECT e.repo, e.dst AS file, e.src AS dependent, e.n_refs FROM edges e JOIN files f
-        ON f.repo = e.repo AND f.path = e.dst WHERE f.name LIKE 'p%'"""
+        "SELECT repo, dst AS file, src AS dependent, n_refs FROM edges"
     )
     q["isolated_files"] = graph(
         """SELECT f.repo, f.path FROM files f WHERE NOT EXISTS (
@@ -347,7 +343,7 @@ def scalar_sql() -> dict[str, str]:
     )
     q["map_severity"] = duck(
         ",".join([GRAPH, GATE_CTES]),
-        """SELECT id, risk_level, CASE WHEN risk_level IN ('CRITICAL', 'HIGH', 'MEDIUM', 'LOW') THEN risk_level END AS severity
+        """SELECT repo, id, risk_level, CASE WHEN risk_level IN ('CRITICAL', 'HIGH', 'MEDIUM', 'LOW') THEN risk_level END AS severity
         FROM warnings""",
     )
     named = "FROM (SELECT repo, path, lower(path) AS p, string_split(lower(path), '/')[-1] AS name FROM listing) AS l"
@@ -440,25 +436,17 @@ def rank_sql() -> dict[str, str]:
 # --- coupling ---
 
 
-def coupling_ctes(max_files: int, recent: int | None = None) -> str:
-    rows = "commit_files"
-    lead = ""
-    if recent:
-        lead = f"""
-recent AS (SELECT repo, commit_id FROM (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY ts DESC, commit_id DESC) AS rn
-  FROM commits) AS c WHERE rn <= {recent}),
-recent_files AS (SELECT f.* FROM commit_files f JOIN recent r ON r.repo = f.repo AND r.commit_id = f.commit_id),"""
-        rows = "recent_files"
-    return f"""{COMMIT_CTES},{lead}
-kept AS MATERIALIZED (SELECT repo, commit_id, file FROM {rows} WHERE (repo, commit_id) IN (
-  SELECT (repo, commit_id) FROM {rows} GROUP BY repo, commit_id HAVING count(*) <= {max_files})),
+def coupling_ctes(max_files: int) -> str:
+    return f"""{COMMIT_CTES},
+kept AS MATERIALIZED (SELECT repo, commit_id, file FROM commit_files WHERE (repo, commit_id) IN (
+  SELECT (repo, commit_id) FROM commit_files GROUP BY repo, commit_id HAVING count(*) <= {max_files})),
 pairs AS MATERIALIZED (SELECT a.repo, a.file AS file1, b.file AS file2, count(*) AS co_changes FROM kept a
   JOIN kept b ON a.repo = b.repo AND a.commit_id = b.commit_id AND a.file < b.file GROUP BY 1, 2, 3),
 per_file AS (SELECT repo, file, count(*) AS commits FROM kept GROUP BY repo, file),
 coupling AS MATERIALIZED (SELECT p.repo, p.file, p.other, p.co_changes, p.co_changes / CAST(f.commits AS DOUBLE) AS confidence
   FROM (SELECT repo, file1 AS file, file2 AS other, co_changes FROM pairs
         UNION ALL SELECT repo, file2, file1, co_changes FROM pairs) p
-  JOIN per_file f ON f.repo = p.repo AND f.file = p.file WHERE p.co_changes >= 2),
+  JOIN per_file f ON f.repo = p.repo AND f.file = p.file),
 neighbours AS MATERIALIZED (SELECT repo, src AS file, dst AS other FROM edges UNION SELECT repo, dst, src FROM edges)"""
 
 
@@ -470,17 +458,15 @@ def coupling_sql() -> dict[str, str]:
         return duck(",".join([GRAPH, ctes]), select)
 
     return {
-        "mega_commit_filter": sql("SELECT repo, commit_id, file FROM kept", coupling_ctes(8)),
+        "mega_commit_filter": sql("SELECT repo, commit_id, file FROM kept"),
         "co_change_pairs": sql("SELECT repo, file1, file2, co_changes FROM pairs"),
         "change_coupling": sql(
             """SELECT c.*, n.file IS NOT NULL AS in_graph FROM coupling c
             LEFT JOIN neighbours n ON n.repo = c.repo AND n.file = c.file AND n.other = c.other"""
         ),
         "hidden_coupling": sql(
-            """SELECT repo, file, other, co_changes, confidence FROM (
-              SELECT c.*, row_number() OVER (PARTITION BY repo, file ORDER BY confidence DESC, co_changes DESC, other) AS rn
-              FROM coupling c WHERE NOT EXISTS (SELECT 1 FROM neighbours n
-                WHERE n.repo = c.repo AND n.file = c.file AND n.other = c.other)) AS r WHERE rn <= 5"""
+            """SELECT * FROM coupling c WHERE NOT EXISTS (SELECT 1 FROM neighbours n
+              WHERE n.repo = c.repo AND n.file = c.file AND n.other = c.other)"""
         ),
         "coupling_percent": sql(
             """SELECT repo, file, other, CAST(floor(confidence * 100 + 0.5) AS BIGINT) AS percent,
@@ -496,7 +482,7 @@ def coupling_sql() -> dict[str, str]:
 
 # --- gate ---
 
-OPEN = "open_warnings AS (SELECT * FROM warnings w WHERE NOT EXISTS (SELECT 1 FROM acks a WHERE a.id = w.id))"
+OPEN = "open_warnings AS (SELECT * FROM warnings w WHERE NOT EXISTS (SELECT 1 FROM acks a WHERE a.repo = w.repo AND a.id = w.id))"
 
 # Warnings named in other ways than by the graph path: cut short, cut to the name or digits, or longer than the path.
 RENAMED = """
@@ -511,37 +497,38 @@ change_sets AS (SELECT DISTINCT repo, change_id, TRUE AS has_files FROM changes
   UNION ALL SELECT concat('repo', n_nationkey), -1, FALSE FROM {nation}
   UNION ALL SELECT concat('repo', n_nationkey), -2, TRUE FROM {nation})"""
 
+COUPLING_ISSUES = """
+coupling_issues AS (SELECT c.repo, c.change_id, c.file, CASE WHEN k.confidence >= 0.5 THEN 'MEDIUM' ELSE 'LOW' END AS severity,
+    'coupling' AS kind, concat('Historical coupling: ', k.other, ' changes with this file in ',
+      CAST(floor(k.confidence * 100 + 0.5) AS BIGINT), '% of commits (', k.co_changes, ' times) -- consider reviewing') AS description
+  FROM changes c JOIN coupling k ON k.repo = c.repo AND k.file = c.file AND k.confidence >= 0.3
+  WHERE NOT EXISTS (SELECT 1 FROM changes o WHERE o.repo = c.repo AND o.change_id = c.change_id AND o.file = k.other)
+    AND NOT EXISTS (SELECT 1 FROM neighbours n WHERE n.repo = k.repo AND n.file = k.file AND n.other = k.other))"""
+
 ISSUES = """
 matched AS MATERIALIZED (
   SELECT DISTINCT c.repo, c.change_id, w.id FROM changes c JOIN open_warnings w ON w.repo = c.repo AND w.file = c.file
   UNION ALL SELECT s.repo, s.change_id, w.id FROM change_sets s JOIN open_warnings w ON w.repo = s.repo WHERE NOT s.has_files),
 warning_issues AS (SELECT m.repo, m.change_id, w.file, w.risk_level AS severity, 'warning' AS kind,
     concat(w.summary, CASE WHEN broken_import IS NULL THEN '' ELSE concat(' (broken imports: ', broken_import, ')') END) AS description
-  FROM matched m JOIN open_warnings w ON w.id = m.id WHERE w.risk_level <> 'SAFE'),
-cyclic AS MATERIALIZED (SELECT c.repo, c.comp, c.path, z.size, string_agg(c.path, ' -> ' ORDER BY c.path) OVER (
-    PARTITION BY c.repo, c.comp) AS ring FROM scc c JOIN sizes z ON z.repo = c.repo AND z.comp = c.comp WHERE z.size > 1),
-touched AS MATERIALIZED (SELECT c.repo, c.change_id, y.comp, min(c.file) AS file, max(y.size) AS size, max(y.ring) AS ring
+  FROM matched m JOIN open_warnings w ON w.repo = m.repo AND w.id = m.id WHERE w.risk_level <> 'SAFE'),
+cyclic AS MATERIALIZED (SELECT c.repo, c.comp, c.path, z.size FROM scc c JOIN sizes z ON z.repo = c.repo AND z.comp = c.comp WHERE z.size > 1),
+touched AS MATERIALIZED (SELECT c.repo, c.change_id, y.comp, min(c.file) AS file, max(y.size) AS size
   FROM changes c JOIN cyclic y ON y.repo = c.repo AND y.path = c.file GROUP BY c.repo, c.change_id, y.comp),
 cycle_issues AS (SELECT repo, change_id, file, 'CRITICAL' AS severity, 'cycle' AS kind,
-    concat('Circular dependency detected (', size, ' files): ', ring, ' -> ', comp) AS description FROM touched),
+    concat('Circular dependency detected (', size, ' files)') AS description FROM touched),
 top5 AS (SELECT repo, path, fan_in FROM (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY fan_in DESC, path) AS rn
   FROM degrees) AS d WHERE rn <= 5),
 hub_issues AS (SELECT c.repo, c.change_id, c.file, CASE WHEN t.fan_in >= 10 THEN 'HIGH' ELSE 'MEDIUM' END AS severity,
     'hub' AS kind, concat('Hub file modified (', t.fan_in, ' dependents, ',
       CASE WHEN t.fan_in >= 10 THEN 'HIGH' WHEN t.fan_in >= 5 THEN 'MEDIUM' ELSE 'LOW' END, ' risk)') AS description
   FROM changes c JOIN top5 t ON t.repo = c.repo AND t.path = c.file),
-coupling_issues AS (SELECT c.repo, c.change_id, c.file, CASE WHEN k.confidence >= 0.5 THEN 'MEDIUM' ELSE 'LOW' END AS severity,
-    'coupling' AS kind, concat('Historical coupling: ', k.other, ' changes with this file in ',
-      CAST(floor(k.confidence * 100 + 0.5) AS BIGINT), '% of commits (', k.co_changes, ' times) -- consider reviewing') AS description
-  FROM changes c JOIN coupling k ON k.repo = c.repo AND k.file = c.file AND k.confidence >= 0.3
-  WHERE NOT EXISTS (SELECT 1 FROM changes o WHERE o.repo = c.repo AND o.change_id = c.change_id AND o.file = k.other)
-    AND NOT EXISTS (SELECT 1 FROM neighbours n WHERE n.repo = k.repo AND n.file = k.file AND n.other = k.other)),
 issues AS MATERIALIZED (SELECT * FROM warning_issues UNION ALL SELECT * FROM cycle_issues UNION ALL SELECT * FROM hub_issues
   UNION ALL SELECT * FROM coupling_issues),
 counts AS (SELECT repo, change_id, count(*) AS issues, count(*) FILTER (severity = 'CRITICAL') AS critical,
     count(*) FILTER (severity = 'HIGH') AS high, count(*) FILTER (severity = 'MEDIUM') AS medium,
     count(*) FILTER (severity = 'LOW') AS low, count(*) FILTER (kind = 'cycle') AS cycles FROM issues GROUP BY repo, change_id),
-breaking AS (SELECT DISTINCT m.repo, m.change_id FROM matched m JOIN open_warnings w ON w.id = m.id
+breaking AS (SELECT DISTINCT m.repo, m.change_id FROM matched m JOIN open_warnings w ON w.repo = m.repo AND w.id = m.id
   WHERE w.risk_level = 'HIGH' AND w.broken_import IS NOT NULL),
 judged AS (SELECT s.repo, s.change_id, coalesce(c.issues, 0) AS issues, coalesce(critical, 0) AS critical,
     coalesce(high, 0) AS high, coalesce(medium, 0) AS medium, coalesce(low, 0) AS low, coalesce(cycles, 0) AS cycles,
@@ -562,11 +549,11 @@ def gate_sql() -> dict[str, str]:
     def sql(select: str, *ctes: str) -> str:
         return duck(",".join([GRAPH, GATE_CTES, OPEN, *ctes]), select, recursive=CLOSURE in ctes)
 
-    full = (SETS, CLOSURE, SCC, DEGREES, coupling_ctes(20, 500), ISSUES)
+    full = (SETS, CLOSURE, SCC, DEGREES, COUPLING, COUPLING_ISSUES, ISSUES)
     issue = "SELECT repo, change_id, file, severity, kind, description FROM "
     return {
         "unacknowledged_warnings": sql("SELECT repo, id, ts, file, risk_level FROM open_warnings"),
-        "acknowledge_warnings": sql("SELECT id, TIMESTAMP '2024-06-01 00:00:00' AS ts FROM open_warnings"),
+        "acknowledge_warnings": sql("SELECT repo, id, TIMESTAMP '2024-06-01 00:00:00' AS ts FROM open_warnings"),
         "warnings_for_files": sql(
             """SELECT DISTINCT c.repo, c.change_id, w.id FROM changes c JOIN renamed w ON w.repo = c.repo
             WHERE ends_with(c.file, w.file) OR ends_with(w.file, c.file)
@@ -578,7 +565,16 @@ def gate_sql() -> dict[str, str]:
         "cycles_for_files": sql("SELECT repo, change_id, comp, file, size FROM touched", *full),
         "cycle_issues": sql(issue + "cycle_issues", *full),
         "hub_issues": sql(issue + "hub_issues", *full),
-        "coupling_issues": sql(issue + "coupling_issues", *full),
+        "coupling_issues": sql(issue + "coupling_issues", COUPLING, COUPLING_ISSUES),
+        "cycle_members": sql(
+            """SELECT t.repo, t.change_id, t.comp, y.path AS member, y.size FROM touched t
+            JOIN cyclic y ON y.repo = t.repo AND y.comp = t.comp""", *full,
+        ),
+        "gate_issues": sql(issue + "issues WHERE change_id <> -1", *full),
+        "pass_acknowledgements": sql(
+            """SELECT repo, id, TIMESTAMP '2024-06-01 00:00:00' AS ts FROM open_warnings
+            WHERE repo IN (SELECT repo FROM verdicts WHERE verdict = 'PASS')""", *full,
+        ),
         "gate_verdict": sql(
             """SELECT v.repo, v.change_id, v.issues, v.critical, v.high, v.medium, v.low, v.cycles, v.verdict,
               CASE v.verdict WHEN 'FAIL' THEN concat('BUILD BLOCKED — ', concat_ws(', ',
@@ -635,9 +631,9 @@ def incremental_sql() -> dict[str, str]:
         "warning_stream": graph("SELECT repo, file, importer FROM broken", BROKEN),
         "open_warning_state": duck(
             ",".join([GRAPH, GATE_CTES]),
-            """SELECT coalesce(w.id, a.id) AS id, w.id IS NOT NULL AS seen, a.id IS NOT NULL AS acked,
+            """SELECT coalesce(w.repo, a.repo) AS repo, coalesce(w.id, a.id) AS id, w.id IS NOT NULL AS seen, a.id IS NOT NULL AS acked,
               w.id IS NOT NULL AND a.id IS NULL AS open
-            FROM (SELECT id FROM warnings) w FULL JOIN (SELECT DISTINCT id FROM acks) a ON a.id = w.id""",
+            FROM (SELECT repo, id FROM warnings) w FULL JOIN (SELECT DISTINCT repo, id FROM acks) a ON a.repo = w.repo AND a.id = w.id""",
         ),
     }
     q["file_change_stream"] = q["apply_file_changes"]
@@ -679,12 +675,8 @@ rows AS (SELECT f.repo, f.lang, coalesce({layer}, 'NONE') AS layer, f.lines, coa
         "analysis_context": graph(
             """, bodies AS (SELECT f.repo, f.path, coalesce(d.text, '') AS content FROM files f
               LEFT JOIN documents d ON f.name = concat('o', d.doc_id))
-            SELECT f.repo, f.path, f.content, coalesce(c.dependents, '') AS dependents, coalesce(c.head_chars, 0) AS head_chars
-            FROM bodies f LEFT JOIN (SELECT e.repo, e.dst, string_agg(e.src, ',' ORDER BY e.src) AS dependents,
-                CAST(sum(least(2000, length(b.content))) AS BIGINT) AS head_chars FROM (
-                SELECT repo, dst, src, row_number() OVER (PARTITION BY repo, dst ORDER BY src) AS rn FROM edges) AS e
-              JOIN bodies b ON b.repo = e.repo AND b.path = e.src
-              WHERE rn <= 5 GROUP BY e.repo, e.dst) c ON c.repo = f.repo AND c.dst = f.path"""
+            SELECT repo, path, NULL AS dependent, md5(content) AS content_md5 FROM bodies
+            UNION ALL SELECT e.repo, e.dst, e.src, md5(b.content) FROM edges e JOIN bodies b ON b.repo = e.repo AND b.path = e.src"""
         ),
     }
 

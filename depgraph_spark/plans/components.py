@@ -27,7 +27,11 @@ def _peel(edges: DataFrame, rows: int) -> tuple[DataFrame, int]:
 
 
 def _spread(edges: DataFrame) -> DataFrame:
-    """``(id, f, b)``: smallest id that reaches the node and smallest id the node reaches, itself included."""
+    """``(id, f, b)``: smallest id that reaches the node and smallest id the node reaches, itself included.
+
+    A round passes moved labels along the edges, then lets every node take its label's own label: what reaches the
+    label reaches the node. So labels come from twice as far each round, and a ring takes a logarithm of its length.
+    """
     both = edges.select(F.col("s").alias("u"), F.col("d").alias("v"), F.lit("f").alias("way")).unionByName(
         edges.select(F.col("d").alias("u"), F.col("s").alias("v"), F.lit("b").alias("way"))
     )
@@ -40,11 +44,13 @@ def _spread(edges: DataFrame) -> DataFrame:
     while rows:
         moved = small(labels.where("moved").select("u", "way", "label"), rows)
         offers = both.join(moved, ["u", "way"]).groupBy(F.col("v").alias("u"), "way").agg(F.min("label").alias("offer"))
+        above = labels.where("label <> u").select(F.col("u").alias("next"), "way", F.col("label").alias("above"))
+        taken = labels.join(offers, ["u", "way"], "left").withColumn("next", F.least("label", "offer"))
         labels, rows = cut_counted(
-            labels.join(offers, ["u", "way"], "left").select(
+            taken.join(above, ["next", "way"], "left").select(
                 "u", "way",
-                F.least("label", "offer").alias("label"),
-                F.coalesce(F.col("offer") < F.col("label"), F.lit(False)).alias("moved"),
+                F.least("next", "above").alias("label"),
+                (F.least("next", "above") < F.col("label")).alias("moved"),
             ),
             F.col("moved"),
         )

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from depgraph_spark.graph import DependencyGraph
 from depgraph_spark.operators import coupling, gate, incremental, rank
+from depgraph_spark.plans import components
 from depgraph_spark.operators import graph as lookups
 from depgraph_spark.plans import pagerank as power
 from depgraph_spark.plans.encode import assign_ids
@@ -55,6 +56,18 @@ def test_components(spark):
     assert len(g.bounded_cycles(max_cycles=1).collect()) == 1
 
 
+def test_ring_takes_few_rounds(spark, monkeypatch):
+    rounds = []
+    counted = components.cut_counted
+    monkeypatch.setattr(components, "cut_counted", lambda *a: rounds.append(1) or counted(*a))
+    order = list(range(1000))
+    random.Random(1).shuffle(order)
+    names = [f"n{i:04}" for i in order]
+    g = make(spark, list(zip(names, names[1:] + names[:1])))
+    assert {r["comp"] for r in g.components().collect()} == {"n0000"}
+    assert len(rounds) < 40
+
+
 @pytest.mark.parametrize("seed,n,m", [(1, 30, 45), (3, 25, 80)])
 def test_random_graphs(spark, seed, n, m):
     pairs = random_pairs(n, m, seed)
@@ -182,13 +195,16 @@ def test_coupling(spark):
     commits = {1: "abc", 2: "ab", 3: "ab", 4: "a", 5: [f"m{i}" for i in range(21)] + ["a", "b"]}
     got = {
         (r["file"], r["other"]): (r["co_changes"], r["confidence"])
-        for r in coupling.change_coupling(commit_table(spark, commits)).collect()
+        for r in coupling.change_coupling(commit_table(spark, commits), min_support=2).collect()
     }
     assert got == {("a", "b"): (3, 0.75), ("b", "a"): (3, 1.0)}
     pairs = {(r["file1"], r["file2"]): r["co_changes"] for r in coupling.co_change_pairs(commit_table(spark, commits)).collect()}
     assert pairs == {("a", "b"): 3, ("a", "c"): 1, ("b", "c"): 1}
     g = make(spark, [("a", "b")])
-    assert coupling.hidden_coupling(coupling.change_coupling(commit_table(spark, commits)), g.edges).count() == 0
+    mined = coupling.change_coupling(commit_table(spark, commits))
+    assert coupling.hidden_coupling(mined.where("co_changes > 1"), g.edges).count() == 0
+    assert coupling.hidden_coupling(mined, g.edges).count() == 4
+    assert coupling.hidden_coupling(mined, g.edges, top_n=1).count() == 3
 
 
 WARN = "repo string, id bigint, ts timestamp, file string, risk_level string, summary string, broken_imports array<string>"
@@ -201,7 +217,7 @@ def verdicts(spark, pairs, changes, warnings=(), acks=(), commits=None, extra=()
     rows = [("r", c, f, i) for c, files in changes.items() for i, f in enumerate(files or [])]
     listed = spark.createDataFrame(rows, "repo string, change_id bigint, file string, ord int")
     warned = spark.createDataFrame([("r", i, None, *w) for i, w in enumerate(warnings)], WARN)
-    acked = spark.createDataFrame([(a,) for a in acks], "id bigint")
+    acked = spark.createDataFrame([("r", a) for a in acks], "repo string, id bigint")
     mined = coupling.change_coupling(commit_table(spark, commits)) if commits else None
     out = gate.gate_verdict(g, sets, listed, warned, acked, mined)
     return {r["change_id"]: r for r in out.collect()}
@@ -242,7 +258,30 @@ def test_gate_cycle_issue_names_first_listed(spark):
     g = make(spark, [("x", "y"), ("y", "x")])
     changes = spark.createDataFrame([("r", 1, "y", 0), ("r", 1, "x", 1)], "repo string, change_id bigint, file string, ord int")
     row = gate.cycle_issues(g, changes).first()
-    assert (row["file"], row["description"]) == ("y", "Circular dependency detected (2 files): x -> y -> x")
+    assert (row["file"], row["description"]) == ("y", "Circular dependency detected (2 files)")
+
+
+def test_gate_spells_long_cycles_as_rows(spark):
+    names = [f"f{i:02}" for i in range(51)]
+    g = make(spark, list(zip(names, names[1:] + names[:1])))
+    changes = spark.createDataFrame([("r", 1, "f07")], "repo string, change_id bigint, file string")
+    assert gate.cycle_issues(g, changes).first()["description"] == "Circular dependency detected (51 files)"
+    rows = gate.cycle_members(g, changes).collect()
+    assert sorted(r["member"] for r in rows) == names and {r["size"] for r in rows} == {51}
+
+
+def test_acks_close_warnings_of_their_own_repository(spark):
+    rows = [(repo, 1, None, "f", "HIGH", "s", []) for repo in ("r1", "r2")]
+    warned = spark.createDataFrame(rows, WARN)
+    acked = spark.createDataFrame([("r1", 1)], "repo string, id bigint")
+    opened = gate.unacknowledged_warnings(warned, acked)
+    assert [r["repo"] for r in opened.collect()] == ["r2"]
+    assert [(r["repo"], r["id"]) for r in gate.acknowledge_warnings(warned, acked).collect()] == [("r2", 1)]
+    changes = spark.createDataFrame([("r1", 7, "f"), ("r2", 8, "f")], "repo string, change_id bigint, file string")
+    issues = gate.warning_issues(gate.warnings_for_files(changes, opened), opened).collect()
+    assert [(r["repo"], r["change_id"]) for r in issues] == [("r2", 8)]
+    verdicts_ = spark.createDataFrame([("r2", "PASS"), ("r1", "WARN")], "repo string, verdict string")
+    assert [(r["repo"], r["id"]) for r in gate.pass_acknowledgements(verdicts_, opened).collect()] == [("r2", 1)]
 
 
 def test_gate_small_hub_still_warns(spark):

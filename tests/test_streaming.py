@@ -114,15 +114,17 @@ def test_warning_stream(spark, tmp_path):
 
 def test_open_warnings_as_stream(spark, tmp_path):
     for name, ids in {"w": [1, 2, 3, 3], "a": [2, 2, 9]}.items():
-        spark.createDataFrame([(i,) for i in ids], "id bigint").write.parquet(str(tmp_path / name))
-    w = spark.readStream.schema("id bigint").parquet(str(tmp_path / "w"))
-    a = spark.readStream.schema("id bigint").parquet(str(tmp_path / "a"))
+        rows = [("r", i) for i in ids] + [("other", 2)] * (name == "w")
+        spark.createDataFrame(rows, "repo string, id bigint").write.parquet(str(tmp_path / name))
+    w = spark.readStream.schema("repo string, id bigint").parquet(str(tmp_path / "w"))
+    a = spark.readStream.schema("repo string, id bigint").parquet(str(tmp_path / "a"))
     query = (
         open_warning_state(w, a).writeStream.outputMode("complete").format("memory").queryName("open_state")
         .trigger(availableNow=True).start()
     )
     query.awaitTermination()
-    assert {r["id"] for r in spark.table("open_state").where("open").collect()} == {1, 3}
+    left = {(r["repo"], r["id"]) for r in spark.table("open_state").where("open").collect()}
+    assert left == {("r", 1), ("r", 3), ("other", 2)}
 
 
 def test_scan_reads_whole_files(spark, tmp_path):
