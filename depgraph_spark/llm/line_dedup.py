@@ -71,7 +71,8 @@ def without_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFram
     gone = later.groupBy("_id", "_text").agg(F.collect_set("pos").alias("_gone"))
     gone = gone.select(F.col("_id").alias("_doc"), F.col("_text").alias("_doc_text"), "_gone")
     keyed = whole_rows(docs)
-    joined = keyed.join(small(gone, n_found), same_row(keyed, gone), "left")
+    # No broadcast here, however few rows go: the texts are dealt out in the same way at every size.
+    joined = keyed.join(gone, same_row(keyed, gone), "left")
 
     def kept(parts: Column) -> Column:
         places = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("_gone"))
