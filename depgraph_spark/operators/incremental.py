@@ -66,9 +66,9 @@ def broken_import_warnings(graph: DependencyGraph, deleted: DataFrame, present:
 
 
 def latest_changes(changes: DataFrame) -> DataFrame:
-    """The newest row per file of ``file_changes(repo, path, content, op, ts)``."""
-    last = F.max_by(F.struct("content", "op"), "ts").alias("last")
-    return changes.groupBy("repo", "path").agg(last).select("repo", "path", "last.content", "last.op")
+    """The newest row per file of ``file_changes(repo, path, content, op, ts)``; ties go by op, then content."""
+    last = F.max(F.struct("ts", "op", "content")).alias("last")
+    return changes.groupBy("repo", "path").agg(last).select("repo", "path", "last.content", "last.op", "last.ts")
 
 
 def stems_answered_by(paths: DataFrame) -> DataFrame:
@@ -93,18 +93,22 @@ def apply_file_changes(
     Work grows with the batch: the changed rows and what they touch are written once and joined, small, against the
     stored tables. Added and changed texts are read again. Every other file keeps its edges unless one of its import stems could be
     answered by an added or deleted path: a new file can outrank or rescue a target, a deleted one lets it fall back.
-    ``files(repo, path)``, ``stems`` from ``import_stems``, ``dirs`` the source folders (if those change, rebuild).
+    ``files(repo, path[, known])``: with ``known``, the whole listing, where false marks what is no graph file but can
+    still win a stem. ``stems`` from ``import_stems``, ``dirs`` the source folders (if those change, rebuild).
     """
+    whole = "known" in files.columns
     last = cut(latest_changes(changes))
     gone = last.where(F.col("op") == "delete").select("repo", "path")
     texts = last.where(F.col("op") != "delete").select("repo", "path", "content")
-    present = files.select("repo", "path")
-    eligible = graph_files(texts.select("repo", "path"), dirs).select("repo", "path").distinct()
-    added = eligible.join(present, ["repo", "path"], "left_anti")
+    present = files.select("repo", "path", (F.col("known") if whole else F.lit(True)).alias("known"))
+    eligible = graph_files(texts.select("repo", "path"), dirs).select("repo", "path", F.lit(True).alias("known")).distinct()
+    others = texts.select("repo", "path").join(eligible, ["repo", "path"], "left_anti").withColumn("known", F.lit(False))
+    arrived = eligible.unionByName(others.distinct()) if whole else eligible
+    added = arrived.join(present, ["repo", "path"], "left_anti")
     new_files = present.join(gone, ["repo", "path"], "left_anti").unionByName(added)
     fresh = cut(import_stems(specifiers(texts), dirs, packages, aliases))
     new_stems = stems.join(last.select("repo", "path"), ["repo", "path"], "left_anti").unionByName(fresh)
-    moved = cut(stems_answered_by(added.unionByName(gone)))
+    moved = cut(stems_answered_by(added.select("repo", "path").unionByName(gone)))
     touched = cut(
         new_stems.join(moved, ["repo", "lang", "stem"], "left_semi").select("repo", "path")
         .unionByName(texts.select("repo", "path"))
@@ -116,7 +120,7 @@ def apply_file_changes(
     redone = count_edges(resolve_imports(again, index))
     stale = touched.unionByName(gone).distinct().withColumnRenamed("path", "src")
     kept = edges.join(stale, ["repo", "src"], "left_anti")
-    return new_files, new_stems, kept.unionByName(redone)
+    return new_files if whole else new_files.drop("known"), new_stems, kept.unionByName(redone)
 
 
 def refresh_graph(

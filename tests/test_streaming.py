@@ -79,6 +79,33 @@ def test_apply_equals_rebuild(spark):
         assert {r["path"] for r in files.collect()} == {p for p in after(n) if p.endswith(".ts")}
 
 
+def test_other_files_can_win_a_stem(spark):
+    """A listed file without a language's ending shadows the one with it, as in a rebuild."""
+    before = {"package.json": "{}", "src/foo": "", "src/foo.ts": "", "src/a.ts": "", "src/b.ts": "import './bar'", "src/bar.ts": ""}
+    later = before | {"src/a.ts": "import x from './foo'", "src/bar": "new"}
+    texts = table(spark, before)
+    dirs = source_dirs(texts)
+    stems, edges = import_stems(specifiers(texts), dirs), dependency_edges(texts)
+    files = texts.select("repo", "path", F.col("path").endswith(".ts").alias("known"))
+    feed = [(p, later[p], "change", 1) for p in ("src/a.ts", "src/bar")]
+    rows = spark.createDataFrame(rows_of(feed), FILE_CHANGES)
+    files, _, edges = apply_file_changes(files, stems, edges, rows, dirs)
+    assert edge_set(edges) == edge_set(dependency_edges(table(spark, later))) == set()
+    assert {r["path"]: r["known"] for r in files.collect()}["src/bar"] is False
+
+
+def test_late_rows_change_nothing(spark, tmp_path):
+    files, stems, edges, dirs = start(spark)
+    state = start_state(spark, str(tmp_path / "state"), files, stems, edges)
+    feed = str(tmp_path / "feed")
+    for content, ts in (("import './c'", 9), ("import './d'", 5)):
+        spark.createDataFrame(rows_of([("src/e.ts", content, "change", ts)]), FILE_CHANGES).write.mode("append").parquet(feed)
+        source = spark.readStream.schema(FILE_CHANGES).parquet(feed)
+        file_change_stream(source, state, str(tmp_path / "progress"), dirs).awaitTermination()
+    found = {r["dst"] for r in state.current("edges").where("src = 'src/e.ts'").collect()}
+    assert found == {"src/c/index.ts"}
+
+
 def test_stream_restart_and_replay(spark, tmp_path):
     files, stems, edges, dirs = start(spark)
     state = start_state(spark, str(tmp_path / "state"), files, stems, edges)
