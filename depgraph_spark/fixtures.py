@@ -131,7 +131,7 @@ marks AS (
 listing AS (SELECT repo, path FROM listed UNION ALL SELECT repo, path FROM marks)"""
 
 # A customer's orders of a year as a commit: the parts and suppliers in them are the files that changed together.
-# About one commit in six touches more than 20 files.
+# About one commit in four touches more than 20 files.
 COMMIT_CTES = """
 order_commits AS (
   SELECT repo, o_orderkey, o_orderdate,
