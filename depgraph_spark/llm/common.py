@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Bytes of text that are hashed at once, so that the arrays of a task stay small; a longer text is taken alone.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 SHINGLE_WORDS = 5
 EMPTY = ""
 
@@ -141,6 +142,18 @@ def binary(rows: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.large_binary(), len(rows), [None, at.buffers()[1], pa.py_buffer(rows)]).cast(pa.binary())
 
 
+@contextmanager
+def arrow_rows(spark: SparkSession, n: int):
+    """Run actions with at most ``n`` rows in an Arrow batch, so that batches of whole texts stay small."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(n))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def crc_remainder(doc_id="doc_id"):
     """crc32 of the decimal doc_id modulo 3; a null id counts as empty text."""
     return F.crc32(F.encode(F.coalesce(F.col(doc_id).cast("string"), F.lit("")), "UTF-8")) % 3

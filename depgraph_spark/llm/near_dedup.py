@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut, cut_counted, small
-from .common import binary, powers, row_keys, same_row, shingle_hashes, slices, text_buffers, whole_rows, word_hashes
+from .common import arrow_rows, binary, powers, row_keys, same_row, shingle_hashes, slices, text_buffers, whole_rows, word_hashes
 
 # Bands of hashes: a pair of similarity 0.8 shares none of them three times in a million.
 BANDS, ROWS = 24, 4
@@ -29,9 +29,12 @@ HASHES, BATCH = 512, 64
 # Similarity that links, in percent, and the probability with which one test may prune a pair that is that similar.
 THRESHOLD_PERCENT = 80
 MISS = 1e-5
-# Members of a bucket that are compared in one block, and pairs that are compared at once.
-BLOCK = 2_048
-PAIRS_AT_ONCE = 1 << 15
+# Pairs across components at least this likely to be similar are confirmed first; what they join needs no further test.
+LIKELY = 0.5
+# Rows of an Arrow batch; their texts are held by a task at once.
+BATCH_ROWS = 1_000
+# Members of a bucket that are compared in one block.
+BLOCK = 512
 
 _draw = np.random.default_rng(20_240_601)
 _FACTORS = _draw.integers(0, 1 << 31, HASHES).astype(np.uint32) * np.uint32(2) + np.uint32(1)
@@ -188,7 +191,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, classes: DataFrame, percent: in
             at = pa.array(keep, pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at)], ["a", "b"])
 
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    ends = pairs.select(F.col("a").alias("node")).distinct().unionByName(pairs.select(F.col("b").alias("node")).distinct()).distinct()
     nodes, n = cut_counted(classes.select("node", "rep").join(ends, "node", "left_semi"))
     texts = cut(class_texts(docs, nodes, n))
     first = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("left")), "a")
@@ -223,23 +226,25 @@ def connected(edges: DataFrame) -> tuple[DataFrame, int]:
 
 
 def block_pairs(members: DataFrame, percent: int, miss: float, partitions: int) -> DataFrame:
-    """Pairs across components that pass the tests, from members(band, block, home, outside, leads, node, comp, bits).
+    """Pairs across components that pass the tests, from members(band, block, home, outside, leads, node, comp, bits, bands).
 
     Rows of a block stand together in a partition; a block is held at a time. A row outside the bucket's main
     component is in all its blocks and meets everyone there, two such rows in the home block of the first only; pairs
-    with the bucket's leader were compared before.
+    with the bucket's leader were compared before. Of the bands that two rows share, only the first reports the pair.
     """
     least = least_matches(percent, miss)
 
     def compare(rows: dict[str, np.ndarray]) -> np.ndarray:
         node, comp, home, outside, leads = (rows[k] for k in ("node", "comp", "home", "outside", "leads"))
-        bits, block = rows["bits"], rows["block"]
+        bits, block, bands = rows["bits"], rows["block"], rows["bands"]
+        here = int(np.argmax(bands[0] == rows["band"][0]))
         at_home = home == block
         found = []
         for i in np.flatnonzero(outside & ~leads):
             others = (comp != comp[i]) & ~leads & (~outside | (at_home[i] & ((node > node[i]) | ~at_home)))
             j = np.flatnonzero(others)
             if len(j):
+                j = j[~(bands[j, :here] == bands[i, :here]).any(axis=1)]
                 keep = j[promising(bits, bits, np.full(len(j), i), j, least)]
                 found.append(np.stack([np.full(len(keep), node[i]), node[keep]], axis=1))
         return np.concatenate(found) if found else np.zeros((0, 2), np.int64)
@@ -259,8 +264,9 @@ def block_pairs(members: DataFrame, percent: int, miss: float, partitions: int)
         for batch in batches:
             if not batch.num_rows:
                 continue
-            rows = {k: np.asarray(batch.column(i).to_numpy(zero_copy_only=False)) for i, k in enumerate(batch.schema.names[:-1])}
-            rows["bits"] = matrix(batch.column(batch.num_columns - 1), np.uint8, HASHES)
+            rows = {k: np.asarray(batch.column(i).to_numpy(zero_copy_only=False)) for i, k in enumerate(batch.schema.names[:-2])}
+            rows["bits"] = matrix(batch.column(batch.num_columns - 2), np.uint8, HASHES)
+            rows["bands"] = matrix(batch.column(batch.num_columns - 1), np.int64, BANDS)
             if held is not None:
                 rows = {k: np.concatenate([held[k], v]) for k, v in rows.items()}
             same = (rows["band"] == rows["band"][-1]) & (rows["block"] == rows["block"][-1])
@@ -271,7 +277,7 @@ def block_pairs(members: DataFrame, percent: int, miss: float, partitions: int)
         if held is not None:
             yield flush(held, len(held["node"]))
 
-    laid = members.select("band", "block", "home", "outside", "leads", "node", "comp", "bits")
+    laid = members.select("band", "block", "home", "outside", "leads", "node", "comp", "bits", "bands")
     laid = laid.repartition(partitions, "band", "block").sortWithinPartitions("band", "block")
     return laid.mapInArrow(walk, "a bigint, b bigint")
 
@@ -292,31 +298,44 @@ def links(docs: DataFrame, classes: DataFrame, percent: int, miss: float) -> tup
     edges = cut(confirmed(cut(survivors(pairs, classes, percent, miss)), docs, classes, percent))
     comps, n_comps = connected(edges)
 
+    for least_chance in (LIKELY, miss):
+        pairs = pairs_across(members, comps, n_comps, classes, percent, least_chance)
+        extra, n_extra = cut_counted(confirmed(pairs, docs, classes, percent))
+        if n_extra:
+            edges = edges.unionByName(extra)
+            comps, n_comps = connected(edges)
+    return comps, n_comps
+
+
+def pairs_across(
+    members: DataFrame, comps: DataFrame, n_comps: int, classes: DataFrame, percent: int, miss: float
+) -> DataFrame:
+    """Pairs (a, b) of members(band, node, size, leads) of one bucket and different components that pass the tests."""
     named = members.where("size > 2").join(small(comps, n_comps), "node", "left")
     named = cut(named.select("band", "node", "size", "leads", F.coalesce("comp", "node").alias("comp")))
     mains = named.groupBy("band", "comp").agg(F.count(F.lit(1)).alias("n")).groupBy("band").agg(
         F.count(F.lit(1)).alias("comps"), F.max(F.struct("n", "comp"))["comp"].alias("main")
     ).where("comps > 1").select("band", "main")
     mains, n_mains = cut_counted(mains)
-    if not n_mains:
-        return comps, n_comps
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    rest = named.join(small(mains, n_mains), "band").join(classes.select("node", "bits"), "node")
+    rest = named.join(small(mains, n_mains), "band").join(classes.select("node", "bits", "bands"), "node")
     rest = rest.withColumns({
         "outside": F.col("comp") != F.col("main"),
         "home": F.pmod(F.xxhash64("node"), blocks).cast("int"),
     })
     where_to = F.when(F.col("outside"), F.sequence(F.lit(0), blocks - 1)).otherwise(F.array("home"))
     spread = rest.withColumn("block", F.explode(where_to))
-    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    more = cut(block_pairs(spread, percent, miss, partitions).distinct())
-    extra, n_extra = cut_counted(confirmed(more, docs, classes, percent))
-    return connected(edges.unionByName(extra)) if n_extra else (comps, n_comps)
+    partitions = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return cut(block_pairs(spread, percent, miss, partitions).distinct())
 
 
 def grouped(docs: DataFrame, percent: int, miss: float) -> DataFrame:
     """(doc_id, _text, n_shingles, node, comp, component_id) of every row; comp is one node per component."""
-    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    with arrow_rows(docs.sparkSession, BATCH_ROWS):
+        return _grouped(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"), percent, miss)
+
+
+def _grouped(docs: DataFrame, percent: int, miss: float) -> DataFrame:
     rows = cut(signed(docs))
     classes = rows.where("node is not null").groupBy("node").agg(
         F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("bits").alias("bits")
