@@ -18,12 +18,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut
 from .bpe import MEMO_WORDS, Encoder, Vocabulary, load_vocabulary, text_slices
 from .common import ragged
 
 # Bounds of the lexicon, and so of what the driver compiles and broadcasts; words beyond them are merged in the tasks.
 LEXICON_WORDS = 40_000
 WORD_BYTES = 48
+# Bins of the logarithm of a count to the base of two.
+LEVELS = 16
 
 
 def count_words(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
@@ -201,9 +204,21 @@ class Codec:
 
 
 def build_lexicon(docs: DataFrame, vocabulary: Vocabulary, size: int = LEXICON_WORDS) -> bytes:
-    """Compile the ``size`` most frequent words of all texts (of equal counts the lesser word)."""
-    counts = count_words(docs, vocabulary).where(F.octet_length("word") <= WORD_BYTES)
-    top = counts.orderBy(F.desc("n"), "word").limit(size).select("word").collect()
+    """Compile the most frequent words of all texts, ``size`` of them at most.
+
+    Counts are binned by their logarithm; the words of the highest bins that fit together come to the driver, so what
+    it receives doesn't grow with the corpus or its partitions.
+    """
+    counts = cut(count_words(docs, vocabulary).where(F.octet_length("word") <= WORD_BYTES))
+    level = F.floor(F.log2("n") * LEVELS).cast("int")
+    listed = counts.groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("words")).collect()
+    total, least = 0, None
+    for row in sorted(listed, reverse=True):
+        total += row["words"]
+        if total > size:
+            break
+        least = row["level"]
+    top = [] if least is None else counts.where(level >= least).select("word").collect()
     return compile_lexicon([r["word"] for r in top], vocabulary)
 
 
