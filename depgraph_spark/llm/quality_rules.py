@@ -22,13 +22,15 @@ SUPPORT = 0.75
 ROUNDS = 4
 # Fewer documents than this give no fit of their own: the language's is used, then that of all documents.
 LEAST_GROUP = 100
-# Squared robust distance beyond which a document is rejected; the median of it is scaled to that of chi-square.
-CUTOFF = 400.0
+# Squared robust distance beyond which a document is rejected: the 0.999 quantile of chi-square with five degrees of
+# freedom, to whose median that of the distances is scaled.
+CUTOFF = 20.515
 # Median of chi-square with five degrees of freedom.
 CHI_MEDIAN = 4.3515
 # Least standard deviation of each statistic, so that one that is nearly constant can neither make the determinant
-# zero nor reject a document for a line or two.
-FLOORS = {"log_words": 0.05, "word_length": 0.02, "symbols": 0.02, "dup_lines": 0.25, "repeats": 0.05}
+# zero nor reject a document for a line or two. Where it is constant, a document goes by it alone from four duplicate
+# lines, 5.2 symbols in a hundred words or 21 % of repeated words on.
+FLOORS = {"log_words": 0.05, "word_length": 0.02, "symbols": 0.05, "dup_lines": 0.35, "repeats": 0.1}
 # Squared distances are ranked by bins of a hundredth of their logarithm: counts that are equal on every run.
 BINS = 100.0
 

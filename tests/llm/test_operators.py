@@ -469,6 +469,37 @@ def test_outliers_go(spark):
     assert all(got[i] == (i < 900) for i in got)
 
 
+def test_each_statistic_rejects_alone(spark):
+    """Documents that the base keeps and that are odd in one statistic go; slightly odd ones stay."""
+    draw = random.Random(8)
+
+    def words(n, vocabulary=900):
+        return [f"w{draw.randrange(vocabulary)}" for _ in range(n)]
+
+    def lines(copies):
+        return "\n".join([*["one line"] * (copies + 1), " ".join(words(120))])
+
+    def repeats(n):
+        again = words(n)
+        return " ".join([*again, *words(200 - 2 * n), *again])
+
+    plain = [" ".join(words(draw.randrange(60, 200))) for _ in range(300)]
+    odd = {
+        "log_words": " ".join(words(5_000, 1_000_000_000)),
+        "word_length": " ".join(w + "abcdefgh" for w in words(100)),
+        "symbols": " ".join([*words(100), *["#"] * 12]),
+        "dup_lines": lines(8),
+        "repeats": repeats(35),
+    }
+    slight = [lines(2), repeats(5), " ".join([*words(100), "#"])]
+    docs = [(i, text, "en", "a") for i, text in enumerate([*plain, *slight, *odd.values()])]
+    got = {r["doc_id"]: r for r in quality_rules.judge_documents(documents(spark, docs)).collect()}
+    usual = len(plain) + len(slight)
+    assert all(got[i]["kept"] for i in range(usual))
+    assert not any(got[i]["base_failed"] for i in range(usual, len(docs)))
+    assert {name for i, name in enumerate(odd, usual) if not got[i]["kept"]} == set(odd)
+
+
 def test_rules_of_messy_rows(messy, nothing):
     got = quality_rules.judge_documents(messy)
     assert got.count() == len(MESSY) and got.where("kept is null").count() == 0
