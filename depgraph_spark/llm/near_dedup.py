@@ -33,7 +33,7 @@ MISS = 1e-5
 LIKELY = 0.5
 # Rows of an Arrow batch; their texts are held by a task at once.
 BATCH_ROWS = 1_000
-# Members of a bucket that are compared in one block.
+# Members of a bucket that make a block, on average; two blocks are compared at a time.
 BLOCK = 512
 
 _draw = np.random.default_rng(20_240_601)
@@ -226,23 +226,22 @@ def connected(edges: DataFrame) -> tuple[DataFrame, int]:
 
 
 def block_pairs(members: DataFrame, percent: int, miss: float, partitions: int) -> DataFrame:
-    """Pairs across components that pass the tests, from members(band, block, home, outside, leads, node, comp, bits, bands).
+    """Pairs across components that pass the tests, from members(band, low, high, home, node, comp, bits, bands).
 
-    Rows of a block stand together in a partition; a block is held at a time. A row outside the bucket's main
-    component is in all its blocks and meets everyone there, two such rows in the home block of the first only; pairs
-    with the bucket's leader were compared before. Of the bands that two rows share, only the first reports the pair.
+    Rows of a cell stand together in a partition; a cell is held at a time. It compares the block ``low`` with the
+    block ``high``, see ``dealt``. Of the bands that two rows share, only the first reports the pair.
     """
     least = least_matches(percent, miss)
 
     def compare(rows: dict[str, np.ndarray]) -> np.ndarray:
-        node, comp, home, outside, leads = (rows[k] for k in ("node", "comp", "home", "outside", "leads"))
-        bits, block, bands = rows["bits"], rows["block"], rows["bands"]
+        node, comp, home, bits, bands = (rows[k] for k in ("node", "comp", "home", "bits", "bands"))
+        low, high = rows["low"][0], rows["high"][0]
         here = int(np.argmax(bands[0] == rows["band"][0]))
-        at_home = home == block
+        facing = home == high
         found = []
-        for i in np.flatnonzero(outside & ~leads):
-            others = (comp != comp[i]) & ~leads & (~outside | (at_home[i] & ((node > node[i]) | ~at_home)))
-            j = np.flatnonzero(others)
+        for i in np.flatnonzero(home == low):
+            others = facing & (comp != comp[i])
+            j = np.flatnonzero(others & (node > node[i]) if low == high else others)
             if len(j):
                 j = j[~(bands[j, :here] == bands[i, :here]).any(axis=1)]
                 keep = j[promising(bits, bits, np.full(len(j), i), j, least)]
@@ -254,7 +253,7 @@ def block_pairs(members: DataFrame, percent: int, miss: float, partitions: int)
 
         def flush(rows, until):
             pairs = [np.zeros((0, 2), np.int64)]
-            edges = np.flatnonzero((np.diff(rows["band"][:until]) != 0) | (np.diff(rows["block"][:until]) != 0)) + 1
+            edges = np.flatnonzero(np.any([np.diff(rows[k][:until]) != 0 for k in ("band", "low", "high")], axis=0)) + 1
             for a, b in zip(np.append(0, edges), np.append(edges, until)):
                 if b - a > 1:
                     pairs.append(compare({k: v[a:b] for k, v in rows.items()}))
@@ -269,7 +268,7 @@ def block_pairs(members: DataFrame, percent: int, miss: float, partitions: int)
             rows["bands"] = matrix(batch.column(batch.num_columns - 1), np.int64, BANDS)
             if held is not None:
                 rows = {k: np.concatenate([held[k], v]) for k, v in rows.items()}
-            same = (rows["band"] == rows["band"][-1]) & (rows["block"] == rows["block"][-1])
+            same = np.all([rows[k] == rows[k][-1] for k in ("band", "low", "high")], axis=0)
             begin = len(same) - int(np.argmin(np.append(same[::-1], False)))
             if begin:
                 yield flush(rows, begin)
@@ -277,11 +276,27 @@ def block_pairs(members: DataFrame, percent: int, miss: float, partitions: int)
         if held is not None:
             yield flush(held, len(held["node"]))
 
-    laid = members.select("band", "block", "home", "outside", "leads", "node", "comp", "bits", "bands")
-    laid = laid.repartition(partitions, "band", "block").sortWithinPartitions("band", "block")
+    laid = members.select("band", "low", "high", "home", "node", "comp", "bits", "bands")
+    laid = laid.repartition(partitions, "band", "low", "high").sortWithinPartitions("band", "low", "high")
     return laid.mapInArrow(walk, "a bigint, b bigint")
 
 
+def dealt(rows: DataFrame) -> DataFrame:
+    """Rows (band, node, size, n_main, outside, ...) of buckets with the cells they are compared in: home, low and high.
+
+    The rows outside a bucket's main component and those inside are dealt out to blocks of about BLOCK rows each, the
+    outside ones numbered first. A cell is a pair low <= high of blocks of which low is outside, so that every pair
+    with a row outside meets in one cell, and no cell has more rows than two blocks, whatever the bucket's size.
+    """
+    n_out = F.ceil((F.col("size") - F.col("n_main")) / BLOCK).cast("int")
+    n_in = F.ceil(F.col("n_main") / BLOCK).cast("int")
+    drawn = F.xxhash64("node")
+    home = F.when(F.col("outside"), F.pmod(drawn, n_out)).otherwise(n_out + F.pmod(drawn, n_in)).cast("int")
+    facing = F.sequence(F.lit(0), F.when(F.col("outside"), n_out + n_in).otherwise(n_out) - 1)
+    met = rows.withColumn("home", home).withColumn("other", F.explode(facing))
+    return met.withColumns({"low": F.least("home", "other"), "high": F.greatest("home", "other")}).drop("other")
+
+
 def links(docs: DataFrame, classes: DataFrame, percent: int, miss: float) -> tuple[DataFrame, int]:
     """(node, comp) of all classes that are linked with another, from classes(node, rep, bands, bits)."""
     mixed = F.xxhash64("band", "node")
@@ -314,17 +329,12 @@ def pairs_across(
     named = members.where("size > 2").join(small(comps, n_comps), "node", "left")
     named = cut(named.select("band", "node", "size", "leads", F.coalesce("comp", "node").alias("comp")))
     mains = named.groupBy("band", "comp").agg(F.count(F.lit(1)).alias("n")).groupBy("band").agg(
-        F.count(F.lit(1)).alias("comps"), F.max(F.struct("n", "comp"))["comp"].alias("main")
-    ).where("comps > 1").select("band", "main")
+        F.count(F.lit(1)).alias("comps"), F.max(F.struct("n", "comp")).alias("most")
+    ).where("comps > 1").select("band", F.col("most.comp").alias("main"), F.col("most.n").alias("n_main"))
     mains, n_mains = cut_counted(mains)
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    rest = named.join(small(mains, n_mains), "band").join(classes.select("node", "bits", "bands"), "node")
-    rest = rest.withColumns({
-        "outside": F.col("comp") != F.col("main"),
-        "home": F.pmod(F.xxhash64("node"), blocks).cast("int"),
-    })
-    where_to = F.when(F.col("outside"), F.sequence(F.lit(0), blocks - 1)).otherwise(F.array("home"))
-    spread = rest.withColumn("block", F.explode(where_to))
+    # Pairs with the bucket's leader were compared before.
+    rest = named.where("not leads").join(small(mains, n_mains), "band").join(classes.select("node", "bits", "bands"), "node")
+    spread = dealt(rest.withColumn("outside", F.col("comp") != F.col("main")))
     partitions = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return cut(block_pairs(spread, percent, miss, partitions).distinct())
 

@@ -89,6 +89,24 @@ def test_near_duplicates_in_blocks(spark, monkeypatch):
     assert rows_of(got, "doc_id", "n_shingles", "component_id", "kept") == sorted(brute_components(docs, 85), key=repr)
 
 
+def test_cells_of_large_buckets_are_bounded(spark, monkeypatch):
+    """Whether a bucket has a main component or none, every pair across meets once and no cell grows with the bucket."""
+    monkeypatch.setattr(near_dedup, "BLOCK", 8)
+    for n_main in (1, 100):
+        rows = [(1, i, 200, n_main, i >= n_main) for i in range(200)]
+        table = spark.createDataFrame(rows, "band long, node long, size long, n_main long, outside boolean")
+        cells = {}
+        for r in near_dedup.dealt(table).collect():
+            cells.setdefault((r["low"], r["high"]), []).append((r["home"], r["node"]))
+        assert max(map(len, cells.values())) <= 5 * 8
+        met = Counter()
+        for (low, high), members in cells.items():
+            for home, a in members:
+                if home == low:
+                    met.update((min(a, b), max(a, b)) for other, b in members if other == high and (low < high or a < b))
+        assert met == Counter((a, b) for b in range(n_main, 200) for a in range(b))
+
+
 def test_posterior_bound_keeps_similar_pairs():
     least = near_dedup.least_matches(85, 1e-5)
     assert all(0.5 * n < m < 0.85 * n for n, m in least.items())
