@@ -1,4 +1,4 @@
-"""Queries of the ten operators over whole tables, and the SQL of those that SQL can express."""
+"""Queries of the operators over whole tables, and the SQL of those that SQL can express."""
 
 from __future__ import annotations
 
@@ -16,11 +16,15 @@ from .near_dedup import near_duplicates
 from .pii import pii_digest
 from .quality_ranker import learn_ranker, score_documents
 from .quality_rules import judge_documents
+from .ranked_search import build_index, search
+from .token_counts import count_tokens
 from .token_orc import read_token_orc, token_digest, write_token_orc
 from .url_filter import filter_urls
 
 # The tokenizer file of the byte-level vocabulary, in the public_tokenizers package.
 TOKENIZER = "byte_bpe_50k.json"
+# The file of the vocabulary with word ends.
+WORD_TOKENIZER = "word_bpe_49k.json"
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -106,10 +110,10 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_languages(read(spark, sf_dir, "documents"))
 
 
-def tokenizer_path() -> str:
+def tokenizer_path(name: str = TOKENIZER) -> str:
     import public_tokenizers
 
-    return public_tokenizers.path(TOKENIZER)
+    return public_tokenizers.path(name)
 
 
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -126,6 +130,38 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_documents(read(spark, sf_dir, "documents"))
 
 
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search(build_index(read(spark, sf_dir, "documents")), read(spark, sf_dir, "benchmark"), k=10)
+
+
+OP12_SQL = r"""
+WITH docs AS (SELECT row_number() OVER () AS d, doc_id, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+items AS (SELECT row_number() OVER () AS q, item_id, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM benchmark),
+found AS (SELECT d, doc_id, unnest(regexp_extract_all(t, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM docs),
+wanted AS (
+  SELECT q, item_id, term, count(*) AS times
+  FROM (SELECT q, item_id, unnest(regexp_extract_all(t, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM items)
+  GROUP BY ALL),
+lens AS (SELECT d, count(*) AS n FROM found GROUP BY d),
+totals AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS terms FROM lens),
+tfs AS (SELECT d, doc_id, term, count(*) AS tf FROM found WHERE term IN (SELECT term FROM wanted) GROUP BY ALL),
+weights AS (
+  SELECT term, CAST(floor(1000 * ln(CAST(2 * docs + 2 AS DOUBLE) / CAST(2 * count(*) + 1 AS DOUBLE))) AS BIGINT) AS w
+  FROM tfs, totals GROUP BY term, docs),
+scored AS (
+  SELECT q, item_id, d, doc_id,
+    CAST(sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * docs) // terms)))) AS BIGINT) AS score
+  FROM wanted JOIN weights USING (term) JOIN tfs USING (term) JOIN lens USING (d), totals
+  GROUP BY q, item_id, d, doc_id),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id) AS r FROM scored WHERE score > 0)
+SELECT item_id, CAST(r AS INTEGER) AS rank, doc_id, score FROM ranked WHERE r <= 10
+"""
+
+
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return count_tokens(read(spark, sf_dir, "documents"), tokenizer_path(WORD_TOKENIZER))
+
+
 OP6_SQL = r"""
 WITH texts AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
 proposed AS (
@@ -179,8 +215,10 @@ def queries() -> dict[str, Query]:
         "op8_bpe": op8_bpe,
         "op9_token_orc": op9_token_orc,
         "op10_quality_rules": op10_quality_rules,
+        "op12_ranked_search": op12_ranked_search,
+        "op13_token_counts": op13_token_counts,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_line_dedup": OP2_SQL, "op3_url_filter": OP3_SQL, "op6_pii": OP6_SQL}
+    return {"op2_line_dedup": OP2_SQL, "op3_url_filter": OP3_SQL, "op6_pii": OP6_SQL, "op12_ranked_search": OP12_SQL}
