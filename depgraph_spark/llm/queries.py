@@ -6,8 +6,10 @@ import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..session import checkpoint_dir
+from .conversation_repair import repair_conversations
 from .decontaminate import judge_contamination
 from .language_id import identify_languages
 from .lexicon import round_trip
@@ -130,6 +132,26 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_documents(read(spark, sf_dir, "documents"))
 
 
+def damaged(conversations: DataFrame) -> DataFrame:
+    """Rows with planted faults, by crc32 of ``conv_id:turn`` modulo 20; nulls count as one blank."""
+    blank = F.lit(" ")
+    key = F.concat(F.coalesce(F.col("conv_id").cast("string"), blank), F.lit(":"), F.coalesce(F.col("turn").cast("string"), blank))
+    rows = conversations.select(
+        "conv_id", "turn", F.coalesce("role", blank).alias("role"), F.coalesce("text", blank).alias("text"),
+        (F.crc32(F.encode(key, "UTF-8")) % 20).alias("fault"),
+    ).where("fault <> 0")
+    fault = F.col("fault")
+    text = F.when(fault == 1, F.lit("")).when(fault == 2, F.translate("text", ".!?", "")).otherwise(F.col("text"))
+    role = F.when(fault == 4, F.lit("user")).otherwise(F.col("role"))
+    copies = F.explode(F.array_repeat(F.lit(0), F.when(fault == 3, F.lit(2)).otherwise(F.lit(1)))).alias("copy")
+    return rows.select("conv_id", "turn", role.alias("role"), text.alias("text"), copies).drop("copy")
+
+
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = read(spark, sf_dir, "conversations")
+    return repair_conversations(damaged(conversations), ids=conversations.select("conv_id")).digests()
+
+
 def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(build_index(read(spark, sf_dir, "documents")), read(spark, sf_dir, "benchmark"), k=10)
 
@@ -215,6 +237,7 @@ def queries() -> dict[str, Query]:
         "op8_bpe": op8_bpe,
         "op9_token_orc": op9_token_orc,
         "op10_quality_rules": op10_quality_rules,
+        "op11_conversation_repair": op11_conversation_repair,
         "op12_ranked_search": op12_ranked_search,
         "op13_token_counts": op13_token_counts,
     }

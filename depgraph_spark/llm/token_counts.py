@@ -7,15 +7,18 @@ table; the rest leave as rows (document, pre-token, frequency) and are joined wi
 
 from __future__ import annotations
 
+import json
 import re
 from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut
+from .bpe import byte_alphabet
 from .common import text_buffers
 
 # Pre-tokens that are sent to every task; one that isn't has at most about 1 / FREQUENT of all occurrences.
@@ -24,8 +27,6 @@ FREQUENT = 100_000
 LEVELS = 4
 # Distinct pre-tokens, or words between white space, that a task holds before it passes its counts on or forgets.
 HELD = 300_000
-# Pieces of bytes of text whose words are counted at once; a longer text is taken alone.
-SLICE_BYTES = 1 << 22
 LIMIT = 2048
 
 
@@ -41,24 +42,42 @@ class Splitter:
 
         self.tokenizer = Tokenizer.from_str(spec)
         special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.special = set(special)
         listed = "|".join(map(re.escape, sorted(special, key=len, reverse=True)))
         self.cutter = re.compile(f"({listed})") if special else None
         if any(c.isspace() for s in special for c in s):
             raise ValueError("special tokens with white space are not supported")
-        probe = self._plain("a b")
-        if probe != self._plain("a") + self._plain("b"):
+        if self._plain("a b") != self._plain("a") + self._plain("b"):
             raise ValueError("a tokenizer that drops white space between words is needed")
+        self._learn_common(json.loads(spec)["pre_tokenizer"])
+
+    def _learn_common(self, splitter: dict) -> None:
+        """Characters whose words need no normaliser: ASCII and Latin ones that the file's own pattern, lower case and
+        byte letters treat as the library does, which is tried for each."""
+        steps = splitter.get("pretokenizers", [splitter])
+        patterns = [s["pattern"]["Regex"] for s in steps if s["type"] == "Split" and "Regex" in s["pattern"]]
+        self.common = None
+        if len(patterns) != 1:
+            return
+        self.pattern = regex.compile(patterns[0])
+        letters = {b: c for c, b in byte_alphabet().items()}
+        chars = [c for c in map(chr, [*range(0x21, 0x7F), *range(0xC0, 0x250)]) if len(c.lower()) == 1]
+        self.lower = {ord(c): c.lower() for c in chars}
+        self.bytes = {ord(c): "".join(letters[b] for b in c.encode()) for c in chars}
+        good = [c for c in chars if all(self._quick(t) == self._plain(t) for t in (c, f"a{c}1", f"'{c}{c}!"))]
+        self.common = re.compile(f"[{re.escape(''.join(good))}]+") if good else None
+
+    def _quick(self, text: str) -> list[str]:
+        if text.isascii():
+            return self.pattern.findall(text.lower())
+        return [t if t.isascii() else t.translate(self.bytes) for t in self.pattern.findall(text.translate(self.lower))]
 
     def _plain(self, text: str) -> list[str]:
-        t = self.tokenizer
-        normal = t.normalizer.normalize_str(text) if t.normalizer else text
-        return [token for token, _ in t.pre_tokenizer.pre_tokenize_str(normal)]
+        return [token for token, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(self._normal(text))]
 
-    def __call__(self, word: bytes) -> list[str]:
-        text = word.decode("utf-8", "replace")
-        if self.cutter is None or "<" not in text:
-            return self._plain(text)
+    def _normal(self, text: str) -> str:
+        return self.tokenizer.normalizer.normalize_str(text) if self.tokenizer.normalizer else text
+
+    def _special(self, text: str) -> list[str]:
         out: list[str] = []
         for i, piece in enumerate(self.cutter.split(text)):
             if i % 2:
@@ -67,6 +86,14 @@ class Splitter:
                 out += self._plain(piece)
         return out
 
+    def __call__(self, word: bytes) -> list[str]:
+        text = word.decode("utf-8", "replace")
+        if self.cutter and "<" in text and self.cutter.search(text):
+            return self._special(text)
+        if self.common and self.common.fullmatch(text):
+            return self._quick(text)
+        return self._plain(text)
+
     def pieces(self, pre_token: str) -> int:
         """Pieces of one pre-token; a special token is one."""
         return 1 if pre_token.startswith(SPECIAL) else len(self.tokenizer.model.tokenize(pre_token))
@@ -167,25 +194,42 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, limit: int = LIMIT, frequ
     def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         spec, known = shared.value
         splitter = Splitter(spec)
-        # A word's sum of frequent pieces, and its other pre-tokens.
-        memo: dict[bytes, tuple[int, tuple[str, ...]]] = {}
-        for batch in batches:
-            tokens, rests = [], []
-            for listed in word_lists(batch.column(1)):
-                total, rest = 0, Counter()
-                for word, n in Counter(listed).items():
-                    entry = memo.get(word)
-                    if entry is None:
-                        if len(memo) >= HELD:
-                            memo.clear()
-                        split = splitter(word)
-                        entry = sum(known.get(t, 0) for t in split), tuple(t for t in split if t not in known)
-                        memo[word] = entry
+        # A word's pieces if its pre-tokens are all frequent, else the sum of those that are and the others.
+        memo: dict[bytes, int | tuple[int, tuple[str, ...]]] = {}
+
+        def learn(word: bytes) -> int | tuple[int, tuple[str, ...]]:
+            total, rest = 0, ()
+            for token in splitter(word):
+                pieces = known.get(token)
+                if pieces is None:
+                    rest += (token,)
+                else:
+                    total += pieces
+            if len(memo) >= HELD:
+                memo.clear()
+            memo[word] = entry = (total, rest) if rest else total
+            return entry
+
+        def counts(listed: list[bytes]) -> tuple[int, list[tuple[str, int]]]:
+            total, rest = 0, Counter()
+            for word, n in Counter(listed).items():
+                entry = memo.get(word)
+                if entry is None:
+                    entry = learn(word)
+                if type(entry) is int:
+                    total += entry * n
+                else:
                     total += entry[0] * n
                     for token in entry[1]:
                         rest[token] += n
+            return total, list(rest.items())
+
+        for batch in batches:
+            tokens, rests = [], []
+            for listed in word_lists(batch.column(1)):
+                total, rest = counts(listed)
                 tokens.append(total)
-                rests.append(list(rest.items()))
+                rests.append(rest)
             columns = [batch.column(0), batch.column(2), pa.array(tokens, pa.int64()), pa.array(rests, pa.map_(pa.string(), pa.int64()))]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_bytes", "tokens", "rest"])
 
