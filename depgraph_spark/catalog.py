@@ -19,9 +19,11 @@ from .sources import graph_store
 from .sources import listing as scans
 from .sources import manifests as texts
 from .streaming import changes as streams
+from .streaming import warnings as alerts
 
 Query = Callable[[SparkSession, str], DataFrame]
 _GRAPHS: dict[tuple, DependencyGraph] = {}
+_TABLES: dict[tuple, incremental.GraphTables] = {}
 
 
 def graph_of(spark: SparkSession, sf_dir: str) -> DependencyGraph:
@@ -361,45 +363,49 @@ def incremental_queries() -> dict[str, Query]:
         return gone.select("repo", F.lit(1).alias("change_id"), F.col("path").alias("file"))
 
     def before(spark, sf_dir):
-        """Files, stems, edges, folders and packages of the first version."""
-        sources, listing, packages, aliases = corpus(spark, sf_dir)
-        dirs = fx.stored(spark, (sf_dir, "dirs"), lambda: scans.source_dirs(listing))
-        stems = fx.stored(
-            spark, (sf_dir, "stems"),
-            lambda: resolve.import_stems(resolve.specifiers(sources), dirs, packages, aliases),
-        )
-        return fx.files(spark, sf_dir), stems, fx.edges(spark, sf_dir), dirs, packages, aliases
+        """Tables of the first version, with the manifests among the files."""
+        key = (spark.sparkContext.applicationId, sf_dir)
+        if key not in _TABLES:
+            sources, *_ = corpus(spark, sf_dir)
+            _TABLES[key] = incremental.graph_tables(sources.unionByName(fx.manifests(spark, sf_dir)))
+        return _TABLES[key]
 
     def applied(spark, sf_dir):
-        files, stems, edges, dirs, packages, aliases = before(spark, sf_dir)
         feed = fx.file_changes(spark, sf_dir)
-        return incremental.apply_file_changes(files, stems, edges, feed, dirs, packages, aliases)[2]
+        return incremental.apply_file_changes(before(spark, sf_dir), feed).edges.select("repo", "src", "dst", "n_refs")
 
-    def feed_folder(spark, sf_dir):
-        """The change feed as files in order of time, for a stream to pick up one by one."""
-        path = scratch(spark, "feed")
+    def fed(spark, sf_dir, run):
+        """The change feed in two slices of time; the stream stops after the first and starts again from its checkpoint."""
+        state = streams.start_state(spark, scratch(spark, "state"), before(spark, sf_dir))
+        folder, progress = scratch(spark, "feed"), scratch(spark, "progress")
         feed = fx.file_changes(spark, sf_dir)
         late = F.col("ts") >= F.lit("2024-01-02").cast("timestamp")
-        feed.where(~late).coalesce(1).write.parquet(path)
-        feed.where(late).coalesce(1).write.mode("append").parquet(path)
-        return spark.readStream.schema(streams.FILE_CHANGES).option("maxFilesPerTrigger", 1).parquet(path)
+        for part in (feed.where(~late), feed.where(late)):
+            part.write.mode("append").parquet(folder)
+            source = spark.readStream.schema(streams.FILE_CHANGES).parquet(folder)
+            run(source, state, progress).awaitTermination()
+        return state
 
     def streamed(spark, sf_dir):
-        files, stems, edges, dirs, packages, aliases = before(spark, sf_dir)
-        state = streams.start_state(spark, scratch(spark, "state"), files, stems, edges)
-        query = streams.file_change_stream(
-            feed_folder(spark, sf_dir), state, scratch(spark, "progress"), dirs, packages, aliases
-        )
-        query.awaitTermination()
+        state = fed(spark, sf_dir, streams.file_change_stream)
         return state.current("edges").select("repo", "src", "dst", "n_refs")
 
     def warned(spark, sf_dir):
         out = scratch(spark, "warned")
-        query = streams.warning_stream(
-            feed_folder(spark, sf_dir), fx.edges(spark, sf_dir), out, scratch(spark, "progress")
-        )
-        query.awaitTermination()
-        return spark.read.parquet(out).select("repo", "file", "importer")
+        fed(spark, sf_dir, lambda source, state, progress: streams.warning_stream(source, state, out, progress))
+        return streams.WarningLog(spark, out).broken().select("repo", "file", "importer")
+
+    def open_state(spark, sf_dir):
+        """Half of both tables, then the rest with every ack of the first half once more, after a restart."""
+        folder, out, progress = (scratch(spark, n) for n in ("warnings", "open", "progress"))
+        warnings, acks = (t(spark, sf_dir).select("repo", "id") for t in (_warnings, _acks))
+        first = F.pmod(F.xxhash64("repo", "id"), F.lit(2)) == 0
+        for w, a in ((warnings.where(first), acks.where(~first)), (warnings.where(~first), acks.unionByName(acks.where(first)))):
+            w.write.mode("append").parquet(f"{folder}/w")
+            a.write.mode("append").parquet(f"{folder}/a")
+            sources = [spark.readStream.schema("repo string, id bigint").parquet(f"{folder}/{n}") for n in "wa"]
+            alerts.open_warning_stream(*sources, out, progress).awaitTermination()
+        return alerts.read_open_warnings(spark, out)
 
     def refreshed(spark, sf_dir):
         sources, listing, packages, aliases = corpus(spark, sf_dir)
@@ -414,7 +420,7 @@ def incremental_queries() -> dict[str, Query]:
         "refresh_graph": refreshed,
         "file_change_stream": streamed,
         "warning_stream": warned,
-        "open_warning_state": lambda s, d: streams.open_warning_state(_warnings(s, d), _acks(s, d)),
+        "open_warning_state": open_state,
     }
 
 

@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 from .functions.scoring import classify_risk
 from .operators import graph as lookups
 from .plans.components import longest_levels, strong_components
+from .plans.cycles import short_cycles
 from .plans.encode import assign_ids, encode_edges, named
-from .plans.reach import reach
-from .session import cut, cut_counted
+from .plans.reach import own_bits, reach, reach_counts, spread_set
+from .session import cut, cut_counted, small
 
 
 class DependencyGraph:
@@ -68,16 +69,21 @@ class DependencyGraph:
         return named(reach(steps, seeds, rows), self.ids, start="file", node="impacted")
 
     def check_safe(self, files: DataFrame | None = None) -> DataFrame:
-        """``(repo, file, risk_level, total_impacted, direct, n_refs)`` per file (all files by default)."""
-        edges, rows = self._encoded
-        steps = edges.select(F.col("d").alias("a"), F.col("s").alias("b"))
-        starts = self.ids.select("id") if files is None else self._start_ids(files)
-        seeds = None if files is None else starts.select(F.col("id").alias("start"))
-        totals = reach(steps, seeds, rows).groupBy(F.col("start").alias("id")).agg(
-            F.count(F.lit(1)).alias("total_impacted"), F.count_if(F.col("level") == 1).alias("direct")
+        """``(repo, file, risk_level, total_impacted, direct, n_refs)`` per file (all files by default).
+
+        Counted on components: for requested files on what they can reach, otherwise on the whole graph, once.
+        """
+        links = self._encoded[0].where("s != d")
+        if files is None:
+            totals = self._impact_totals
+        else:
+            starts, n = cut_counted(self._start_ids(files))
+            totals = self._totals_of(self.component_ids.join(small(starts, n), "id", "left_semi"))
+            links = links.join(small(starts.withColumnRenamed("id", "d"), n), "d", "left_semi")
+        refs = links.groupBy(F.col("d").alias("id")).agg(
+            F.count(F.lit(1)).alias("direct"), F.sum("n_refs").alias("n_refs")
         )
-        refs = edges.where("s != d").groupBy(F.col("d").alias("id")).agg(F.sum("n_refs").alias("n_refs"))
-        out = starts.join(totals, "id", "left").join(refs, "id", "left").fillna(0)
+        out = totals.select("id", "total_impacted").join(refs, "id", "left").fillna(0)
         return named(out, self.ids, id="file").withColumn("risk_level", classify_risk(F.col("total_impacted")))
 
     # --- components ---
@@ -123,8 +129,8 @@ class DependencyGraph:
     def bounded_cycles(self, max_length: int = 3, max_cycles: int | None = None) -> DataFrame:
         """``(repo, length, cycle)``: simple cycles of 2..max_length files, smallest file first.
 
-        Grown from the smallest file of each cycle along edges inside cyclic components only. All of them, or at most
-        ``max_cycles`` per repository, shortest and then smallest first.
+        All of them, or at most ``max_cycles`` per repository, shortest and then smallest first. Only edges inside cyclic
+        components take part; cycles of up to three files are found from their file with the fewest neighbours.
         """
         members = self._cyclic_members
         inner = (
@@ -133,20 +139,7 @@ class DependencyGraph:
             .join(members.select(F.col("id").alias("d"), F.col("comp").alias("c2")), "d")
             .where("c1 = c2").select("s", "d")
         )
-        inner = cut(inner)
-        walks = inner.where("s < d").select("s", F.array("s", "d").alias("nodes"), F.col("d").alias("end"))
-        closing = inner.select(F.col("s").alias("end"), F.col("d").alias("s"))
-        found = None
-        for length in range(2, max_length + 1):
-            closed = walks.join(closing, ["end", "s"], "left_semi").select("s", "nodes")
-            found = closed if found is None else found.unionByName(closed)
-            if length < max_length:
-                step = inner.select(F.col("s").alias("end"), F.col("d").alias("next"))
-                walks = (
-                    walks.join(step, "end")
-                    .where((F.col("next") > F.col("s")) & ~F.array_contains("nodes", F.col("next")))
-                    .select("s", F.concat("nodes", F.array("next")).alias("nodes"), F.col("next").alias("end"))
-                )
+        found = short_cycles(cut(inner), max_length)
         rows = found.withColumn("key", F.monotonically_increasing_id())
         rows = cut(rows)
         spelled = (
@@ -169,10 +162,6 @@ class DependencyGraph:
         steps = edges.select(F.col("d").alias("a"), F.col("s").alias("b"))
         return reach(steps, starts, rows)
 
-    @cached_property
-    def _all_component_reach(self) -> DataFrame:
-        return cut(self._component_reach())
-
     def impact(self, files: DataFrame | None = None) -> DataFrame:
         """``(repo, file, impacted, level, is_direct)``.
 
@@ -181,7 +170,7 @@ class DependencyGraph:
         """
         comp = self.component_ids
         if files is None:
-            starts, pairs = comp, self._all_component_reach
+            starts, pairs = comp, self._component_reach()
         else:
             starts = cut(comp.join(self._start_ids(files), "id", "left_semi"))
             pairs = self._component_reach(starts.select(F.col("comp").alias("start")).distinct())
@@ -201,24 +190,37 @@ class DependencyGraph:
         )
         return named(rows, self.ids, f="file", i="impacted")
 
-    @cached_property
-    def _impact_totals(self) -> DataFrame:
-        """``(id, comp, total_impacted, cascade_depth, cluster_size)`` for every file, counted per component."""
-        sizes = self.component_sizes
-        per_comp = (
-            self._all_component_reach.join(sizes.select(F.col("comp").alias("node"), "size"), "node")
-            .groupBy(F.col("start").alias("comp"))
-            .agg(F.sum("size").alias("others"), F.max("level").alias("depth"))
-        )
+    def _totals_of(self, starts: DataFrame | None = None) -> DataFrame:
+        """``(id, comp, total_impacted, cascade_depth, cluster_size)`` of ``starts(id, comp)``, by default of every file.
+
+        Files are bits, so a component's words count its files, and what it reaches is counted without a row per pair.
+        For given starts the search is limited to the components that they reach.
+        """
+        edges, rows = self._condensed
+        steps = edges.select(F.col("d").alias("a"), F.col("s").alias("b"))
+        members = self.component_ids.select(F.col("comp").alias("node"), "id")
+        if starts is None:
+            starts = self.component_ids
+        else:
+            starts = cut(starts)
+            inside = cut(spread_set(steps, starts.select(F.col("comp").alias("node"))))
+            steps, rows = cut_counted(steps.join(inside.withColumnRenamed("node", "a"), "a", "left_semi"))
+            members = members.join(inside, "node", "left_semi")
+        own = own_bits(members.join(steps.select(F.col("b").alias("node")).distinct(), "node", "left_semi"))
+        counts = reach_counts(steps, own, rows).withColumnRenamed("node", "comp")
         return cut(
-            self.component_ids.join(sizes, "comp").join(per_comp, "comp", "left").select(
+            starts.join(self.component_sizes, "comp").join(counts, "comp", "left").select(
                 "id", "comp",
-                (F.coalesce("others", F.lit(0)) + F.col("size") - 1).alias("total_impacted"),
+                (F.coalesce("reached", F.lit(0)) + F.col("size") - 1).alias("total_impacted"),
                 F.coalesce("depth", F.lit(0)).alias("cascade_depth"),
                 F.col("size").alias("cluster_size"),
             )
         )
 
+    @cached_property
+    def _impact_totals(self) -> DataFrame:
+        return self._totals_of()
+
     def impact_summary(self) -> DataFrame:
         """``(repo, file, total_impacted, direct, transitive, cascade_depth, cluster_size, risk_level)`` for all files."""
         comp = self.component_ids
@@ -244,9 +246,9 @@ class DependencyGraph:
 
     def topological_levels(self) -> DataFrame:
         """``(repo, comp, level)``: 0 for components that import nothing, else one above the highest import."""
-        edges, rows = self._condensed
+        edges, _ = self._condensed
         nodes = self.component_sizes.select(F.col("comp").alias("node"))
-        levels = longest_levels(nodes, edges.select(F.col("d").alias("a"), F.col("s").alias("b")), rows)
+        levels = longest_levels(nodes, edges.select(F.col("d").alias("a"), F.col("s").alias("b")))
         return named(levels, self.ids, node="comp")
 
     # --- lookups ---

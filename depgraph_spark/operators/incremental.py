@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,10 +11,11 @@ from ..functions.scoring import classify_risk
 from ..graph import DependencyGraph
 from ..plans.encode import assign_ids
 from ..plans.reach import spread_set
-from ..session import cut
-from ..sources.listing import graph_files
+from ..session import cut, cut_counted, small
+from ..sources.listing import discover_files, graph_files, source_dirs
+from ..sources.manifests import declared_packages, is_manifest, path_aliases
 from .languages import languages
-from .resolve import count_edges, import_stems, language_stems, resolution_index, resolve_imports, specifiers
+from .resolve import count_edges, import_stems, path_stems, resolution_index, resolve_imports, specifiers
 
 
 def edge_diff(old: DataFrame, new: DataFrame) -> DataFrame:
@@ -72,55 +75,161 @@ def latest_changes(changes: DataFrame) -> DataFrame:
 
 
 def stems_answered_by(paths: DataFrame) -> DataFrame:
-    """``(repo, lang, stem)`` that any of ``paths(repo, path)`` could be the answer to, in any language."""
+    """``(repo, path, lang, stem)`` that each of ``paths(repo, path)`` could be the answer to, in any language."""
     every = F.explode(F.array(*[F.lit(k.id) for k in languages()]))
     rows = paths.select("repo", "path", every.alias("lang"))
-    stems = F.explode(language_stems(F.col("path"), F.col("lang")))
-    return rows.select("repo", "lang", stems.alias("a")).select("repo", "lang", "a.stem").distinct()
+    stems = F.explode(path_stems())
+    return rows.select("repo", "path", "lang", stems.alias("a")).select("repo", "path", "lang", "a.stem").distinct()
 
 
-def apply_file_changes(
-    files: DataFrame,
-    stems: DataFrame,
-    edges: DataFrame,
-    changes: DataFrame,
-    dirs: DataFrame,
-    packages: DataFrame | None = None,
-    aliases: DataFrame | None = None,
-) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """``(files, stems, edges)`` after a batch of added, changed and deleted files; equal to a full rebuild.
-
-    Work grows with the batch: the changed rows and what they touch are written once and joined, small, against the
-    stored tables. Added and changed texts are read again. Every other file keeps its edges unless one of its import stems could be
-    answered by an added or deleted path: a new file can outrank or rescue a target, a deleted one lets it fall back.
-    ``files(repo, path[, known])``: with ``known``, the whole listing, where false marks what is no graph file but can
-    still win a stem. ``stems`` from ``import_stems``, ``dirs`` the source folders (if those change, rebuild).
+@dataclass(frozen=True)
+class GraphTables:
+    """What a graph is kept current from; every row belongs to one file, its owner.
+
+    ``files(repo, path, known)`` is the whole listing (known: a graph file), ``manifests(repo, path, content)`` the texts
+    that name packages and aliases, ``specs`` every import line's specifier, ``stems`` where each may point, ``edges``.
+    """
+
+    files: DataFrame
+    manifests: DataFrame
+    specs: DataFrame
+    stems: DataFrame
+    edges: DataFrame
+
+
+# The column that names a row's owner.
+OWNERS = {"files": "path", "manifests": "path", "specs": "path", "stems": "path", "edges": "src"}
+
+
+@dataclass(frozen=True)
+class GraphDelta:
+    """Per table the files whose rows are replaced, ``owners[name](repo, path)``, and their new rows, if any.
+
+    ``stems`` and ``resolved`` are the imports that were looked up again; ``gone`` are graph files that were deleted.
+    """
+
+    owners: dict[str, DataFrame]
+    rows: dict[str, DataFrame]
+    stems: DataFrame
+    resolved: DataFrame
+    gone: DataFrame
+
+    def applied(self, tables: GraphTables) -> GraphTables:
+        whole = {}
+        for name, owner in OWNERS.items():
+            replaced = self.owners[name].withColumnRenamed("path", owner)
+            kept = getattr(tables, name).join(replaced, ["repo", owner], "left_anti")
+            whole[name] = kept.unionByName(self.rows[name])
+        return GraphTables(**whole)
+
+    def dangling(self) -> DataFrame:
+        """``(repo, file, importer)``: imports that a deleted file could answer and that reach nothing any more."""
+        done = self.resolved.select("repo", F.col("src").alias("path"), "import_no").distinct()
+        lost = self.stems.join(done, ["repo", "path", "import_no"], "left_anti")
+        answers = stems_answered_by(self.gone).withColumnRenamed("path", "file")
+        found = lost.join(answers, ["repo", "lang", "stem"])
+        return found.select("repo", "file", F.col("path").alias("importer")).distinct()
+
+
+def _manifests(texts: DataFrame) -> DataFrame:
+    return texts.where(is_manifest(F.col("path"))).select("repo", "path", "content")
+
+
+def graph_tables(source_files: DataFrame) -> GraphTables:
+    """All tables from ``source_files(repo, path, content)``, every listed file of the repositories."""
+    listing = source_files.select("repo", "path").distinct()
+    manifests = cut(_manifests(source_files))
+    dirs = cut(source_dirs(listing))
+    members = graph_files(listing, dirs).select("repo", "path").distinct().withColumn("known", F.lit(True))
+    files = cut(listing.join(members, ["repo", "path"], "left").fillna(False, ["known"]))
+    specs = cut(specifiers(source_files))
+    stems = cut(import_stems(specs, dirs, declared_packages(manifests), path_aliases(manifests)))
+    edges = cut(count_edges(resolve_imports(stems, resolution_index(files, dirs))))
+    return GraphTables(files, manifests, specs, stems, edges)
+
+
+def _differing(old: DataFrame, new: DataFrame, *keys: str) -> DataFrame:
+    """Distinct keys of rows that only one of two tables has."""
+    columns = old.columns
+    tagged = old.select(*columns, F.lit(-1).alias("_way")).unionByName(new.select(*columns, F.lit(1).alias("_way")))
+    return tagged.groupBy(*columns).agg(F.sum("_way").alias("_way")).where("_way <> 0").select(*keys).distinct()
+
+
+def change_graph(tables: GraphTables, changes: DataFrame) -> GraphDelta:
+    """What a batch of added, changed and deleted files replaces; applied, it equals a full rebuild.
+
+    Only the repositories in the batch are looked at, and only touched rows are written. Texts of the batch are read
+    again. The source folders, packages and aliases are derived from the listing and the manifests before and after; a
+    language of a repository for which they differ has its kept specifiers placed again, without its texts. Every other
+    file keeps its edges unless one of its stems could be answered by a path that came, went, or became or ceased to be
+    a graph file: a new file can outrank or rescue a target, a deleted one lets it fall back.
     """
-    whole = "known" in files.columns
     last = cut(latest_changes(changes))
-    gone = last.where(F.col("op") == "delete").select("repo", "path")
-    texts = last.where(F.col("op") != "delete").select("repo", "path", "content")
-    present = files.select("repo", "path", (F.col("known") if whole else F.lit(True)).alias("known"))
-    eligible = graph_files(texts.select("repo", "path"), dirs).select("repo", "path", F.lit(True).alias("known")).distinct()
-    others = texts.select("repo", "path").join(eligible, ["repo", "path"], "left_anti").withColumn("known", F.lit(False))
-    arrived = eligible.unionByName(others.distinct()) if whole else eligible
-    added = arrived.join(present, ["repo", "path"], "left_anti")
-    new_files = present.join(gone, ["repo", "path"], "left_anti").unionByName(added)
-    fresh = cut(import_stems(specifiers(texts), dirs, packages, aliases))
-    new_stems = stems.join(last.select("repo", "path"), ["repo", "path"], "left_anti").unionByName(fresh)
-    moved = cut(stems_answered_by(added.select("repo", "path").unionByName(gone)))
-    touched = cut(
-        new_stems.join(moved, ["repo", "lang", "stem"], "left_semi").select("repo", "path")
-        .unionByName(texts.select("repo", "path"))
+    key = ["repo", "path"]
+    repos = last.select("repo").distinct()
+    old = {name: getattr(tables, name).join(repos, "repo", "left_semi") for name in OWNERS}
+    gone = last.where(F.col("op") == "delete").select(*key)
+    texts = last.where(F.col("op") != "delete").select(*key, "content")
+    listed = old["files"].select(*key)
+    listing = cut(listed.join(gone, key, "left_anti").unionByName(texts.select(*key)).distinct())
+    changed = last.select(*key)
+    manifests = cut(old["manifests"].join(changed, key, "left_anti").unionByName(_manifests(texts)))
+
+    # Folders, packages and aliases, a few rows per repository, before and after.
+    was = [cut(source_dirs(listed)), declared_packages(old["manifests"]), path_aliases(old["manifests"])]
+    dirs, packages, aliases = now = [cut(source_dirs(listing)), declared_packages(manifests), path_aliases(manifests)]
+    aliased = F.explode(F.array(*[F.lit(k.id) for k in languages() if k.aliases]))
+    shifted = (
+        _differing(was[0], now[0], "repo", "lang")
+        .unionByName(_differing(was[1], now[1], "repo", "lang"))
+        .unionByName(_differing(was[2], now[2], "repo").select("repo", aliased.alias("lang")))
+        .distinct()
+    )
+    shifted, n_shifted = cut_counted(shifted)
+    shifted = small(shifted, n_shifted)
+
+    looked_at = texts.select(*key).unionByName(discover_files(listing).join(shifted, ["repo", "lang"]).select(*key)).distinct()
+    members = graph_files(looked_at, dirs).select(*key).distinct().withColumn("known", F.lit(True))
+    before = old["files"].select(*key, F.col("known").alias("was"))
+    files = cut(
+        looked_at.join(members, key, "left").fillna(False, ["known"])
+        .join(before, key, "left").where("was IS NULL OR was <> known").select(*key, "known")
+    )
+    moved_files = files.select(*key).unionByName(gone).distinct()
+
+    fresh = cut(specifiers(texts))
+    specs = old["specs"].join(changed, key, "left_anti").unionByName(fresh)
+    replaced = cut(
+        changed.unionByName(old["stems"].join(shifted, ["repo", "lang"], "left_semi").select(*key))
+        .unionByName(specs.join(shifted, ["repo", "lang"], "left_semi").select(*key))
         .distinct()
     )
-    again = cut(new_stems.join(touched, ["repo", "path"], "left_semi"))
+    placed = cut(import_stems(specs.join(replaced, key, "left_semi"), dirs, packages, aliases))
+    stems = old["stems"].join(replaced, key, "left_anti").unionByName(placed)
+    moved = cut(stems_answered_by(moved_files).select("repo", "lang", "stem").distinct())
+    touched = cut(replaced.unionByName(stems.join(moved, ["repo", "lang", "stem"], "left_semi").select(*key)).distinct())
+    again = cut(stems.join(touched, key, "left_semi"))
     wanted = again.select("repo", "lang", "stem").distinct()
-    index = resolution_index(new_files, dirs).join(wanted, ["repo", "lang", "stem"], "left_semi")
-    redone = count_edges(resolve_imports(again, index))
-    stale = touched.unionByName(gone).distinct().withColumnRenamed("path", "src")
-    kept = edges.join(stale, ["repo", "src"], "left_anti")
-    return new_files if whole else new_files.drop("known"), new_stems, kept.unionByName(redone)
+    kept = old["files"].join(moved_files, key, "left_anti")
+    index = resolution_index(kept.unionByName(files), dirs).join(wanted, ["repo", "lang", "stem"], "left_semi")
+    resolved = cut(resolve_imports(again, index))
+    return GraphDelta(
+        owners={
+            "files": moved_files, "manifests": changed, "specs": changed, "stems": replaced,
+            "edges": touched.unionByName(gone).distinct(),
+        },
+        rows={
+            "files": files, "manifests": _manifests(texts), "specs": fresh, "stems": placed, "edges": count_edges(resolved),
+        },
+        stems=again,
+        resolved=resolved,
+        gone=gone.join(before.where("was"), key, "left_semi"),
+    )
+
+
+def apply_file_changes(tables: GraphTables, changes: DataFrame) -> GraphTables:
+    """The tables after a batch of added, changed and deleted files; equal to a full rebuild, manifests included."""
+    return change_graph(tables, changes).applied(tables)
 
 
 def refresh_graph(

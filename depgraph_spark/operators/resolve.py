@@ -17,6 +17,17 @@ from ..sources.listing import discover_files, graph_files, is_source, source_dir
 from .languages import languages, trim_line
 
 
+_BUILT: dict[tuple, Column] = {}
+
+
+def _once(name: str, build) -> Column:
+    """An expression over fixed column names, built once for the registered languages: it has thousands of parts."""
+    key = (name, *languages())
+    if key not in _BUILT:
+        _BUILT[key] = build()
+    return _BUILT[key]
+
+
 def _by_lang(lang: Column, value_of, empty: Column, ids=None) -> Column:
     out = empty
     for known in languages():
@@ -34,9 +45,12 @@ def specifiers(source_files: DataFrame, langs: list[str] | None = None) -> DataF
     if langs is not None:
         files = files.where(F.col("lang").isin(langs))
     lang, line = F.col("lang"), F.col("line")
-    found = F.transform(_by_lang(lang, lambda k: k.lines(F.col("content")), no_lines, langs), trim_line)
+    which = ",".join(langs or ["*"])
+    found = _once(
+        f"lines {which}", lambda: F.transform(_by_lang(lang, lambda k: k.lines(F.col("content")), no_lines, langs), trim_line)
+    )
     lines = files.select("repo", "path", "lang", F.posexplode(found).alias("import_no", "line"))
-    spec = _by_lang(lang, lambda k: k.spec(line), F.lit(None).cast("string"), langs)
+    spec = _once(f"spec {which}", lambda: _by_lang(lang, lambda k: k.spec(line), F.lit(None).cast("string"), langs))
     # Exploding a list of zero or one evaluates the patterns once; a filter on the column would run them twice.
     hit = F.filter(F.array(spec), lambda s: s != "")
     return lines.select("repo", "path", "lang", "import_no", F.explode(hit).alias("spec"))
@@ -62,10 +76,13 @@ def import_stems(
         placed = placed.join(packages.select("repo", "lang", "package"), ["repo", "lang"], "left")
     package = F.coalesce("package", F.when(F.col("lang") != "go", F.col("repo")).otherwise(F.lit("")))
     cols = ["repo", "path", "lang", "source_dir", "import_no", "spec"]
-    stems = _by_lang(
-        F.col("lang"),
-        lambda k: k.bases(F.col("spec"), F.col("path"), F.col("source_dir"), package),
-        F.array().cast("array<string>"),
+    stems = _once(
+        "bases",
+        lambda: _by_lang(
+            F.col("lang"),
+            lambda k: k.bases(F.col("spec"), F.col("path"), F.col("source_dir"), package),
+            F.array().cast("array<string>"),
+        ),
     )
     order = F.struct(F.lit(0).cast("bigint").alias("first"), F.col("pos").cast("bigint").alias("second"))
     if aliases is not None:
@@ -74,7 +91,9 @@ def import_stems(
         aliased = F.col("lang").isin([k.id for k in languages() if k.aliases]) & ~F.col("spec").startswith(".")
         fits = (F.col("repo") == F.col("alias_repo")) & aliased & F.col("spec").startswith(F.col("prefix"))
         placed = placed.join(named, fits, "left")
-        under = F.array(resolve_under(F.col("target"), F.expr("substring(spec, length(prefix) + 1)")))
+        under = _once(
+            "alias", lambda: F.array(resolve_under(F.col("target"), F.expr("substring(spec, length(prefix) + 1)")))
+        )
         stems = F.when(F.col("prefix").isNotNull(), under).otherwise(stems)
         cols += ["alias_ord", "target_ord"]
         by_alias = F.struct(F.col("alias_ord").cast("bigint").alias("first"), F.col("target_ord").cast("bigint").alias("second"))
@@ -102,6 +121,11 @@ def answered_stems(path: Column, suffixes: tuple[str, ...]) -> Column:
     return F.array_compact(F.array(*out))
 
 
+def path_stems() -> Column:
+    """``language_stems`` of the columns ``path`` and ``lang``."""
+    return _once("stems", lambda: language_stems(F.col("path"), F.col("lang")))
+
+
 def language_stems(path: Column, lang: Column) -> Column:
     """Array of ``(rank, stem)`` that the file ``path`` answers to in the language ``lang``."""
     out = F.array().cast("array<struct<rank:int,stem:string>>")
@@ -127,7 +151,7 @@ def resolution_index(files: DataFrame, langs: DataFrame, strict_dir_shadow: bool
     pairs = files.select("repo", "path", "known").join(langs.select("repo", "lang").distinct(), "repo")
     # A folder import keeps every file of the language below it: there the file itself is part of the key.
     spread = [k.id for k in languages() if k.to_directory]
-    keys = pairs.select("repo", "lang", "path", "known", F.explode(language_stems(F.col("path"), F.col("lang"))).alias("a"))
+    keys = pairs.select("repo", "lang", "path", "known", F.explode(path_stems()).alias("a"))
     keys = keys.select("repo", "lang", "path", "known", "a.rank", "a.stem")
     if strict_dir_shadow:
         bare_first = [k.id for k in languages() if len(k.suffixes) > 1 and k.suffixes[0] == ""]

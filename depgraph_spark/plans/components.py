@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..session import cut_counted, loop_partitions, shuffle_partitions, small
@@ -90,20 +90,33 @@ def strong_components(nodes: DataFrame, edges: DataFrame, edge_rows: int) -> Dat
         return out.join(found, "id", "left").select("id", F.coalesce("comp", "id").alias("comp"))
 
 
-def longest_levels(nodes: DataFrame, steps: DataFrame, step_rows: int) -> DataFrame:
+def longest_levels(nodes: DataFrame, steps: DataFrame, used: list[int] | None = None) -> DataFrame:
     """``(node, level)`` on an acyclic step table ``(a, b)``: length of the longest walk that ends in the node.
 
-    Round k holds the nodes that some walk of length k ends in; the last round a node appears in is its level.
+    Peeling: a node has a level once all its steps' starts have one, which a counter that falls tells; that round is its
+    level. Every step is taken once, in the round after its start; ``used`` gets the steps of each round.
     """
     spark = nodes.sparkSession
+    need = steps.groupBy("b").agg(F.count(F.lit(1)).alias("need"))
+    steps, step_rows = cut_counted(steps.select("a", "b").join(need, "b"))
     with shuffle_partitions(spark, loop_partitions(spark, step_rows)):
-        rounds = [nodes.select("node").withColumn("level", F.lit(0))]
-        reached, rows, level = None, step_rows, 0
+        level = 0
+        frontier, rows = cut_counted(
+            nodes.select("node").join(need.select(F.col("b").alias("node")), "node", "left_anti").withColumn("level", F.lit(0))
+        )
+        rounds, waiting = [frontier], None
         while rows:
             level += 1
-            ahead = steps if reached is None else steps.join(small(reached.select(F.col("node").alias("a")), rows), "a")
-            reached, rows = cut_counted(
-                ahead.select(F.col("b").alias("node")).distinct().withColumn("level", F.lit(level))
-            )
-            rounds.append(reached)
-    return reduce(DataFrame.unionByName, rounds).groupBy("node").agg(F.max("level").alias("level"))
+            ahead = steps.join(small(frontier.select(F.col("node").alias("a")), rows), "a")
+            met = ahead.groupBy("b").agg(F.first("need").alias("need"), F.count(F.lit(1)).alias("got"))
+            counted = Observation()
+            met = met.observe(counted, F.sum("got").alias("n"))
+            if waiting is not None:
+                met = met.unionByName(waiting).groupBy("b").agg(F.first("need").alias("need"), F.sum("got").alias("got"))
+            met, rows = cut_counted(met, F.col("need") == F.col("got"))
+            if used is not None:
+                used.append(int(counted.get["n"] or 0))
+            frontier = met.where("need = got").select(F.col("b").alias("node"), F.lit(level).alias("level"))
+            waiting = met.where("need > got")
+            rounds.append(frontier)
+    return reduce(DataFrame.unionByName, rounds)

@@ -55,6 +55,43 @@ def reach(steps: DataFrame, seeds: DataFrame | None = None, steps_rows: int | No
     return _all(seen)
 
 
+def own_bits(members: DataFrame) -> DataFrame:
+    """``(node, block, bits)`` of ``members(node, id)``: ids as bits of 64-bit words, words of neighbouring ids."""
+    bit = F.expr("shiftleft(1L, cast(id % 64 AS INT))")
+    return members.groupBy("node", F.expr("id div 64").alias("block")).agg(F.bit_or(bit).alias("bits"))
+
+
+def reach_counts(steps: DataFrame, own: DataFrame, steps_rows: int) -> DataFrame:
+    """``(node, reached, depth)`` for every node of an acyclic ``steps(a, b)`` that steps lead on from.
+
+    ``own(node, block, bits)`` are what a node counts for, as bits. All starts advance together: in round k a node gets
+    what its steps' targets were first found with in round k - 1, so only words move, one for up to 64 reached ids, and at
+    most edges times words. Words found before are taken off; popcounts and rounds are all that leaves.
+    """
+    spark = steps.sparkSession
+    own, rows = cut_counted(own)
+    frontier, seen, level = own, [], 0
+    while rows:
+        level += 1
+        with shuffle_partitions(spark, loop_partitions(spark, max(rows, steps_rows))):
+            ahead = small(frontier.select(F.col("node").alias("b"), "block", "bits"), rows)
+            found = steps.join(ahead, "b").groupBy(F.col("a").alias("node"), "block").agg(F.bit_or("bits").alias("bits"))
+            if seen:
+                if rows <= BROADCAST_ROWS:
+                    found, m = cut_counted(found)
+                    before = _all(seen).join(small(found.select("node", "block"), m), ["node", "block"], "left_semi")
+                else:
+                    before, m = _all(seen), BROADCAST_ROWS + 1
+                before = before.groupBy("node", "block").agg(F.bit_or("bits").alias("old"))
+                found = found.join(small(before, m), ["node", "block"], "left")
+                found = found.select("node", "block", F.expr("bits & ~coalesce(old, 0L)").alias("bits")).where("bits <> 0")
+            frontier, rows = cut_counted(found.withColumn("level", F.lit(level)))
+        seen.append(frontier)
+    if not seen:
+        return own.where("false").select("node", F.lit(0).cast("bigint").alias("reached"), F.lit(0).alias("depth"))
+    return _all(seen).groupBy("node").agg(F.sum(F.bit_count("bits")).alias("reached"), F.max("level").alias("depth"))
+
+
 def spread_set(steps: DataFrame, seeds: DataFrame) -> DataFrame:
     """``(node)``: the seeds and everything reachable from them by ``steps(a, b)``, as one set."""
     spark = steps.sparkSession

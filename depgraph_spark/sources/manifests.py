@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.paths import join_path, normalize_path
@@ -20,6 +20,12 @@ GEMSPEC_NAME = r"""\.name\s*=\s*['"]([^'"]+)['"]"""
 TSCONFIG = "struct<compilerOptions:struct<baseUrl:string,paths:map<string,array<string>>>>"
 
 
+def is_manifest(path: Column) -> Column:
+    """The root files that names and aliases are read from."""
+    names = [name for name, _ in NAME_RULES.values()] + ["package.json", "pom.xml", "tsconfig.json"]
+    return ~path.contains("/") & (path.isin(names) | path.endswith(".gemspec"))
+
+
 def declared_packages(manifests: DataFrame) -> DataFrame:
     """``(repo, lang, package)`` for every root manifest that states a name."""
     path, content = F.col("path"), F.col("content")
