@@ -38,14 +38,18 @@ HASHES = 3
 WORD_BITS = 63
 
 
+# Set for letters, not for the marks that are kept within words.
+LETTER = np.uint32(1 << 31)
+
+
 def letter_table() -> np.ndarray:
-    """Lower-case letter of every code point, 0 for what is no letter (marks within words are kept)."""
+    """Lower-case letter or mark of every code point, 0 for all else; ``LETTER`` tells letters apart."""
     table = np.zeros(0x110000, np.uint32)
     for cp in range(0x110000):
         c = chr(cp)
         if c.isalpha() or unicodedata.category(c) in ("Mn", "Mc"):
             low = c.lower()
-            table[cp] = ord(low) if len(low) == 1 else cp
+            table[cp] = (ord(low) if len(low) == 1 else cp) | (LETTER if c.isalpha() else 0)
     return table
 
 
@@ -53,10 +57,11 @@ def grams(texts: list[str], table: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     """Hashes of the n-grams of each text's words, their texts, and which texts have a letter."""
     sizes = np.array([len(t) + 2 for t in texts], np.int64)
     points = np.frombuffer(" ".join(["", *(t + " " for t in texts)]).encode("utf-32-le", "surrogatepass"), "<u4")[: sizes.sum()]
-    low = table[points]
+    found = table[points]
+    low = found & ~LETTER
     owner = np.repeat(np.arange(len(texts)), sizes)
     solid = low > 0
-    has = np.bincount(owner[solid], minlength=len(texts)) > 0
+    has = np.bincount(owner[found & LETTER > 0], minlength=len(texts)) > 0
     # A run of other characters counts as one space.
     keep = solid | np.append(True, solid[:-1])
     low, owner = low[keep].astype(np.uint64), owner[keep]
