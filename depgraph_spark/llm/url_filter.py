@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import BROADCAST_ROWS
+from ..session import cut_counted, small
 
 PREFIX_HEX = 8
 DEFAULT_VERDICT = "allow"
@@ -59,8 +59,7 @@ def filter_urls(pages: DataFrame, rules: DataFrame, default: str = DEFAULT_VERDI
 
     Only the rules' label counts and path lengths come to the driver; both are bounded by the longest rule.
     """
-    table = rule_table(rules).cache()
-    n_rules = table.count()
+    table, n_rules = cut_counted(rule_table(rules))
     shape = rules.select(F.size(F.split("host", r"\.")).alias("l"), F.length("path").alias("n")).agg(
         F.collect_set("l").alias("labels"), F.collect_set("n").alias("lengths")
     )
@@ -70,12 +69,13 @@ def filter_urls(pages: DataFrame, rules: DataFrame, default: str = DEFAULT_VERDI
         return urls.withColumns({"rule": F.lit(None).cast("string"), "verdict": F.lit(default)})
     labels, lengths = ([n for n in sorted(found[k]) if n is not None and n >= 0] for k in ("labels", "lengths"))
     tried = expressions(urls.select("host", "path").distinct(), labels, lengths)
-    small = F.broadcast(table) if n_rules <= BROADCAST_ROWS else table
-    hits = tried.join(small, "short").where(F.col("full") == F.col("digest"))
+    hits = tried.join(small(table, n_rules), "short").where(F.col("full") == F.col("digest"))
     best = hits.groupBy("host", "path").agg(
         F.max(F.struct(F.length("rule").alias("n"), "rule", "verdict")).alias("best")
     )
-    judged = urls.join(best, ["host", "path"], "left")
+    # Written, so that it doesn't share its exchange with the join: a pair that most urls have is then split.
+    best, n_best = cut_counted(best)
+    judged = urls.join(small(best, n_best), ["host", "path"], "left")
     return judged.select(
         "page_id", "host", "path",
         F.col("best.rule").alias("rule"),
