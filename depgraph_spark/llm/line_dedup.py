@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from ..session import cut_counted, small
 from .common import row_keys, same_row, whole_rows
 
-# Sites from which on a line is boilerplate.
+# Sites from which on a line is boilerplate: a passage of many words is no chance, a short line may be.
+LONG_WORDS, LONG_SITES = 20, 3
 MIN_SITES = 10
 # Sketch size as a power of two, its relative error, and how many such errors around the threshold are counted exactly.
 LG_K = 10
@@ -27,42 +28,51 @@ def line_key(line: Column) -> list[Column]:
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
-    """(_id, _text, site, pos, h, g) of every line with a word; a null source is a site of its own."""
+    """(_id, _text, site, pos, h, g, long) of every line with a word; a null source is a site of its own."""
     rows = row_keys(docs).select(
         "_id", "_text", F.coalesce("source", F.lit("")).alias("site"), F.posexplode(F.split("text", "\n")).alias("pos", "line")
     )
     trimmed = rows.withColumn("line", F.btrim("line", F.lit(SPACES))).where(F.col("line") != "")
-    return trimmed.select("_id", "_text", "site", "pos", *line_key(F.col("line")))
+    long = F.regexp_count("line", F.lit(r"[^\x20\x09-\x0D]+")) >= LONG_WORDS
+    return trimmed.select("_id", "_text", "site", "pos", *line_key(F.col("line")), long.alias("long"))
 
 
-def boilerplate_lines(lines: DataFrame, min_sites: int = MIN_SITES) -> tuple[DataFrame, int]:
-    """(h, g) of the lines on at least ``min_sites`` sites, and how many there are.
+def sites_needed(docs: DataFrame) -> int:
+    """Sites from which on a short line is boilerplate: half of all sites, but 3 at least and ``MIN_SITES`` at most."""
+    sites = docs.select(F.coalesce("source", F.lit("")).alias("site")).distinct().count()
+    return min(MIN_SITES, max(LONG_SITES, -(-sites // 2)))
+
+
+def boilerplate_lines(lines: DataFrame, min_sites: int) -> tuple[DataFrame, int]:
+    """(h, g) of the lines on at least ``min_sites`` sites (long ones LONG_SITES, if that is less), and how many there are.
 
     Sketches are merged by aggregation. Lines whose estimate is within MARGIN errors of the threshold are counted
     exactly; of the others the estimate decides.
     """
-    width = max(1.0, MARGIN * ERROR * min_sites)
-    sketches = lines.groupBy("h", "g").agg(F.hll_sketch_agg("site", LG_K).alias("sketch"))
-    spread = sketches.select("h", "g", F.hll_sketch_estimate("sketch").alias("sites")).where(F.col("sites") >= min_sites - width)
+    least = F.when(F.col("long"), min(min_sites, LONG_SITES)).otherwise(min_sites)
+    width = F.greatest(F.lit(1.0), MARGIN * ERROR * least)
+    sketches = lines.groupBy("h", "g", "long").agg(F.hll_sketch_agg("site", LG_K).alias("sketch"))
+    spread = sketches.select("h", "g", "long", F.hll_sketch_estimate("sketch").alias("sites")).where(F.col("sites") >= least - width)
     spread, n = cut_counted(spread)
-    is_near = F.col("sites") <= min_sites + width
+    is_near = F.col("sites") <= least + width
     near = spread.where(is_near).select("h", "g")
-    sites = lines.select("h", "g", "site").join(small(near, n), ["h", "g"], "left_semi").distinct()
-    exact = sites.groupBy("h", "g").agg(F.count(F.lit(1)).alias("sites")).where(F.col("sites") >= min_sites)
+    sites = lines.select("h", "g", "long", "site").join(small(near, n), ["h", "g"], "left_semi").distinct()
+    exact = sites.groupBy("h", "g", "long").agg(F.count(F.lit(1)).alias("sites")).where(F.col("sites") >= least)
     return cut_counted(spread.where(~is_near).select("h", "g").unionByName(exact.select("h", "g")))
 
 
-def without_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
+def without_boilerplate(docs: DataFrame, min_sites: int | None = None) -> DataFrame:
     """``_row``, ``_n_lines``, ``_n_removed`` and ``_clean``, the text without repeated boilerplate lines.
 
-    ``_row`` is the row of ``docs`` as a struct, so that its columns may have any names.
+    ``_row`` is the row of ``docs`` as a struct, so that its columns may have any names. A line of 20 words or more is
+    boilerplate from 3 sites on, a shorter one from ``min_sites`` on (by default ``sites_needed``).
 
     The first occurrence of a line is the one with the least (doc_id, line number), null ids first; rows that repeat
     both id and text are treated alike. Lines are compared without white space around them; lines without a word
     always stay. A null text stays null with no lines, an empty one has one line; an empty table gives no rows.
     """
     lines = lines_of(docs)
-    common, n = boilerplate_lines(lines, min_sites)
+    common, n = boilerplate_lines(lines, sites_needed(row_keys(docs)) if min_sites is None else min_sites)
     found, n_found = cut_counted(lines.join(small(common, n), ["h", "g"]).select("h", "g", "_id", "_text", "pos"))
     first = found.groupBy("h", "g").agg(F.min(F.struct("_id", "pos")).alias("first"))
     first, n_first = cut_counted(first)
@@ -88,7 +98,7 @@ def without_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFram
     )
 
 
-def dedup_lines(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_sites: int | None = None) -> DataFrame:
     """doc_id, n_lines, n_removed and text of every row; see ``without_boilerplate``."""
     rows = without_boilerplate(docs.select("doc_id", "text", "source"), min_sites)
     return rows.select(

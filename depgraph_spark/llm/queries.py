@@ -58,8 +58,10 @@ WITH parts AS (
     generate_subscripts(string_split(text, chr(10)), 1) AS pos
   FROM documents),
 keyed AS (SELECT *, trim(line, chr(32) || chr(9) || chr(11) || chr(12) || chr(13)) AS k FROM parts),
+needed AS (SELECT least(10, greatest(3, CAST(ceil(count(DISTINCT coalesce(source, '')) / 2) AS BIGINT))) AS sites FROM documents),
 common AS (
-  SELECT k, min({'d': doc_id, 'p': pos}) AS first FROM keyed WHERE k != '' GROUP BY k HAVING count(DISTINCT site) >= 10),
+  SELECT k, min({'d': doc_id, 'p': pos}) AS first FROM keyed, needed WHERE k != '' GROUP BY k, sites
+  HAVING count(DISTINCT site) >= CASE WHEN len(regexp_extract_all(k, '[^\\x20\\x09-\\x0D]+')) >= 20 THEN least(3, sites) ELSE sites END),
 marked AS (
   SELECT keyed.*, c.k IS NOT NULL AND {'d': doc_id, 'p': pos} != c.first AS gone FROM keyed LEFT JOIN common c USING (k)),
 kept AS (

@@ -161,6 +161,16 @@ def test_lines_equal_brute_force(spark):
     assert rows_of(got, "doc_id", "n_lines", "n_removed", "text") == brute_lines(docs, 4)
 
 
+def test_lines_of_few_sites_and_a_hot_one(spark):
+    """Five sites, one with most rows: long passages go from three sites on, short lines from half of the sites."""
+    passage = " ".join(f"word{i}" for i in range(25))
+    docs = [(i, f"own {i}\n{passage}\nmenu\nrare", "en", "hot") for i in range(40)]
+    docs += [(100 + i, f"own {i + 100}\n{passage}" + "\nmenu" * (i < 2), "en", f"s{i}") for i in range(4)]
+    docs += [(200 + i, f"two sites only {passage}\nrare", "en", f"s{i}") for i in range(1)]
+    got = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(documents(spark, docs)).collect()}
+    assert got[0] == docs[0][1] and got[7] == "own 7\nrare" and got[101] == "own 101" and got[200] == docs[-1][1]
+
+
 def test_lines_of_messy_rows(messy, nothing):
     got = line_dedup.dedup_lines(messy, min_sites=2).collect()
     assert len(got) == len(MESSY)
@@ -355,6 +365,8 @@ def test_languages(spark):
     docs += [(900, None, "aa"), (901, "123 ...", "bb"), (902, "", "cc"), (903, "katomi", None)]
     got = {r["doc_id"]: r for r in language_id.identify_languages(documents(spark, docs)).collect()}
     assert all(got[i]["lang_pred"] == lang for i, _, lang in docs[:240])
+    marks = language_id.predict(documents(spark, [(1, "\u0301"), (2, "1\u0301 \u0903!"), (3, "a\u0301")]), model)
+    assert [r["lang_pred"] == "und" for r in marks.orderBy("doc_id").collect()] == [True, True, False]
     assert [got[i]["lang_pred"] for i in (900, 901, 902, 903)] == ["und", "und", "und", "aa"]
     assert all(0 <= r["score"] <= 1 for r in got.values())
 
