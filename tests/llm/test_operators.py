@@ -365,6 +365,7 @@ def test_languages(spark):
     docs += [(900, None, "aa"), (901, "123 ...", "bb"), (902, "", "cc"), (903, "katomi", None)]
     got = {r["doc_id"]: r for r in language_id.identify_languages(documents(spark, docs)).collect()}
     assert all(got[i]["lang_pred"] == lang for i, _, lang in docs[:240])
+    model = language_id.learn(language_id.training_sample(documents(spark, docs)))
     marks = language_id.predict(documents(spark, [(1, "\u0301"), (2, "1\u0301 \u0903!"), (3, "a\u0301")]), model)
     assert [r["lang_pred"] == "und" for r in marks.orderBy("doc_id").collect()] == [True, True, False]
     assert [got[i]["lang_pred"] for i in (900, 901, 902, 903)] == ["und", "und", "und", "aa"]
