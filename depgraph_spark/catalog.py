@@ -14,6 +14,7 @@ from .graph import DependencyGraph
 from .operators import coupling, gate, incremental, profile, rank, resolve
 from .operators import graph as lookups
 from .operators.languages import Language, lines_starting, register_language, unregister_language
+from .plans import dynamic
 from .session import checkpoint_dir
 from .sources import graph_store
 from .sources import listing as scans
@@ -232,8 +233,11 @@ def _commits(spark, sf_dir) -> DataFrame:
 
 
 def _coupling(spark, sf_dir) -> DataFrame:
-    """Coupling over the whole history, as a stored input of the gate."""
-    return fx.stored(spark, (sf_dir, "coupling"), lambda: coupling.change_coupling(_commit_files(spark, sf_dir)))
+    """Coupling over the whole history that is strong enough for an issue, as a stored input of the gate."""
+    least = scoring.COUPLING_FLOOR
+    return fx.stored(
+        spark, (sf_dir, "coupling"), lambda: coupling.change_coupling(_commit_files(spark, sf_dir), min_confidence=least)
+    )
 
 
 def scalar_queries() -> dict[str, Query]:
@@ -407,11 +411,20 @@ def incremental_queries() -> dict[str, Query]:
             alerts.open_warning_stream(*sources, out, progress).awaitTermination()
         return alerts.read_open_warnings(spark, out)
 
+    def components_of_edited(spark, sf_dir):
+        """The second version's components, from the first version's and the difference of the edges."""
+        old, new = fx.edges(spark, sf_dir), fx.edited_edges(spark, sf_dir)
+        gone = fx.file_changes(spark, sf_dir).where(F.col("op") == "delete").select("repo", "path")
+        files = fx.files(spark, sf_dir).select("repo", "path").join(gone, ["repo", "path"], "left_anti")
+        diff = incremental.edge_diff(old, new)
+        return dynamic.updated_components(graph_of(spark, sf_dir).components(), files, new, diff)
+
     def refreshed(spark, sf_dir):
         sources, listing, packages, aliases = corpus(spark, sf_dir)
         return incremental.refresh_graph(sources, listing, scratch(spark, "refresh"), packages, aliases)
 
     return {
+        "updated_components": components_of_edited,
         "edge_diff": lambda s, d: incremental.edge_diff(fx.edges(s, d), fx.edited_edges(s, d)),
         "invalidation_set": lambda s, d: incremental.invalidation_set(fx.edges(s, d), fx.edited_edges(s, d)),
         "broken_imports": lambda s, d: incremental.broken_imports(fx.edges(s, d), deleted(s, d)),

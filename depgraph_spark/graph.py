@@ -19,9 +19,11 @@ from .session import cut, cut_counted, small
 class DependencyGraph:
     """``files(repo, path[, lang])`` and ``edges(repo, src, dst, n_refs)``; src imports dst, all within one repository."""
 
-    def __init__(self, files: DataFrame, edges: DataFrame):
+    def __init__(self, files: DataFrame, edges: DataFrame, components: DataFrame | None = None):
+        """``components(repo, path, comp)`` may be given if they are known, as of a stored graph."""
         self.files = files
         self.edges = edges
+        self.known_components = components
 
     # --- stored encodings ---
 
@@ -36,6 +38,10 @@ class DependencyGraph:
     @cached_property
     def component_ids(self) -> DataFrame:
         """``(id, comp)``."""
+        if self.known_components is not None:
+            names = self.ids.select("repo", F.col("path").alias("comp"), F.col("id").alias("c"))
+            known = self.ids.join(self.known_components.select("repo", "path", "comp"), ["repo", "path"])
+            return cut(known.join(names, ["repo", "comp"]).select("id", F.col("c").alias("comp")))
         edges, rows = self._encoded
         return cut(strong_components(self.ids, edges, rows))
 
@@ -90,6 +96,8 @@ class DependencyGraph:
 
     def components(self) -> DataFrame:
         """``(repo, path, comp)``; ``comp`` is the smallest path of the component."""
+        if self.known_components is not None:
+            return self.known_components
         return named(self.component_ids, self.ids, id="path", comp="comp_path").withColumnRenamed("comp_path", "comp")
 
     def condensed(self) -> DataFrame:

@@ -618,6 +618,13 @@ broken AS (SELECT e.repo, e.dst AS file, e.src AS importer FROM edges e JOIN del
 
 def incremental_sql() -> dict[str, str]:
     q = {
+        "updated_components": graph(
+            "SELECT repo, path, comp FROM scc",
+            EDITED,
+            "kept_files AS (SELECT * FROM files f WHERE NOT EXISTS (SELECT 1 FROM gone g WHERE g.name = f.name))",
+            CLOSURE.replace("edges", "edges2"),
+            SCC.replace("edges e", "edges2 e").replace("FROM files f", "FROM kept_files f"),
+        ),
         "edge_diff": graph("SELECT * FROM diff", EDITED, DIFF),
         "invalidation_set": graph("SELECT repo, path FROM invalid", EDITED, DIFF, INVALID),
         "broken_imports": graph("SELECT repo, 1 AS change_id, file, importer FROM broken", BROKEN),

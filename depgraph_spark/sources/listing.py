@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.paths import basename, dirname, extension, parent_dirs
 from ..operators.languages import Language, languages
+from ..session import cut
 
 # Folders that are never searched, and files that mark a project root.
 SKIP_DIRS = [
@@ -24,19 +25,27 @@ ROOT_MARKERS = [
 ROOT_SEARCH_DEPTH = 20
 
 
-def scan_source_files(spark: SparkSession, root: str) -> DataFrame:
-    """``source_files(repo, path, content)`` from a folder that holds one sub-folder per repository.
+def scan_files(spark: SparkSession, root: str) -> DataFrame:
+    """``(repo, path, content, error)`` of every file below a folder that holds one sub-folder per repository.
 
-    Each file is one row. Files that vanish or cannot be read during the job are left out.
+    The names are listed first, without reading; then the contents are read apart, and what the listing has beyond them
+    comes back as a row with the error ``unreadable`` and no content: files that vanished, or that a passing fault kept
+    from being read. Content that is no UTF-8 has the error ``undecodable``, with replacement characters for its bytes.
     """
-    raw = (
-        spark.read.format("text")
-        .option("wholetext", True)
-        .option("recursiveFileLookup", True)
-        .option("ignoreMissingFiles", True)
-        .option("ignoreCorruptFiles", True)
-        .load(root)
-        .select(F.col("value").alias("content"), F.col("_metadata.file_path").alias("uri"))
+
+    def files(**options) -> DataFrame:
+        return spark.read.format("binaryFile").option("recursiveFileLookup", True).options(**options).load(root)
+
+    listed = cut(files().select(F.col("path").alias("uri")))
+    text = F.col("content").cast("string")
+    found = files(ignoreMissingFiles=True, ignoreCorruptFiles=True).select(
+        F.col("path").alias("uri"),
+        F.make_valid_utf8(text).alias("content"),
+        F.when(~F.is_valid_utf8(text), F.lit("undecodable")).alias("error"),
+        F.lit(True).alias("read"),
+    )
+    raw = listed.join(found, "uri", "left").withColumn(
+        "error", F.when(F.col("read").isNull(), F.lit("unreadable")).otherwise(F.col("error"))
     )
     base = root.rstrip("/") + "/"
     uri = F.url_decode(F.replace(F.col("uri"), F.lit("+"), F.lit("%2B")))
@@ -45,9 +54,15 @@ def scan_source_files(spark: SparkSession, root: str) -> DataFrame:
         F.substring_index(inside, "/", 1).alias("repo"),
         F.regexp_replace(inside, "^[^/]*/", "").alias("path"),
         "content",
+        "error",
     )
 
 
+def scan_source_files(spark: SparkSession, root: str) -> DataFrame:
+    """``source_files(repo, path, content)``: the files of ``scan_files`` whose content could be read."""
+    return scan_files(spark, root).where("content IS NOT NULL").drop("error")
+
+
 def _folders(path: Column) -> Column:
     segments = F.split(path, "/")
     return F.slice(segments, F.lit(1), F.size(segments) - 1)

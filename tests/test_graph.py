@@ -184,6 +184,28 @@ def test_store_round_trip(spark, tmp_path):
     assert back.edges.exceptAll(g.edges.select(back.edges.columns)).count() == 0
     assert back.files.count() == g.files.count()
     assert graph_store.read_table(spark, str(tmp_path / "g"), "components").count() == g.files.count()
+    summary = lambda graph: sorted(map(tuple, graph.impact_summary().collect()))
+    assert back.known_components is not None and summary(back) == summary(g)
+    # Stored tables meet without an exchange.
+    joined = back.files.join(back.edges.withColumnRenamed("src", "path").hint("merge"), ["repo", "path"])
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Exchange" not in plan
+    with pytest.raises(FileExistsError):
+        graph_store.write_graph(g, str(tmp_path / "g"))
+
+
+def test_killed_write_leaves_the_old_version(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "g")
+    g, bigger = make(spark, CYCLES, ["alone"]), make(spark, CYCLES, ["alone", "another"])
+    graph_store.write_graph(g, path, buckets=4)
+    with monkeypatch.context() as broken:
+        broken.setattr(type(bigger), "components", lambda self: self.files.select(F.raise_error(F.lit("killed")).alias("comp"), "repo", "path"))
+        with pytest.raises(Exception, match="killed"):
+            graph_store.write_graph(bigger, path, mode="overwrite")
+    assert graph_store.read_graph(spark, path).files.count() == g.files.count()
+    graph_store.write_graph(bigger, path, mode="overwrite")
+    assert graph_store.read_graph(spark, path).files.count() == bigger.files.count()
+    assert graph_store.versions(spark, path) == [(0, 4), (1, 4)]
 
 
 def commit_table(spark, commits):

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from depgraph_spark.operators.incremental import apply_file_changes, graph_tables
 from depgraph_spark.operators.resolve import dependency_edges
-from depgraph_spark.sources.listing import graph_files, scan_source_files
+from depgraph_spark.sources.listing import graph_files, scan_files, scan_source_files
 from depgraph_spark.sources.manifests import declared_packages, path_aliases
 from depgraph_spark.streaming.changes import FILE_CHANGES, WarningLog, file_change_stream, start_state, warning_stream
 from depgraph_spark.streaming.warnings import open_warning_state, open_warning_stream, read_open_warnings
@@ -256,3 +256,11 @@ def test_scan_reads_whole_files(spark, tmp_path):
     (tmp_path / "code" / "two" / "x.py").write_text("")
     got = {(r["repo"], r["path"]): r["content"] for r in scan_source_files(spark, str(tmp_path / "code")).collect()}
     assert got[("repo one", "src/a+b %1.ts")] == "line 1\nline 2\n"
+    # A file that vanishes after the listing and one that is no UTF-8 come back as rows with an error.
+    (folder / "bad.ts").write_bytes(b"import './x'; \xff")
+    (folder / "gone.ts").write_text("import './bad'")
+    rows = scan_files(spark, str(tmp_path / "code"))
+    (folder / "gone.ts").unlink()
+    found = {r["path"]: (r["content"], r["error"]) for r in rows.collect()}
+    assert found["src/gone.ts"] == (None, "unreadable") and found["src/bad.ts"] == ("import './x'; \ufffd", "undecodable")
+    assert found["src/a+b %1.ts"][1] is None and found["x.py"] == ("", None)
