@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_counted, loop_partitions, shuffle_partitions, small
@@ -94,7 +94,7 @@ def longest_levels(nodes: DataFrame, steps: DataFrame, used: list[int] | None =
     """``(node, level)`` on an acyclic step table ``(a, b)``: length of the longest walk that ends in the node.
 
     Peeling: a node has a level once all its steps' starts have one, which a counter that falls tells; that round is its
-    level. Every step is taken once, in the round after its start; ``used`` gets the steps of each round.
+    level. Every step is taken once, in the round after its start; a list ``used`` gets the steps of each round, counted apart.
     """
     spark = nodes.sparkSession
     need = steps.groupBy("b").agg(F.count(F.lit(1)).alias("need"))
@@ -109,13 +109,11 @@ def longest_levels(nodes: DataFrame, steps: DataFrame, used: list[int] | None =
             level += 1
             ahead = steps.join(small(frontier.select(F.col("node").alias("a")), rows), "a")
             met = ahead.groupBy("b").agg(F.first("need").alias("need"), F.count(F.lit(1)).alias("got"))
-            counted = Observation()
-            met = met.observe(counted, F.sum("got").alias("n"))
+            if used is not None:
+                used.append(ahead.count())
             if waiting is not None:
                 met = met.unionByName(waiting).groupBy("b").agg(F.first("need").alias("need"), F.sum("got").alias("got"))
             met, rows = cut_counted(met, F.col("need") == F.col("got"))
-            if used is not None:
-                used.append(int(counted.get["n"] or 0))
             frontier = met.where("need = got").select(F.col("b").alias("node"), F.lit(level).alias("level"))
             waiting = met.where("need > got")
             rounds.append(frontier)

@@ -7,7 +7,11 @@ from pyspark.sql import functions as F
 
 from depgraph_spark.graph import DependencyGraph
 from depgraph_spark.operators import coupling, gate, incremental, rank
+from depgraph_spark.operators.incremental import edge_diff
 from depgraph_spark.plans import components
+from depgraph_spark.plans.components import longest_levels
+from depgraph_spark.plans.cycles import neighbour_pairs, short_cycles, wedges
+from depgraph_spark.plans.dynamic import changed_components
 from depgraph_spark.operators import graph as lookups
 from depgraph_spark.plans import pagerank as power
 from depgraph_spark.plans.encode import assign_ids
@@ -346,3 +350,80 @@ def test_invalidation(spark):
     diff = {(r["src"], r["dst"], r["change"]) for r in incremental.edge_diff(old, new).collect()}
     assert diff == {("a", "b", "removed"), ("a", "d", "added")}
     assert {r["path"] for r in incremental.invalidation_set(old, new).collect()} == {"b", "c", "d"}
+
+
+# --- plans ---
+
+
+def test_levels_use_every_step_once(spark):
+    """A ladder with shortcuts: each step is taken in one round only."""
+    n = 12
+    steps = [(i, i + 1) for i in range(n)] + [(i, i + 1 + k) for i in range(n) for k in (2, 5) if i + 1 + k <= n] + [(100, 101)]
+    nodes = spark.createDataFrame([(i,) for i in [*range(n + 1), 100, 101, 200]], "node long")
+    used = []
+    levels = longest_levels(nodes, spark.createDataFrame(steps, "a long, b long"), used)
+    assert {r["node"]: r["level"] for r in levels.collect()} == {**{i: i for i in range(n + 1)}, 100: 0, 101: 1, 200: 0}
+    assert sum(used) == len(steps)
+
+
+def brute_cycles(edges, most):
+    out = set()
+
+    def walk(path):
+        for s, d in edges:
+            if s == path[-1]:
+                if d == path[0] and len(path) > 1:
+                    out.add(tuple(path))
+                elif d > path[0] and d not in path and len(path) < most:
+                    walk([*path, d])
+
+    for start in {s for s, _ in edges}:
+        walk([start])
+    return out
+
+
+def test_short_cycles_equal_brute_force(spark):
+    draw = random.Random(4)
+    edges = {(draw.randrange(14), draw.randrange(14)) for _ in range(60)}
+    edges = sorted((s, d) for s, d in edges if s != d)
+    found = short_cycles(spark.createDataFrame(edges, "s long, d long"), 4).collect()
+    assert len(found) == len({tuple(r["nodes"]) for r in found})
+    assert {tuple(r["nodes"]) for r in found} == brute_cycles(edges, 4)
+
+
+def test_hubs_make_few_wedges(spark):
+    """A hub linked both ways with 3,000 files on a ring: wedges grow with the edges, not with the square."""
+    n = 3000
+    edges = [(0, i) for i in range(1, n + 1)] + [(i, 0) for i in range(1, n + 1)] + [(i, i % n + 1) for i in range(1, n + 1)]
+    table = spark.createDataFrame(edges, "s long, d long")
+    assert wedges(neighbour_pairs(table)).count() <= 2 * len(edges)
+    assert short_cycles(table, 3).count() == n + n
+
+
+def test_reach_counts_of_wide_words(spark):
+    """Files over many words, a shortcut, and a diamond: counted once, at the first level."""
+    graph = make(spark, [(f"f{i:04}", "hub") for i in range(300)] + [("top", "f0000"), ("top", "hub"), ("x", "top"), ("x", "f0001")])
+    rows = {r["file"]: r for r in graph.impact_summary().collect()}
+    assert (rows["hub"]["total_impacted"], rows["hub"]["direct"], rows["hub"]["cascade_depth"]) == (302, 301, 2)
+    assert (rows["f0000"]["total_impacted"], rows["f0000"]["cascade_depth"]) == (2, 2)
+    ask = spark.createDataFrame([("r", "hub"), ("r", "x")], "repo string, file string")
+    assert {r["file"]: r["total_impacted"] for r in graph.check_safe(ask).collect()} == {"hub": 302, "x": 0}
+
+
+def test_components_after_changes(spark):
+    """Rings that split, merge and stay, files that come and go: as computed anew, and what stays isn't touched."""
+    draw = random.Random(8)
+    names = [f"n{i:02}" for i in range(40)]
+    old = {(draw.choice(names), draw.choice(names)) for _ in range(70)} | {("q1", "q2"), ("q2", "q1")}
+    old = {(s, d) for s, d in old if s != d}
+    gone = {"n03", "n17"}
+    new = {e for e in old if draw.random() > 0.2 or e[0][0] == "q"} | {(draw.choice(names), draw.choice([*names, "new"])) for _ in range(12)}
+    new = {(s, d) for s, d in new if s != d and not gone & {s, d}}
+    first, second = make(spark, sorted(old), names), make(spark, sorted(new), [n for n in names if n not in gone])
+    diff = edge_diff(first.edges, second.edges)
+    before = first.components()
+    changed = {r["path"]: r["comp"] for r in changed_components(before, second.files, second.edges, diff).collect()}
+    want = {r["path"]: r["comp"] for r in second.components().collect()}
+    was = {r["path"]: r["comp"] for r in before.collect()}
+    assert changed == {p: c for p, c in want.items() if was.get(p) != c} and changed
+    assert "q1" not in changed and "q2" not in changed
