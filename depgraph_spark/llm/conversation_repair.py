@@ -327,13 +327,10 @@ def mark_shared_duplicates(parts: DataFrame) -> DataFrame:
         each, lambda i: F.when(F.array_contains(at, i.cast("bigint") - 1), F.lit(GONE)).otherwise(F.substring("symbols", i, F.lit(1)))
     )
     cut_off = F.size(F.filter(at, lambda i: F.substring("symbols", (i + 1).cast("int"), F.lit(1)).rlike("[A-Z]")))
-    return found.select(*[
-        F.when(F.col("places").isNull(), F.col("symbols")).otherwise(F.array_join(new, "")).alias("symbols") if c == "symbols"
-        else (F.col("duplicate") + F.size(at)).alias(c) if c == "duplicate"
-        else (F.col("truncated") - cut_off).alias(c) if c == "truncated"
-        else F.col(c)
-        for c in parts.columns
-    ])
+    # Counted before the symbols change: in one step they could be looked up by their new name.
+    found = found.withColumn("duplicate", F.col("duplicate") + F.size(at)).withColumn("truncated", F.col("truncated") - cut_off)
+    marked = F.when(F.col("places").isNull(), F.col("symbols")).otherwise(F.array_join(new, ""))
+    return found.withColumn("symbols", marked).select(*parts.columns)
 
 
 # --- edits ---

@@ -66,6 +66,10 @@ def brute_edits(rows):
                         ways.append((cost + more + 3, "R" + edits, (f"{new}:{text}", *out)))
         return min(ways, default=(10**9, "", ()))
 
+    for i in range(len(rows), -1, -1):
+        for last in ("", "s", "u", "a"):
+            for inserted in (2, 1, 0):
+                best(i, last, inserted)
     return best(0, "", 0)
 
 
@@ -115,17 +119,22 @@ def test_edits_equal_exhaustive_search(spark):
     assert got == brute(rows)
 
 
-@pytest.mark.parametrize("size", [1, 7])
-def test_conversations_over_many_chunks_and_tasks(spark, monkeypatch, size):
-    """A conversation with half of all rows, chunks of a few rows, repeats far apart."""
-    monkeypatch.setattr(repair, "CHUNK_ROWS", size)
-    draw = random.Random(size)
+@pytest.mark.parametrize("together", ["true", "false"])
+def test_conversations_over_many_chunks_and_tasks(spark, together):
+    """A conversation with most of all rows over several chunks, in one task or in several, with repeats far apart."""
+    draw = random.Random(7)
     rows = talks(2, 40)
-    rows += [(77, i, draw.choice(["user", "assistant", "system"]), draw.choice([f"t{i}.", "again.", "cut", "Hi!"])) for i in range(300)]
+    kinds = ["user", "assistant", "assistant", "system"]
+    rows += [(77, i, draw.choice(kinds), draw.choice([f"t{i}.", f"t{i}!", f"t{i - 700}.", "cut", "Hi!"])) for i in range(1300)]
     rows += [(None, None, "user", "same.")] * 30
-    got, found = results(spark, rows)
-    assert got == brute(rows)
-    assert found.shared.select("conv_id", "part").distinct().groupBy("conv_id").count().where("count > 1").count()
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", together)
+    try:
+        got, found = results(spark, rows)
+        assert got == brute(rows)
+        spread = found.shared.where("conv_id = 77").agg(F.count_distinct("part"), F.count("*")).first()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert spread[1] > 1 and (spread[0] > 1) == (together == "false")
 
 
 def test_long_conversation_shares_its_edits_early(spark):
