@@ -16,13 +16,14 @@ IP = r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+(?![A-Za-z0-9])"
+SECRET = r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{20,}+"
 
 BASE_KINDS = ("email", "ip", "card", "phone")
-KINDS = (*BASE_KINDS, "iban")
+KINDS = (*BASE_KINDS, "iban", "secret")
 
-# Score of a proposal, of a passed checksum and of a context word within CONTEXT_CHARS before or behind; spans of
-# kinds outside the base are kept from KEEP_SCORE on.
-PROPOSED, CONFIRMED, CONTEXT = 0.4, 0.4, 0.2
+# Score of a proposal, of a passed checksum and of a context word within CONTEXT_CHARS before or behind, 1 at most;
+# spans of kinds outside the base are kept from KEEP_SCORE on, so a kind without checksum needs a context word.
+PROPOSED, CONFIRMED, CONTEXT = 0.4, 0.4, 0.4
 KEEP_SCORE = 0.8
 CONTEXT_CHARS = 40
 CONTEXT_WORDS = {
@@ -31,6 +32,7 @@ CONTEXT_WORDS = {
     "card": "card|visa|credit|payment",
     "phone": "phone|call|tel|mobile",
     "iban": "iban|account|bank|transfer",
+    "secret": "token|secret|password|passwd|api.?key|access.?key|bearer",
 }
 
 
@@ -85,6 +87,11 @@ def mod97(found: Column) -> Column:
     return F.length(plain).between(15, 34) & (rest == 1)
 
 
+def secret_like(found: Column) -> Column:
+    """20 to 128 characters with a letter and a digit."""
+    return F.length(found).between(20, 128) & found.rlike("[A-Za-z]") & found.rlike("[0-9]")
+
+
 def span_columns(text: Column) -> dict[str, Column]:
     """Per kind an array of struct(start, rank, end, kind, score): confirmed proposals only."""
     confirmed = {
@@ -93,6 +100,7 @@ def span_columns(text: Column) -> dict[str, Column]:
         "card": (CARD, luhn, CONFIRMED),
         "phone": (PHONE, lambda x: F.length(digits(x)).between(9, 15), 0.0),
         "iban": (IBAN, mod97, CONFIRMED),
+        "secret": (SECRET, secret_like, 0.0),
     }
 
     def spans(rank: int, kind: str) -> Column:
@@ -102,7 +110,7 @@ def span_columns(text: Column) -> dict[str, Column]:
             begin = F.greatest(x["start"] - CONTEXT_CHARS, F.lit(0))
             around = F.substring(text, begin + 1, x["end"] - begin + CONTEXT_CHARS)
             near = F.when(F.lower(around).rlike(CONTEXT_WORDS[kind]), CONTEXT).otherwise(0.0)
-            score = F.lit(PROPOSED + bonus) + near
+            score = F.least(F.lit(PROPOSED + bonus) + near, F.lit(1.0))
             return F.struct(x["start"].alias("start"), F.lit(rank).alias("rank"), x["end"].alias("end"),
                             F.lit(kind).alias("kind"), score.alias("score"))
 
@@ -115,7 +123,8 @@ def find_pii(docs: DataFrame, keep_score: float = KEEP_SCORE) -> DataFrame:
     """doc_id and ``found``: an array of struct(start, rank, end, kind, score) by start, then kind as in KINDS.
 
     Per kind, proposals are the leftmost non-overlapping matches; a proposal whose check fails is dropped without
-    another try. Base kinds (email, ip, card, phone) always stay; other kinds need ``keep_score``.
+    another try. Base kinds (email, ip, card, phone) always stay; other kinds need ``keep_score``: an IBAN has it by its
+    checksum, a secret (a run of letters and digits) only by a context word nearby.
 
     A null or empty text has no spans. Every row keeps its row, repeated ids included; an empty table gives none.
     Only doc_id and text are read.
@@ -128,7 +137,10 @@ def find_pii(docs: DataFrame, keep_score: float = KEEP_SCORE) -> DataFrame:
 
 
 def pii_digest(docs: DataFrame, keep_score: float = KEEP_SCORE) -> DataFrame:
-    """Counts per base kind, the hash of base spans and all spans as text, for every row of ``docs``."""
+    """Counts per base kind, the hash of base spans, and all spans and scores (percent) as text, for every row of ``docs``.
+
+    Without spans the counts are 0, the texts empty and the hash that of the empty string.
+    """
 
     def joined(spans: Column) -> Column:
         return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
@@ -140,6 +152,8 @@ def pii_digest(docs: DataFrame, keep_score: float = KEEP_SCORE) -> DataFrame:
         return F.filter("found", lambda x: x["kind"] == kind)
 
     counts = [F.size(of_kind(k)).cast("bigint").alias(f"n_{k}") for k in BASE_KINDS]
+    scores = F.array_join(F.transform("found", lambda x: F.round(x["score"] * 100).cast("int").cast("string")), ",")
     return find_pii(docs, keep_score).select(
-        "doc_id", *counts, F.sha2(joined(base(F.col("found"))), 256).alias("base_sha256"), joined(F.col("found")).alias("spans")
-    )
+        "doc_id", *counts, F.sha2(joined(base(F.col("found"))), 256).alias("base_sha256"),
+        joined(F.col("found")).alias("spans"), scores.alias("scores"),
+    )

@@ -189,16 +189,18 @@ def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP6_SQL = r"""
 WITH texts AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
 proposed AS (
-  SELECT r, doc_id, kind, rank, kinds.pattern,
+  SELECT r, doc_id, t, kind, rank, words,
     regexp_extract_all(t, pattern) AS found, string_split_regex(t, pattern) AS gaps
   FROM texts, (VALUES
-    ('email', 0, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+'),
-    ('ip', 1, '[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)'),
-    ('card', 2, '[0-9](?:[ -]?[0-9])+'),
-    ('phone', 3, '\+[0-9][ ().0-9-]+[0-9]'),
-    ('iban', 4, '\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}\b')) AS kinds(kind, rank, pattern)),
+    ('email', 0, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+', 'mail|contact|write'),
+    ('ip', 1, '[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)', 'address|host|server|login'),
+    ('card', 2, '[0-9](?:[ -]?[0-9])+', 'card|visa|credit|payment'),
+    ('phone', 3, '\+[0-9][ ().0-9-]+[0-9]', 'phone|call|tel|mobile'),
+    ('iban', 4, '\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}\b', 'iban|account|bank|transfer'),
+    ('secret', 5, '[A-Za-z0-9_-]{20,}', 'token|secret|password|passwd|api.?key|access.?key|bearer')
+  ) AS kinds(kind, rank, pattern, words)),
 placed AS (
-  SELECT r, doc_id, kind, rank, i, found[i] AS x,
+  SELECT r, doc_id, t, kind, rank, words, i, found[i] AS x,
     list_sum(list_transform(gaps[1:i], lambda g: length(g))) + coalesce(list_sum(list_transform(found[1:i - 1], lambda f: length(f))), 0) AS s
   FROM proposed, unnest(range(1, len(found) + 1)) AS u(i)),
 digit AS (SELECT *, regexp_replace(x, '[^0-9]', '', 'g') AS d, replace(x, ' ', '') AS plain FROM placed),
@@ -213,16 +215,22 @@ checked AS (
     WHEN 'iban' THEN length(plain) BETWEEN 15 AND 34 AND list_reduce(list_prepend(0, list_transform(
       string_split(plain[5:] || plain[:4], ''), lambda c: CASE WHEN c >= 'A' THEN 100 + ascii(c) - 55 ELSE ascii(c) - 48 END)),
       lambda a, b: CASE WHEN b >= 100 THEN (a * 100 + b - 100) % 97 ELSE (a * 10 + b) % 97 END) = 1
-    ELSE true END AS ok
+    WHEN 'secret' THEN length(x) BETWEEN 20 AND 128 AND regexp_matches(x, '[A-Za-z]') AND regexp_matches(x, '[0-9]')
+    ELSE true END AS ok,
+    least(40 + CASE WHEN kind IN ('ip', 'card', 'iban') THEN 40 ELSE 0 END + CASE WHEN regexp_matches(
+      lower(substr(t, CAST(greatest(s - 40, 0) AS BIGINT) + 1, CAST(s + length(x) - greatest(s - 40, 0) AS BIGINT) + 40)), words)
+      THEN 40 ELSE 0 END, 100) AS score
   FROM digit),
-spans AS (SELECT r, kind, rank, s, kind || ':' || CAST(s AS BIGINT) || ':' || CAST(s + length(x) AS BIGINT) AS span FROM checked WHERE ok),
+spans AS (SELECT r, kind, rank, s, score, kind || ':' || CAST(s AS BIGINT) || ':' || CAST(s + length(x) AS BIGINT) AS span
+  FROM checked WHERE ok AND (rank < 4 OR score >= 80)),
 summed AS (
   SELECT r, count(*) FILTER (kind = 'email') AS n_email, count(*) FILTER (kind = 'ip') AS n_ip,
     count(*) FILTER (kind = 'card') AS n_card, count(*) FILTER (kind = 'phone') AS n_phone,
-    string_agg(span, ',' ORDER BY s, rank) FILTER (rank < 4) AS base, string_agg(span, ',' ORDER BY s, rank) AS spans
+    string_agg(span, ',' ORDER BY s, rank) FILTER (rank < 4) AS base, string_agg(span, ',' ORDER BY s, rank) AS spans,
+    string_agg(CAST(score AS VARCHAR), ',' ORDER BY s, rank) AS scores
   FROM spans GROUP BY r)
 SELECT doc_id, coalesce(n_email, 0) AS n_email, coalesce(n_ip, 0) AS n_ip, coalesce(n_card, 0) AS n_card,
-  coalesce(n_phone, 0) AS n_phone, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+  coalesce(n_phone, 0) AS n_phone, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(scores, '') AS scores
 FROM texts LEFT JOIN summed USING (r)
 """
 

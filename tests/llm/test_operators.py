@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -286,12 +287,31 @@ def test_contamination_of_messy_rows(spark, messy, nothing):
     assert decontaminate.judge_contamination(messy, bench.limit(0)).where("contaminated").count() == 0
 
 
-def test_benchmark_in_blocks(spark, monkeypatch):
-    monkeypatch.setattr(decontaminate, "BLOCK_CHARS", 60)
-    items = [(i, " ".join(f"i{i}x{k}" for k in range(8))) for i in range(9)]
+def test_benchmark_without_broadcasts(spark, monkeypatch):
+    monkeypatch.setattr("depgraph_spark.session.BROADCAST_ROWS", 0)
+    monkeypatch.setattr(decontaminate, "BROADCAST_WORDS", 0)
+    stem = "which of these is the one that is right "
+    items = [(i, stem + " ".join(f"i{i}x{k}" for k in range(30))) for i in range(9)]
     bench = spark.createDataFrame(items, "item_id long, text string")
-    got = decontaminate.judge_contamination(documents(spark, items), bench).orderBy("doc_id").collect()
-    assert [r["item_id"] for r in got] == list(range(9))
+    docs = [*items, (9, stem + "nothing else"), (10, items[3][1] + " " + items[4][1])]
+    got = decontaminate.judge_contamination(documents(spark, docs), bench).orderBy("doc_id").collect()
+    assert [r["item_id"] for r in got] == [*range(9), None, 3] and got[10]["n_items"] == 2
+
+
+def test_tiles_of_repetitive_texts():
+    begun = time.perf_counter()
+    same = np.full(20_000, 7, np.uint64)
+    assert decontaminate.tiles(same[:5_000], same, np.zeros(20_000, bool)) == [(0, 0, 5_000)]
+    assert time.perf_counter() - begun < 1
+
+
+def test_long_passage_of_a_longer_item(spark):
+    item = [f"w{k}" for k in range(500)]
+    bench = spark.createDataFrame([(5, " ".join(item))], "item_id long, text string")
+    docs = [(1, "a b " + " ".join(item[100:150]) + " c"), (2, "a b " + " ".join(item[100:149]) + " c"), (3, " ".join(item[:10]))]
+    got = {r["doc_id"]: r for r in decontaminate.judge_contamination(documents(spark, docs), bench).collect()}
+    assert got[1]["contaminated"] and abs(got[1]["coverage"] - 0.1) < 1e-9
+    assert not got[2]["contaminated"] and not got[3]["contaminated"]
 
 
 # 6. Personal data
@@ -344,6 +364,15 @@ def test_checksums_add_spans(spark):
     assert scores[0]["found"][0]["score"] > scores[1]["found"][0]["score"]
 
 
+def test_context_words_decide_on_secrets(spark):
+    run = "9b0b3c6a43eb78aa99cbd7049c572391524f37a8"
+    texts = [f'token = "{run}"', f'commit = "{run}"', f'{run} {"-" * 30} password', f'{run} {"-" * 50} password',
+             "token abcdefghijklmnopqrstuvwxyz", "token 12345678901234567890", "token a1" + "b" * 200, "é token a1b2c3d4e5f6g7h8i9j0"]
+    got = {r["doc_id"]: r for r in pii.pii_digest(documents(spark, list(enumerate(texts)))).collect()}
+    assert [got[i]["spans"] for i in range(8)] == ["secret:9:49", "", "secret:0:40", "", "", "", "", "secret:8:28"]
+    assert [got[i]["scores"] for i in range(8)] == ["80", "", "80", "", "", "", "", "80"]
+
+
 def test_personal_data_of_messy_rows(spark, messy, nothing):
     got = pii.pii_digest(messy)
     assert got.count() == len(MESSY) and got.where("spans <> ''").count() == 0
