@@ -416,12 +416,21 @@ def incremental_queries() -> dict[str, Query]:
         diff = incremental.edge_diff(old, new)
         return dynamic.updated_components(graph_of(spark, sf_dir).components(), files, new, diff)
 
+    def ranks_of_edited(spark, sf_dir):
+        """The second version's ranks, from the first version's stored walks and the difference of the edges."""
+        old, new = fx.edges(spark, sf_dir), fx.edited_edges(spark, sf_dir)
+        gone = fx.file_changes(spark, sf_dir).where(F.col("op") == "delete").select("repo", "path")
+        files = fx.files(spark, sf_dir).select("repo", "path").join(gone, ["repo", "path"], "left_anti")
+        first = rank.pagerank_state(graph_of(spark, sf_dir))
+        return rank.updated_pagerank(first, files, new, incremental.edge_diff(old, new))[1]
+
     def refreshed(spark, sf_dir):
         sources, listing, packages, aliases = corpus(spark, sf_dir)
         return incremental.refresh_graph(sources, listing, scratch(spark, "refresh"), packages, aliases)
 
     return {
         "updated_components": components_of_edited,
+        "updated_pagerank": ranks_of_edited,
         "edge_diff": lambda s, d: incremental.edge_diff(fx.edges(s, d), fx.edited_edges(s, d)),
         "invalidation_set": lambda s, d: incremental.invalidation_set(fx.edges(s, d), fx.edited_edges(s, d)),
         "broken_imports": lambda s, d: incremental.broken_imports(fx.edges(s, d), deleted(s, d)),

@@ -583,8 +583,8 @@ def gate_sql() -> dict[str, str]:
                   CASE WHEN cycles > 0 THEN concat(cycles, ' circular dependency(ies)') END))
                 WHEN 'WARN' THEN concat('PROCEED WITH CAUTION — ', issues, ' issue(s) detected')
                 ELSE 'All clear — safe to build' END AS status_line,
-              CASE v.verdict WHEN 'FAIL' THEN 'Fix the issues above before building.'
-                WHEN 'WARN' THEN 'Review the issues. If they are verified to be safe, proceed with the build.'
+              CASE v.verdict WHEN 'FAIL' THEN 'Fix the issues above before building. Use `check_warnings` for details, then `analyze_impact` on affected files.'
+                WHEN 'WARN' THEN 'Review the issues. If you''ve verified they''re safe, proceed with the build. Use `check_warnings acknowledge=true` to clear warnings.'
                 ELSE 'No issues detected. You may proceed with build/deploy.' END AS recommendation,
               s.files_in_graph, s.unresolved_warnings, s.scc_count, s.cyclic_sccs,
               CASE WHEN v.verdict = 'PASS' THEN s.unresolved_warnings ELSE 0 END AS auto_acknowledged
@@ -625,6 +625,12 @@ def incremental_sql() -> dict[str, str]:
             CLOSURE.replace("edges", "edges2"),
             SCC.replace("edges e", "edges2 e").replace("FROM files f", "FROM kept_files f"),
         ),
+        "updated_pagerank": graph(
+            "SELECT repo, path, pagerank FROM ranked",
+            EDITED,
+            "kept_files AS (SELECT * FROM files f WHERE NOT EXISTS (SELECT 1 FROM gone g WHERE g.name = f.name))",
+            PAGERANK.replace("FROM edges", "FROM edges2").replace("FROM files", "FROM kept_files"),
+        ),
         "edge_diff": graph("SELECT * FROM diff", EDITED, DIFF),
         "invalidation_set": graph("SELECT repo, path FROM invalid", EDITED, DIFF, INVALID),
         "broken_imports": graph("SELECT repo, 1 AS change_id, file, importer FROM broken", BROKEN),

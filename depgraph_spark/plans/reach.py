@@ -92,14 +92,14 @@ def reach_counts(steps: DataFrame, own: DataFrame, steps_rows: int) -> DataFrame
     return _all(seen).groupBy("node").agg(F.sum(F.bit_count("bits")).alias("reached"), F.max("level").alias("depth"))
 
 
-def spread_set(steps: DataFrame, seeds: DataFrame) -> DataFrame:
-    """``(node)``: the seeds and everything reachable from them by ``steps(a, b)``, as one set."""
+def spread_set(steps: DataFrame, seeds: DataFrame, rounds: int | None = None) -> DataFrame:
+    """``(node)``: the seeds and everything reachable from them by ``steps(a, b)``, in ``rounds`` steps at most, as one set."""
     spark = steps.sparkSession
     steps, steps_rows = cut_counted(steps)
     with shuffle_partitions(spark, loop_partitions(spark, steps_rows)):
         frontier, rows = cut_counted(seeds.select("node").distinct())
         seen = [frontier]
-        while rows:
+        while rows and (rounds is None or len(seen) <= rounds):
             ahead = steps.join(small(frontier.select(F.col("node").alias("a")), rows), "a")
             found = ahead.select(F.col("b").alias("node")).distinct()
             frontier, rows = cut_counted(found.join(_all(seen), "node", "left_anti"))

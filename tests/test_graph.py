@@ -146,6 +146,36 @@ def test_pagerank(spark, hot):
     assert got == pytest.approx(pr, abs=1e-12)
 
 
+def test_updated_pagerank(spark):
+    """Imports added, removed and all lost, files new and gone, a part that nothing changed leads to, another repository."""
+    region = [p for p in random_pairs(25, 50, 8) if p[0] != p[1]]
+    apart = [("x1", "x2"), ("x2", "x3"), ("x3", "x1"), ("x3", "f000")]
+    old_pairs = sorted({*region, *apart, ("gone", "f001"), ("f002", "gone"), ("lost", "f003"), ("c1", "c2")})
+    new_pairs = [p for p in old_pairs if "gone" not in p and p[0] != "lost" and p != region[0]]
+    new_pairs = sorted({*new_pairs, ("f010", "new"), ("new", "f004"), ("c2", "c1")})
+    old, new, other = make(spark, old_pairs), make(spark, new_pairs, ["lost", "alone"]), make(spark, CYCLES, repo="q")
+
+    def both(g):
+        return DependencyGraph(g.files.unionByName(other.files), g.edges.unionByName(other.edges))
+
+    old, new = both(old), both(new)
+    diff = edge_diff(old.edges, new.edges)
+    state = rank.pagerank_state(old)
+    got_state, got = rank.updated_pagerank(state, new.files, new.edges, diff)
+    want = {(r["repo"], r["path"]): r["pagerank"] for r in rank.pagerank(new).collect()}
+    assert {(r["repo"], r["path"]): r["pagerank"] for r in got.collect()} == pytest.approx(want, abs=2e-9)
+    want_state = {(r["repo"], r["path"]): (r["sink"], r["p"]) for r in rank.pagerank_state(new).collect()}
+    for r in got_state.collect():
+        sink, p = want_state.pop((r["repo"], r["path"]))
+        assert r["sink"] == sink and r["p"] == pytest.approx(p, abs=1e-12)
+    assert not want_state
+    touched = {(r["repo"], r["path"]) for r in power.changed_weights(state, new.files, new.edges, diff).collect()}
+    assert ("r", "alone") in touched and ("r", "f004") in touched
+    assert not any(repo == "q" or path.startswith("x") for repo, path in touched)
+    same = power.changed_weights(state, old.files, old.edges, edge_diff(old.edges, old.edges))
+    assert same.count() == 0
+
+
 def test_rank_with_ties(spark):
     rng = random.Random(3)
     rows = [(f"g{rng.randrange(3)}", float(rng.choice([1, 1, 1, 2, 5, 7]))) for _ in range(300)]
