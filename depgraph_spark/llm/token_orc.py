@@ -29,7 +29,8 @@ def write_token_orc(docs: DataFrame, path: str, tokenizer_path: str, end_id: int
     """Encode every text of docs(doc_id, text), add ``end_id``, and write the rows in ascending order of doc_id.
 
     Null ids come first; rows of one id stand in the order of their texts. A null or empty text has the end id alone.
-    ``part_start`` counts the ids before a document in its part; parts are numbered in the order of their ids.
+    ``part_start`` counts the ids before a document in its part; parts are numbered in the order of their ids. Columns of
+    ``docs`` other than the two are not read, whatever their names; an empty table is written without rows.
     """
     shared = docs.sparkSession.sparkContext.broadcast(load_vocabulary(tokenizer_path))
 
@@ -72,7 +73,10 @@ def read_token_orc(spark: SparkSession, path: str, doc_ids: list[int] | None = N
 
 
 def token_digest(stored: DataFrame) -> DataFrame:
-    """doc_id, start (ids of all documents before it), n_tokens and ids_crc32 of every stored row."""
+    """doc_id, start (ids of all documents before it), n_tokens and ids_crc32 of every stored row.
+
+    Repeated rows and null ids have a row each, at their own start; without stored rows there are none.
+    """
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

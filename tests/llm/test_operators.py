@@ -10,6 +10,7 @@ from collections import Counter
 import numpy as np
 import public_tokenizers
 import pytest
+from pyarrow import orc
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -482,6 +483,27 @@ def test_token_files(spark, tmp_path, library):
     assert [r["doc_id"] for r in some] == [4] and list(some[0]["ids"])[-1] == 0
 
 
+def test_token_file_metadata(spark, tmp_path):
+    """Row index stride and stripes as written; an id that is absent is ruled out by Bloom filters before a row is read."""
+    path = str(tmp_path / "indexed")
+    docs = spark.range(0, 40_000, 2, 2).select(F.col("id").alias("doc_id"), F.lit("a few words of text").alias("text"))
+    token_orc.write_token_orc(docs, path, TOKENIZER)
+    files = [orc.ORCFile(str(f)) for f in (tmp_path / "indexed").glob("*.orc")]
+    assert sum(f.nrows for f in files) == 20_000 and all(f.nstripes >= 1 for f in files if f.nrows)
+    assert {f.row_index_stride for f in files} == {token_orc.INDEX_ROWS}
+
+    def rows_read(doc_id):
+        found = token_orc.read_token_orc(spark, path, [doc_id])
+        n = len(found.collect())
+        scan = found._jdf.queryExecution().executedPlan().collectLeaves().apply(0)
+        return n, scan.metrics().apply("numOutputRows").value()
+
+    kept, read = rows_read(10_000)
+    assert kept == 1 and 0 < read <= 2 * token_orc.INDEX_ROWS
+    absent = [rows_read(i) for i in range(10_001, 10_021, 2)]
+    assert all(n == 0 for n, _ in absent) and sum(read == 0 for _, read in absent) >= 8
+
+
 def test_token_files_of_messy_rows(spark, messy, nothing, tmp_path):
     token_orc.write_token_orc(messy, str(tmp_path / "a"), TOKENIZER)
     got = token_orc.token_digest(token_orc.read_token_orc(spark, str(tmp_path / "a"))).orderBy("start").collect()

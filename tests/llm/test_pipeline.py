@@ -51,3 +51,48 @@ def test_stages_in_turn(spark, tmp_path):
     for i, r in got.items():
         want = library.encode(kept[3][i]["text"], add_special_tokens=False).ids
         assert list(r["ids"]) == want and r["n_tokens"] == len(want)
+
+
+def tables(spark, folder, docs, benchmark):
+    docs.write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    spark.createDataFrame(benchmark, "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    return str(folder)
+
+
+def test_stages_on_messy_rows(spark, messy, tmp_path):
+    """Every stage alone on the messy table: which rows stay, and that the columns do."""
+    leaked = "no id here but a text with enough words in it to count"
+    sf_dir = tables(spark, tmp_path, messy, [(0, leaked), (1, None), (2, ""), (3, "one"), (None, None)])
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    rows = sorted(map(repr, docs.collect()))
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        found = stage(spark, docs, sf_dir)
+        assert found.dtypes == docs.dtypes
+        got = sorted(map(repr, found.collect()))
+        if name in ("quality_classifier", "line_dedup"):
+            assert got == rows
+        elif name == "near_dedup":
+            assert len(got) == len(rows) - 2 and set(got) < set(rows)
+            assert sorted(r["doc_id"] for r in found.collect() if r["doc_id"]) == [*range(1, 2), *range(3, 10)]
+        else:
+            assert got == [r for r in rows if leaked not in r]
+    encoded = corpus_pipeline.tokens(spark, docs, sf_dir)
+    got = encoded.collect()
+    assert encoded.columns == ["doc_id", "n_tokens", "ids"] and len(got) == len(rows)
+    assert all(r["n_tokens"] == len(r["ids"]) for r in got)
+    assert {r["doc_id"]: r["n_tokens"] for r in got if r["doc_id"] in (3, 4)} == {3: 0, 4: 0}
+
+
+def test_run(spark, messy, nothing, tmp_path):
+    """The whole pipeline on messy rows, and on tables without a row."""
+    leaked = "no id here but a text with enough words in it to count"
+    got = corpus_pipeline.run(spark, tables(spark, tmp_path / "messy", messy, [(0, leaked)])).collect()
+    assert sorted(r["doc_id"] or 0 for r in got) == [0, 1, 3, 4, 5, 6, 7, 8, 9]
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = {r["doc_id"]: r["text"] or "" for r in messy.collect() if r["doc_id"]}
+    for r in got:
+        if r["doc_id"]:
+            assert list(r["ids"]) == library.encode(texts[r["doc_id"]], add_special_tokens=False).ids
+    empty = corpus_pipeline.run(spark, tables(spark, tmp_path / "nothing", nothing, []))
+    assert empty.columns == ["doc_id", "n_tokens", "ids"] and empty.count() == 0
