@@ -312,7 +312,9 @@ def language(lang_id: str) -> Language:
 
 
 def register_language(lang: Language) -> None:
-    """Add a language; its files, imports and manifests take part in every later job."""
+    """Add a language; its files, imports and manifests take part in every later job. An id may be taken only once."""
+    if any(known.id == lang.id for known in _REGISTRY):
+        raise ValueError(f"language {lang.id!r} is registered already")
     _REGISTRY.append(lang)
 
 

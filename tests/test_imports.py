@@ -295,3 +295,10 @@ def test_same_edges_for_any_partitioning(spark, parts):
     src = spark.createDataFrame(rows, "repo string, path string, content string").repartition(parts)
     got = {(r["src"], r["dst"]) for r in dependency_edges(src).collect()}
     assert got == {(f"f{i}.ts", f"f{(i * 7) % 50}.ts") for i in range(50)}
+
+
+def test_language_ids_are_taken_once():
+    before = langs.languages()
+    with pytest.raises(ValueError):
+        langs.register_language(langs.language("go"))
+    assert langs.languages() == before
