@@ -1,6 +1,7 @@
 """Graph operators on small graphs against brute force."""
 
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -247,6 +248,33 @@ def commit_table(spark, commits):
     return spark.createDataFrame(rows, "repo string, commit_id bigint, file string")
 
 
+def test_coupling_moves_lists_not_pairs(spark, monkeypatch):
+    commits = {n: [f"f{i:02d}" for i in range(n % 7, n % 7 + n % 5 + 2)] for n in range(60)}
+    commits[99] = [f"f{i:02d}" for i in range(25)]
+    table = commit_table(spark, commits)
+    kept = [files for files in commits.values() if len(files) <= 20]
+    pairs = Counter((a, b) for files in kept for a in files for b in files if a != b)
+    often = Counter(f for files in kept for f in files)
+    want = {(a, b, n, n / often[a]) for (a, b), n in pairs.items()}
+    mined = coupling.change_coupling(table)
+    plan = mined._jdf.queryExecution().executedPlan().toString()
+    moved = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+    assert moved and not any("other" in line or "file1" in line for line in moved)
+    assert {(r["file"], r["other"], r["co_changes"], r["confidence"]) for r in mined.collect()} == want
+    # Files of more than nine commits count as files of very many: dealt by their partners, with the same result.
+    monkeypatch.setattr(coupling, "COMMITS_PER_TASK", 9)
+    edges = spark.createDataFrame([("r", "f00", "f01", 1), ("r", "f06", "f03", 1)], "repo string, src string, dst string, n_refs long")
+    flagged = coupling.change_coupling(table, edges=edges)
+    linked = {("f00", "f01"), ("f01", "f00"), ("f06", "f03"), ("f03", "f06")}
+    assert {tuple(r)[1:] for r in flagged.collect()} == {(*w, w[:2] in linked) for w in want}
+    joined = coupling.coupling_in_graph(coupling.change_coupling(table), edges)
+    assert sorted(map(tuple, flagged.collect())) == sorted(map(tuple, joined.select(flagged.columns).collect()))
+    apart = coupling.hidden_coupling(flagged)
+    assert sorted(map(tuple, apart.collect())) == sorted(
+        map(tuple, coupling.hidden_coupling(mined, edges).select(apart.columns).collect())
+    )
+
+
 def test_coupling(spark):
     commits = {1: "abc", 2: "ab", 3: "ab", 4: "a", 5: [f"m{i}" for i in range(21)] + ["a", "b"]}
     got = {
