@@ -297,7 +297,7 @@ def coupling_queries() -> dict[str, Query]:
         "co_change_pairs": lambda s, d: coupling.co_change_pairs(_commit_files(s, d)),
         "change_coupling": lambda s, d: coupling.change_coupling(_commit_files(s, d), edges=fx.edges(s, d)),
         "hidden_coupling": lambda s, d: coupling.hidden_coupling(
-            coupling.change_coupling(_commit_files(s, d)), fx.edges(s, d)
+            coupling.change_coupling(_commit_files(s, d), edges=fx.edges(s, d))
         ),
         "coupling_percent": percents,
         "recent_commits": lambda s, d: rank.recent_commits(_commits(s, d)),
