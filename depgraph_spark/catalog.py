@@ -234,7 +234,10 @@ def _commits(spark, sf_dir) -> DataFrame:
 
 def _coupling(spark, sf_dir) -> DataFrame:
     """Coupling over the whole history, as a stored input of the gate."""
-    return fx.stored(spark, (sf_dir, "coupling"), lambda: coupling.change_coupling(_commit_files(spark, sf_dir)))
+    return fx.stored(
+        spark, (sf_dir, "coupling"),
+        lambda: coupling.change_coupling(_commit_files(spark, sf_dir), edges=fx.edges(spark, sf_dir)),
+    )
 
 
 def scalar_queries() -> dict[str, Query]:

@@ -396,6 +396,27 @@ def test_many_files_on_one_warned_file_make_one_row_before_the_warnings(spark):
     assert not any("Aggregate" in line for line in top) and once.count() == 150
 
 
+def test_coupling_issues_of_listed_and_large_change_sets(spark, monkeypatch):
+    commits = {n: [f"f{(n * k) % 13:02d}" for k in range(1, 5)] for n in range(1, 13)}
+    mined = coupling.change_coupling(commit_table(spark, commits))
+    g = make(spark, [("f01", "f02"), ("f03", "f09")], [f"f{i:02d}" for i in range(11)])
+    rows = [("r", c, f"f{i:02d}") for c, n in ((1, 2), (2, 5), (3, 12)) for i in range(n)]
+    changes = spark.createDataFrame(rows, "repo string, change_id bigint, file string")
+    strong = [(r["file"], r["other"]) for r in mined.collect() if r["confidence"] >= 0.3]
+    linked = {("f01", "f02"), ("f02", "f01"), ("f03", "f09"), ("f09", "f03")}
+    known = {r["path"] for r in g.files.collect()}
+    want = sorted(
+        (c, f, o) for _, c, f in rows for a, o in strong
+        if a == f and f in known and (f, o) not in linked and ("r", c, o) not in rows
+    )
+    flagged = coupling.change_coupling(commit_table(spark, commits), edges=g.edges)
+    for most in (64, 3):
+        monkeypatch.setattr(gate, "LISTED_FILES", most)
+        for table in (mined, flagged):
+            found = gate.coupling_issues(g, changes, table).collect()
+            assert sorted((r["change_id"], r["file"], r["description"].split()[2]) for r in found) == want and want
+
+
 def test_warning_suffixes_match_brute_force(spark):
     changed = ["src/af3.ts", "f3.ts", "lib/x.ts", "x.ts", "é/f3.ts"]
     warned = ["f3.ts", "home/src/af3.ts", "/x.ts", "b/x.ts", "3.ts", ""]
