@@ -10,19 +10,18 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import cut_counted, small
+from ..session import BROADCAST_ROWS, cut, cut_counted, small
 from .common import crc_remainder
 from .quality_rules import text_statistics, transformed
 
-# Bounds of what the driver fits: documents per label, in expectation, and pairs of them.
-DOCS_PER_LABEL = 4_000
+# Few documents are paired several times, up to this many pairs; others once each.
 PAIRS = 40_000
 RIDGE = 1e-3
 STEPS = 30
-SEED = 7
+SETTLED = 1e-9
 
 
 FEATURES = ("log_words", "word_length", "symbols", "dup_lines", "repeats", "doubled")
@@ -50,57 +49,105 @@ class Ranker:
     weights: list[float]
     threshold: float
 
+    def utility(self) -> Column:
+        """Utility above the threshold, from the columns of ``featured``."""
+        return sum(((F.col(s) - m) * w for s, m, w in zip(FEATURES, self.means, self.weights)), F.lit(0.0)) - self.threshold
+
     def score(self) -> Column:
         """0 to 1, from the columns of ``featured``."""
-        utility = sum(
-            ((F.col(s) - m) * w for s, m, w in zip(FEATURES, self.means, self.weights)), F.lit(-self.threshold)
+        return 1 / (1 + F.exp(-F.greatest(F.least(self.utility(), F.lit(30.0)), F.lit(-30.0))))
+
+
+def _numbered(rows: DataFrame) -> DataFrame:
+    """Adds ``pos``, from 0 on within each label, in an order by hash inside the partitions that rows were written in."""
+    inside = Window.partitionBy("_part", "_label").orderBy(F.xxhash64(*FEATURES))
+    parts = rows.groupBy("_part", "_label").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy("_label").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts, n = cut_counted(parts.select("_part", "_label", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start")))
+    rows = rows.withColumn("row", F.row_number().over(inside)).join(small(starts, n), ["_part", "_label"])
+    return rows.select("_label", *FEATURES, (F.col("start") + F.col("row") - 1).cast("bigint").alias("pos"))
+
+
+def _pairs(rows: DataFrame, counts: dict[int, int], spread: list[float]) -> DataFrame:
+    """Scaled differences ``x0..`` of good and bad documents: every row of either label is in a pair, PAIRS at least."""
+    numbered = cut(_numbered(rows))
+    more = 1 if counts[1] >= counts[0] else 0
+    fewer = counts[1 - more]
+    draws = F.explode(F.sequence(F.lit(0), F.lit(-(-PAIRS // counts[more]) - 1 if counts[more] < PAIRS else 0)))
+    many = numbered.where(F.col("_label") == more).select(*[F.col(s).alias(f"a_{s}") for s in FEATURES], "pos", draws.alias("draw"))
+    many = many.withColumn("partner", F.pmod(F.col("pos") + F.col("draw") * F.lit(7919), F.lit(fewer)))
+    few = numbered.where(F.col("_label") == 1 - more).select(*[F.col(s).alias(f"b_{s}") for s in FEATURES], F.col("pos").alias("partner"))
+    sign = 1.0 if more == 1 else -1.0
+    return cut(
+        many.join(few, "partner").select(
+            *[((F.col(f"a_{s}") - F.col(f"b_{s}")) * (sign / d)).alias(f"x{i}") for i, (s, d) in enumerate(zip(FEATURES, spread))]
         )
-        return 1 / (1 + F.exp(-F.greatest(F.least(utility, F.lit(30.0)), F.lit(-30.0))))
+    )
+
+
+def _quantile(values: DataFrame, below: int, n: int) -> float:
+    """Between the ``below``-th and the next of ``n`` values ``u``: bracketed by an approximation, then read off exactly."""
+    near = [max(0.0, below / n - 5e-4), min(1.0, below / n + 5e-4)]
+    low, high = values.agg(F.percentile_approx("u", near, F.lit(10_000)).alias("q")).first()["q"]
+    inside = F.col("u").between(low, high)
+    under = values.agg(F.count_if(F.col("u") < low).alias("n")).first()["n"]
+    found = sorted((r["u"], r["n"]) for r in values.where(inside).groupBy("u").agg(F.count(F.lit(1)).alias("n")).collect())
+    at, last = np.array([u for u, _ in found]), under + np.cumsum([k for _, k in found])
+    pick = [at[min(int(np.searchsorted(last, k)), len(at) - 1)] for k in (below, min(below + 1, n))]
+    return float(pick[0] + pick[1]) / 2
 
 
-def fit_pairs(good: np.ndarray, bad: np.ndarray, share_bad: float) -> Ranker:
-    """Bradley-Terry by Newton steps on pairs drawn from both sets, with a threshold at the ``share_bad`` quantile."""
-    both = np.concatenate([good, bad])
-    if not len(good) or not len(bad):
-        neutral = 30.0 if len(bad) else -30.0 if len(good) else 0.0
+def fit_pairs(rows: DataFrame) -> Ranker:
+    """Bradley-Terry by Newton steps over pairs of all rows of ``rows(_label, _part, *FEATURES)``.
+
+    The threshold is the quantile of all utilities at the share of label 0. Only sums over the pairs, one row per step,
+    and the values within a thousandth of that quantile reach the driver.
+    """
+    moments = [f(s).alias(f"{k}_{s}") for s in FEATURES for k, f in (("mean", F.avg), ("sd", F.stddev_pop))]
+    top = rows.agg(*[F.count_if(F.col("_label") == k).alias(f"n{k}") for k in (0, 1)], *moments).first()
+    counts = {k: top[f"n{k}"] for k in (0, 1)}
+    if not counts[0] or not counts[1]:
+        neutral = 30.0 if counts[0] else -30.0 if counts[1] else 0.0
         return Ranker([0.0] * len(FEATURES), [0.0] * len(FEATURES), neutral)
-    means, spread = both.mean(axis=0), both.std(axis=0) + 1e-9
-    draw = np.random.default_rng(SEED)
-    left = (good[draw.integers(len(good), size=PAIRS)] - means) / spread
-    right = (bad[draw.integers(len(bad), size=PAIRS)] - means) / spread
-    x = left - right
-    w = np.zeros(x.shape[1])
+    means, spread = [top[f"mean_{s}"] for s in FEATURES], [top[f"sd_{s}"] + 1e-9 for s in FEATURES]
+    pairs = _pairs(rows, counts, spread)
+    x = [F.col(f"x{i}") for i in range(len(FEATURES))]
+    w = np.zeros(len(x))
+    corners = [(i, j) for i in range(len(x)) for j in range(i, len(x))]
     for _ in range(STEPS):
-        p = 1 / (1 + np.exp(np.clip(x @ w, -30, 30)))
-        gradient = x.T @ p / len(x) - RIDGE * w
-        curvature = (x * (p * (1 - p))[:, None]).T @ x / len(x) + RIDGE * np.eye(len(w))
-        w += np.linalg.solve(curvature, gradient)
-    utility = ((both - means) / spread) @ w
-    weight = np.concatenate([np.full(len(good), (1 - share_bad) / len(good)), np.full(len(bad), share_bad / len(bad))])
-    order = np.argsort(utility, kind="stable")
-    below = int(np.searchsorted(np.cumsum(weight[order]), share_bad - 1e-9)) + 1
-    at = utility[order]
-    threshold = (at[min(below, len(at)) - 1] + at[min(below, len(at) - 1)]) / 2
-    return Ranker(means.tolist(), (w / spread).tolist(), float(threshold))
-
-
-def learn_ranker(docs: DataFrame, labels: DataFrame, per_label: int = DOCS_PER_LABEL) -> Ranker:
-    """Fit on documents whose crc32(doc_id) mod 3 is not 1, about ``per_label`` of each label drawn by a hash of the id.
+        dot = sum((c * float(v) for c, v in zip(x, w)), F.lit(0.0))
+        p = 1 / (1 + F.exp(F.greatest(F.least(dot, F.lit(30.0)), F.lit(-30.0))))
+        weighed = pairs.select(*x, p.alias("p")).withColumn("q", F.col("p") * (1 - F.col("p")))
+        sums = weighed.agg(*[F.avg(c * F.col("p")) for c in x], *[F.avg(x[i] * x[j] * F.col("q")) for i, j in corners]).first()
+        curvature = np.eye(len(x)) * RIDGE
+        for (i, j), value in zip(corners, sums[len(x) :]):
+            curvature[i, j] += value
+            curvature[j, i] = curvature[i, j]
+        step = np.linalg.solve(curvature, np.array(sums[: len(x)]) - RIDGE * w)
+        w += step
+        if np.abs(step).max() < SETTLED:
+            break
+    weights = (w / np.array(spread)).tolist()
+    utility = Ranker(means, weights, 0.0).utility()
+    return Ranker(means, weights, _quantile(rows.select(utility.alias("u")), counts[0], counts[0] + counts[1]))
+
+
+def learn_ranker(docs: DataFrame, labels: DataFrame) -> Ranker:
+    """Fit on all labelled documents whose crc32(doc_id) mod 3 is not 1.
 
     Labels other than 0 and 1, and ids without a document, are ignored. With one label only, every document gets that
     label; without any, every score is a half.
     """
     usable = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & (crc_remainder() != 1))
-    usable = usable.select(F.col("doc_id").cast("bigint").alias("_id"), F.col("quality").alias("_label"))
-    counts = {r["_label"]: r["n"] for r in usable.groupBy("_label").agg(F.count(F.lit(1)).alias("n")).collect()}
-    rate = sum((F.when(F.col("_label") == k, per_label / n).otherwise(0.0) for k, n in counts.items()), F.lit(0.0))
-    drawn, n = cut_counted(usable.where(F.pmod(F.xxhash64("_id"), F.lit(1_000_003)) < 1_000_003.0 * rate))
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("_id"), "text").join(small(drawn, n), "_id")
-    found = featured(rows, "_label").toArrow()
-    values = np.column_stack([np.asarray(found[s], np.float64) for s in FEATURES]) if found.num_rows else np.zeros((0, len(FEATURES)))
-    label = np.asarray(found["_label"]) if found.num_rows else np.zeros(0)
-    share_bad = counts.get(0, 0) / max(1, sum(counts.values()))
-    return fit_pairs(values[label == 1], values[label == 0], share_bad)
+    usable, n = cut_counted(usable.select(F.col("doc_id").cast("bigint").alias("_id"), F.col("quality").alias("_label")))
+    texts = docs.where(F.col("doc_id").isNotNull() & (crc_remainder() != 1))
+    texts = texts.select(F.col("doc_id").cast("bigint").alias("_id"), "text")
+    if n <= BROADCAST_ROWS:
+        found = featured(texts.join(small(usable, n), "_id"), "_label")
+    else:
+        # Statistics first, so that no text is shuffled.
+        found = featured(texts, "_id").join(usable, "_id").drop("_id")
+    return fit_pairs(cut(found.withColumn("_part", F.spark_partition_id())))
 
 
 def score_documents(docs: DataFrame, model: Ranker) -> DataFrame:

@@ -586,3 +586,26 @@ def test_rules_of_messy_rows(messy, nothing):
     got = quality_rules.judge_documents(messy)
     assert got.count() == len(MESSY) and got.where("kept is null").count() == 0
     assert quality_rules.judge_documents(nothing).count() == 0
+
+
+def test_ranker_learns_from_every_labelled_document(spark, monkeypatch):
+    held = [i for i in range(1, 400) if zlib.crc32(str(i).encode()) % 3 == 1]
+    learned = [i for i in range(1, 400) if i not in held]
+    docs = spark.createDataFrame(
+        [(i, " ".join(["word"] * (i % 40 + 1)) + " #" * (i % 3)) for i in range(1, 400)], "doc_id bigint, text string"
+    )
+    labels = spark.createDataFrame([(i, int(i % 40 > 12)) for i in range(1, 400)], "doc_id bigint, quality int")
+    seen = []
+    fit = quality_ranker.fit_pairs
+    monkeypatch.setattr(quality_ranker, "fit_pairs", lambda rows: seen.append(rows) or fit(rows))
+    model = quality_ranker.learn_ranker(docs, labels)
+    assert seen[0].count() == len(learned)
+    pos = quality_ranker._numbered(seen[0]).groupBy("_label").agg(F.sort_array(F.collect_list("pos")).alias("p")).collect()
+    assert all(r["p"] == list(range(len(r["p"]))) for r in pos) and len(pos) == 2
+    # The threshold lies between the two utilities that part as many documents as label 0 has.
+    rows = seen[0].select((model.utility() + model.threshold).alias("u")).collect()
+    utility, n_bad = sorted(r["u"] for r in rows), sum(i % 40 <= 12 for i in learned)
+    assert abs(model.threshold - (utility[n_bad - 1] + utility[n_bad]) / 2) < 1e-9
+    monkeypatch.setattr(quality_ranker, "BROADCAST_ROWS", 10)
+    large = quality_ranker.learn_ranker(docs, labels)
+    assert seen[1].count() == len(learned) and abs(large.threshold - model.threshold) < 0.5
