@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from depgraph_spark.llm.decontaminate import without_contaminated
 from depgraph_spark.llm.lexicon import encode_texts
-from depgraph_spark.llm.line_dedup import without_boilerplate
+from depgraph_spark.llm.line_dedup import MIN_SITES, without_boilerplate
 from depgraph_spark.llm.near_dedup import without_near_duplicates
 from depgraph_spark.llm.quality_ranker import keep_preferred, learn_ranker
 from depgraph_spark.llm.queries import read, tokenizer_path
@@ -35,10 +35,11 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without repeated boilerplate lines; a document of which only white space is left goes.
 
+    Long lines need as many sites as short ones here: a text copied to a few sites is left whole for near_dedup.
     Null, empty and blank texts lose no line and stay, as they are. Null sources are one site. The first occurrence of a
     line is the one with the least (doc_id, line number), null ids first; rows equal in id and text are treated alike.
     """
-    rows = without_boilerplate(docs)
+    rows = without_boilerplate(docs, long_sites=MIN_SITES)
     left = (F.col("_n_removed") == 0) | F.col("_clean").rlike(r"[^\x20\x09-\x0D]")
     changed = F.col("_n_removed") > 0
     return rows.where(left).select(*[

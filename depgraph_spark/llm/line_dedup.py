@@ -43,13 +43,13 @@ def sites_needed(docs: DataFrame) -> int:
     return min(MIN_SITES, max(LONG_SITES, -(-sites // 2)))
 
 
-def boilerplate_lines(lines: DataFrame, min_sites: int) -> tuple[DataFrame, int]:
-    """(h, g) of the lines on at least ``min_sites`` sites (long ones LONG_SITES, if that is less), and how many there are.
+def boilerplate_lines(lines: DataFrame, min_sites: int, long_sites: int = LONG_SITES) -> tuple[DataFrame, int]:
+    """(h, g) of the lines on at least ``min_sites`` sites (long ones ``long_sites``, if that is less), and how many there are.
 
     Sketches are merged by aggregation. Lines whose estimate is within MARGIN errors of the threshold are counted
     exactly; of the others the estimate decides.
     """
-    least = F.when(F.col("long"), min(min_sites, LONG_SITES)).otherwise(min_sites)
+    least = F.when(F.col("long"), min(min_sites, long_sites)).otherwise(min_sites)
     width = F.greatest(F.lit(1.0), MARGIN * ERROR * least)
     sketches = lines.groupBy("h", "g", "long").agg(F.hll_sketch_agg("site", LG_K).alias("sketch"))
     spread = sketches.select("h", "g", "long", F.hll_sketch_estimate("sketch").alias("sites")).where(F.col("sites") >= least - width)
@@ -61,18 +61,18 @@ def boilerplate_lines(lines: DataFrame, min_sites: int) -> tuple[DataFrame, int]
     return cut_counted(spread.where(~is_near).select("h", "g").unionByName(exact.select("h", "g")))
 
 
-def without_boilerplate(docs: DataFrame, min_sites: int | None = None) -> DataFrame:
+def without_boilerplate(docs: DataFrame, min_sites: int | None = None, long_sites: int = LONG_SITES) -> DataFrame:
     """``_row``, ``_n_lines``, ``_n_removed`` and ``_clean``, the text without repeated boilerplate lines.
 
     ``_row`` is the row of ``docs`` as a struct, so that its columns may have any names. A line of 20 words or more is
-    boilerplate from 3 sites on, a shorter one from ``min_sites`` on (by default ``sites_needed``).
+    boilerplate from ``long_sites`` on, a shorter one from ``min_sites`` on (by default ``sites_needed``).
 
     The first occurrence of a line is the one with the least (doc_id, line number), null ids first; rows that repeat
     both id and text are treated alike. Lines are compared without white space around them; lines without a word
     always stay. A null text stays null with no lines, an empty one has one line; an empty table gives no rows.
     """
     lines = lines_of(docs)
-    common, n = boilerplate_lines(lines, sites_needed(row_keys(docs)) if min_sites is None else min_sites)
+    common, n = boilerplate_lines(lines, sites_needed(row_keys(docs)) if min_sites is None else min_sites, long_sites)
     found, n_found = cut_counted(lines.join(small(common, n), ["h", "g"]).select("h", "g", "_id", "_text", "pos"))
     first = found.groupBy("h", "g").agg(F.min(F.struct("_id", "pos")).alias("first"))
     first, n_first = cut_counted(first)
