@@ -31,12 +31,18 @@ def scan_files(spark: SparkSession, root: str) -> DataFrame:
     The names are listed first, without reading; then the contents are read apart, and what the listing has beyond them
     comes back as a row with the error ``unreadable`` and no content: files that vanished, or that a passing fault kept
     from being read. Content that is no UTF-8 has the error ``undecodable``, with replacement characters for its bytes.
+    Spark's readers pass over files without a byte; those are what its listing names beyond the rows it gives.
     """
 
     def files(**options) -> DataFrame:
         return spark.read.format("binaryFile").option("recursiveFileLookup", True).options(**options).load(root)
 
-    listed = cut(files().select(F.col("path").alias("uri")))
+    every = files()
+    listed = cut(every.select(F.col("path").alias("uri")))
+    # These names, which Spark's listing holds on the driver, are encoded; those of the rows are not.
+    names = spark.createDataFrame([(name,) for name in every.inputFiles()], "uri string")
+    plain = F.url_decode(F.replace(F.regexp_replace("uri", "^file:/+", "file:/"), F.lit("+"), F.lit("%2B")))
+    empty = names.select(plain.alias("uri")).join(listed, "uri", "left_anti")
     text = F.col("content").cast("string")
     found = files(ignoreMissingFiles=True, ignoreCorruptFiles=True).select(
         F.col("path").alias("uri"),
@@ -47,8 +53,11 @@ def scan_files(spark: SparkSession, root: str) -> DataFrame:
     raw = listed.join(found, "uri", "left").withColumn(
         "error", F.when(F.col("read").isNull(), F.lit("unreadable")).otherwise(F.col("error"))
     )
+    no_error = F.lit(None).cast("string").alias("error")
+    raw = raw.select("uri", "content", "error").unionByName(empty.select("uri", F.lit("").alias("content"), no_error))
     base = root.rstrip("/") + "/"
-    uri = F.url_decode(F.replace(F.col("uri"), F.lit("+"), F.lit("%2B")))
+    # The source gives paths as they are; nothing in them is encoded.
+    uri = F.col("uri")
     inside = F.substring(uri, F.instr(uri, base) + len(base), F.length(uri))
     return raw.select(
         F.substring_index(inside, "/", 1).alias("repo"),
