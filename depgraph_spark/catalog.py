@@ -35,6 +35,11 @@ def graph_of(spark: SparkSession, sf_dir: str) -> DependencyGraph:
     return _GRAPHS[key]
 
 
+def corpus_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The listing that ``corpus`` has, from the files and manifests alone; no text is rendered for it."""
+    return fx.files(spark, sf_dir).select("repo", "path").unionByName(fx.manifests(spark, sf_dir).select("repo", "path"))
+
+
 def corpus(spark: SparkSession, sf_dir: str, lang: str | None = None, by_alias: bool = False):
     """Texts, listing, packages and aliases of the rendered code base."""
     sources = fx.source_files(spark, sf_dir, lang, by_alias)
@@ -81,7 +86,7 @@ def graph_queries() -> dict[str, Query]:
     q["hub_files"] = _graph(lambda g: g.hub_files())
 
     def stats(spark, sf_dir):
-        _, listing, _, _ = corpus(spark, sf_dir)
+        listing = corpus_listing(spark, sf_dir)
         g = graph_of(spark, sf_dir)
         return lookups.graph_stats(g.files, g.edges, g.components(), scans.detect_languages(listing))
 

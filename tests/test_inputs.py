@@ -9,7 +9,7 @@ SF_DIR = "/root/testdata/sf0.001"
 
 
 @pytest.mark.parametrize(
-    "name", ["broken_imports", "broken_import_warnings", "updated_components", "updated_pagerank"]
+    "name", ["graph_stats", "broken_imports", "broken_import_warnings", "updated_components", "updated_pagerank"]
 )
 def test_no_texts_are_rendered_for(spark, monkeypatch, name):
     def fail(*_, **__):
@@ -25,3 +25,8 @@ def test_deleted_files_are_those_of_the_feed(spark):
     feed = fx.file_changes(spark, SF_DIR).where("op = 'delete'").select("repo", "path")
     gone = fx.deleted_files(spark, SF_DIR)
     assert sorted(map(tuple, gone.collect())) == sorted(map(tuple, feed.collect())) != []
+
+
+def test_listing_is_that_of_the_texts(spark):
+    _, listing, _, _ = catalog.corpus(spark, SF_DIR)
+    assert sorted(map(tuple, catalog.corpus_listing(spark, SF_DIR).collect())) == sorted(map(tuple, listing.collect()))
