@@ -1,9 +1,13 @@
-"""What the registered queries read."""
+"""What the registered queries read, and path arithmetic by patterns."""
+
+import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from depgraph_spark import catalog
 from depgraph_spark import fixtures as fx
+from depgraph_spark.functions.paths import _kept, resolve_under
 
 SF_DIR = "/root/testdata/sf0.001"
 
@@ -30,3 +34,18 @@ def test_deleted_files_are_those_of_the_feed(spark):
 def test_listing_is_that_of_the_texts(spark):
     _, listing, _, _ = catalog.corpus(spark, SF_DIR)
     assert sorted(map(tuple, catalog.corpus_listing(spark, SF_DIR).collect())) == sorted(map(tuple, listing.collect()))
+
+
+def test_patterns_resolve_as_the_fold_does(spark):
+    draw = random.Random(5)
+    parts = ["", "a", "..", ".", "b.c", "...", "..x", "x..", "\n", "a b"]
+    rows = [
+        ["/".join(draw.choice(parts) for _ in range(draw.randrange(n))) for n in (6, 7)] for _ in range(5000)
+    ] + [[None, "a"], ["a", None]]
+    whole = F.concat("folder", F.lit("/"), "rest")
+    both = spark.createDataFrame(rows, "folder string, rest string").select(
+        "folder", "rest",
+        resolve_under(F.col("folder"), F.col("rest")).alias("got"),
+        F.array_join(_kept(F.split(whole, "/"), True), "/").alias("want"),
+    )
+    assert both.where("NOT got <=> want").collect() == []
