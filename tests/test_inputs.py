@@ -49,3 +49,17 @@ def test_patterns_resolve_as_the_fold_does(spark):
         F.array_join(_kept(F.split(whole, "/"), True), "/").alias("want"),
     )
     assert both.where("NOT got <=> want").collect() == []
+
+
+def test_only_edited_files_are_rendered_for_the_feed(spark, monkeypatch):
+    rendered, render = [], fx._render
+
+    def recorded(*args, **options):
+        rendered.append(render(*args, **options))
+        return rendered[-1]
+
+    monkeypatch.setattr(fx, "_STORED", {})
+    monkeypatch.setattr(fx, "_render", recorded)
+    edits = fx.file_changes(spark, SF_DIR).where("op = 'change' AND ts >= '2024-01-02'").select("repo", "path")
+    assert len(rendered) == 1
+    assert sorted(map(tuple, rendered[0].select("repo", "path").collect())) == sorted(map(tuple, edits.collect())) != []
