@@ -63,3 +63,28 @@ def test_only_edited_files_are_rendered_for_the_feed(spark, monkeypatch):
     edits = fx.file_changes(spark, SF_DIR).where("op = 'change' AND ts >= '2024-01-02'").select("repo", "path")
     assert len(rendered) == 1
     assert sorted(map(tuple, rendered[0].select("repo", "path").collect())) == sorted(map(tuple, edits.collect())) != []
+
+
+def test_graph_inputs_are_counted_as_numbers(spark, monkeypatch):
+    written, cut = [], fx.cut
+
+    def recorded(df):
+        written.append(df)
+        return cut(df)
+
+    monkeypatch.setattr(fx, "_STORED", {})
+    monkeypatch.setattr(fx, "cut", recorded)
+    found = {
+        "edges": fx.edges(spark, SF_DIR),
+        "edited": fx.edited_edges(spark, SF_DIR),
+        "files": fx.named_files(spark, SF_DIR),
+    }
+    for name, got in found.items():
+        table = "files" if name == "files" else "edges"
+        want = fx.run(spark, SF_DIR, fx.graph_ctes(edited=name == "edited"), f"SELECT * FROM {table}")
+        assert got.columns == want.columns
+        assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty() and not got.isEmpty()
+    # No path goes through a shuffle or a stored table: only the letters of the kinds stand beside the numbers.
+    assert len(written) == 3
+    for df in written:
+        assert {c for c, kind in df.dtypes if kind == "string"} <= {"x", "y", "kind"}
