@@ -520,3 +520,31 @@ def test_components_after_changes(spark):
     was = {r["path"]: r["comp"] for r in before.collect()}
     assert changed == {p: c for p, c in want.items() if was.get(p) != c} and changed
     assert "q1" not in changed and "q2" not in changed
+
+
+def test_found_words_stay_in_place(spark, monkeypatch):
+    """Large rounds look into every earlier one where it lies; many earlier ones are merged, none is lost or counted twice."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    from depgraph_spark.plans import reach
+
+    laid, in_place = [], reach._in_place
+    monkeypatch.setattr(reach, "_in_place", lambda words, n: laid.append(in_place(words, n)) or laid[-1])
+    monkeypatch.setattr(reach, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(reach, "MAX_LAYERS", 3)
+    draw = random.Random(7)
+    links = {(draw.randrange(max(0, i - 9), i), i) for i in range(1, 40) for _ in range(2)}
+    want = {}
+    for start in {a for a, _ in links}:
+        seen, ahead, depth = set(), {start}, 0
+        while ahead := {b for a, b in links if a in ahead} - seen:
+            seen, depth = seen | ahead, depth + 1
+        want[start] = (len(seen), depth)
+    assert max(depth for _, depth in want.values()) > 4
+    steps = spark.createDataFrame(sorted(links), "a bigint, b bigint")
+    own = reach.own_bits(spark.range(40).select(F.col("id").alias("node"), "id"))
+    got = reach.reach_counts(steps, own, len(links)).collect()
+    assert {r["node"]: (r["reached"], r["depth"]) for r in got} == want
+    assert len(laid) > max(depth for _, depth in want.values()) and not any(df.is_cached for df in laid)
