@@ -24,6 +24,9 @@ ROOT_MARKERS = [
 ]
 ROOT_SEARCH_DEPTH = 20
 
+# Files that one task of a scan reads one after the other.
+FILES_PER_TASK = 1000
+
 
 def scan_files(spark: SparkSession, root: str) -> DataFrame:
     """``(repo, path, content, error)`` of every file below a folder that holds one sub-folder per repository.
@@ -38,13 +41,16 @@ def scan_files(spark: SparkSession, root: str) -> DataFrame:
         return spark.read.format("binaryFile").option("recursiveFileLookup", True).options(**options).load(root)
 
     every = files()
-    listed = cut(every.select(F.col("path").alias("uri")))
     # These names, which Spark's listing holds on the driver, are encoded; those of the rows are not.
-    names = spark.createDataFrame([(name,) for name in every.inputFiles()], "uri string")
+    encoded = every.inputFiles()
+    # Spark opens some thirty small files in a task; that many tasks of no work cost more than the files.
+    tasks = max(spark.sparkContext.defaultParallelism, -(-len(encoded) // FILES_PER_TASK))
+    listed = cut(every.select(F.col("path").alias("uri")).coalesce(tasks))
+    names = spark.createDataFrame([(name,) for name in encoded], "uri string")
     plain = F.url_decode(F.replace(F.regexp_replace("uri", "^file:/+", "file:/"), F.lit("+"), F.lit("%2B")))
     empty = names.select(plain.alias("uri")).join(listed, "uri", "left_anti")
     text = F.col("content").cast("string")
-    found = files(ignoreMissingFiles=True, ignoreCorruptFiles=True).select(
+    found = files(ignoreMissingFiles=True, ignoreCorruptFiles=True).coalesce(tasks).select(
         F.col("path").alias("uri"),
         F.make_valid_utf8(text).alias("content"),
         F.when(~F.is_valid_utf8(text), F.lit("undecodable")).alias("error"),

@@ -88,3 +88,14 @@ def test_graph_inputs_are_counted_as_numbers(spark, monkeypatch):
     assert len(written) == 3
     for df in written:
         assert {c for c, kind in df.dtypes if kind == "string"} <= {"x", "y", "kind"}
+
+
+def test_scanned_files_grow_with_blocks_of_documents(spark, tmp_path, monkeypatch):
+    texts = ["a\nb\n", "", None, "\\n \"q\" \x00\x01   \U0001f600\r\n", *[f"t {i}" for i in range(2000)]]
+    rows = [(i, text, "s t%" if i % 2 else "u") for i, text in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id bigint, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    scan, scanned = catalog.scans.scan_source_files, []
+    monkeypatch.setattr(catalog.scans, "scan_source_files", lambda *args: scanned.append(scan(*args)) or scanned[0])
+    got = catalog.all_queries()["scan_source_files"](spark, str(tmp_path)).select("doc_id", "content").collect()
+    assert sorted(map(tuple, got)) == [(i, (text or "") + "\n") for i, text, _ in rows]
+    assert scanned[0].count() <= len(texts) / catalog.DOCS_PER_FILE + 2 * spark.sparkContext.defaultParallelism
