@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut, cut_counted, small
+from ..session import cut, cut_counted, loop_partitions, small
 from .common import arrow_rows, binary, powers, row_keys, same_row, shingle_hashes, slices, text_buffers, whole_rows, word_hashes
 
 # Bands of hashes: a pair of similarity 0.8 shares none of them three times in a million.
@@ -203,26 +203,30 @@ def connected(edges: DataFrame) -> tuple[DataFrame, int]:
     """(node, comp) of every node of edges(a, b): comp is the least node of its component. And how many rows.
 
     Large-star and small-star steps in turn: every neighbour of a node, then every lesser one, is hung under the least
-    of them, until nothing changes. Each step halves the way to the root at least and sums up before it shuffles.
+    of them, until every node hangs under a root. Each step halves the way to the root at least and sums up before it
+    shuffles. A round's tables have at most twice as many rows as the edges before it and are written in parts for those.
     """
+    spark = edges.sparkSession
     stored, n = cut_counted(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
-    before = None
-    while n:
+    starred = not n
+    while not starred:
+        parts = loop_partitions(spark, n)
         both = stored.unionByName(stored.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        roots, n_roots = cut_counted(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
+        roots = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        roots, n_roots = cut_counted(roots.coalesce(parts))
         large = both.join(small(roots, n_roots), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = cut(large.where("u <> v").distinct())
-        least, n_least = cut_counted(large.groupBy("u").agg(F.min("v").alias("m")))
+        large = cut(large.where("u <> v").distinct().coalesce(parts))
+        least, n_least = cut_counted(large.groupBy("u").agg(F.min("v").alias("m")).coalesce(parts))
         hung = large.join(small(least, n_least), "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         after = hung.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
-        stored, n = cut_counted(after)
-        state = stored.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()
-        if state == before:
-            break
-        before = state
+        stored, n = cut_counted(after.coalesce(parts))
+        if n == n_least:
+            # No node hangs under two others. Of these trees those of height one are done.
+            below = small(stored.select(F.col("u").alias("v")), n)
+            starred = stored.join(below, "v", "left_semi").isEmpty()
     pairs = stored.select(F.col("u").alias("node"), F.col("v").alias("comp"))
     roots = stored.select(F.col("v").alias("node"), F.col("v").alias("comp"))
-    return cut_counted(pairs.unionByName(roots).distinct())
+    return cut_counted(pairs.unionByName(roots).distinct().coalesce(loop_partitions(spark, 2 * n)))
 
 
 def block_pairs(members: DataFrame, percent: int, miss: float, partitions: int) -> DataFrame:
@@ -317,8 +321,7 @@ def links(docs: DataFrame, classes: DataFrame, percent: int, miss: float) -> tup
         pairs = pairs_across(members, comps, n_comps, classes, percent, least_chance)
         extra, n_extra = cut_counted(confirmed(pairs, docs, classes, percent))
         if n_extra:
-            edges = edges.unionByName(extra)
-            comps, n_comps = connected(edges)
+            comps, n_comps = connected(comps.select(F.col("node").alias("a"), F.col("comp").alias("b")).unionByName(extra))
     return comps, n_comps
 
 

@@ -133,6 +133,28 @@ def test_components_of_a_path(spark):
     assert n == 201 and {r["comp"] for r in found.collect()} == {0}
 
 
+def test_components_of_few_edges_write_few_parts(spark, monkeypatch):
+    written = []
+
+    def counting(df, *args, cut=near_dedup.cut_counted):
+        written.append(cut(df, *args))
+        return written[-1]
+
+    monkeypatch.setattr(near_dedup, "cut_counted", counting)
+    settings = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {key: spark.conf.get(key) for key in settings}
+    try:
+        for key, value in settings.items():
+            spark.conf.set(key, value)
+        edges = spark.createDataFrame([(i, 1000 + i % 300) for i in range(600) if i % 300], "a long, b long")
+        found, n = near_dedup.connected(edges)
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+    assert n == 897 and found.select("comp").distinct().count() == 299
+    assert max(len(df.inputFiles()) for df, _ in written[1:]) <= 8
+
+
 # 2. Lines
 
 
