@@ -58,7 +58,7 @@ def path_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _imports(lang: str | None, by_alias: bool = False) -> Query:
     def query(spark, sf_dir):
         sources, listing, packages, aliases = corpus(spark, sf_dir, lang, by_alias)
-        return resolve.dependency_edges(sources, listing, packages, aliases)
+        return resolve.dependency_edges(sources, listing, packages, aliases, [lang] if lang else None)
 
     return query
 

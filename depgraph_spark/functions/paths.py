@@ -51,7 +51,8 @@ def normalize_path(path: Column) -> Column:
 
 def dirname(path: Column) -> Column:
     """Directory part, '' for a file in the root."""
-    return F.regexp_replace(path, r"/?[^/]*\z", "")
+    above = F.length(path) - F.length(basename(path)) - 1
+    return F.substring(path, F.lit(1), F.greatest(above, F.lit(0)))
 
 
 def basename(path: Column) -> Column:
@@ -67,9 +68,25 @@ def join_path(folder: Column, rest: Column) -> Column:
     return F.when(folder == "", rest).otherwise(F.concat(folder, F.lit("/"), rest))
 
 
+def _plain(path: Column) -> Column:
+    """No segment is empty or begins with a dot, so nothing is dropped from the path."""
+    odd = path.contains("//") | path.contains("/.") | path.startswith("/") | path.startswith(".") | path.endswith("/")
+    return ~odd & (path != "")
+
+
 def resolve_under(folder: Column, rest: Column) -> Column:
-    """Normalized relative path of ``rest`` seen from ``folder`` ('' is the root)."""
-    return _shortened(F.concat(folder, F.lit("/"), rest))
+    """Normalized relative path of ``rest`` seen from ``folder`` ('' is the root).
+
+    A plain path below a plain folder, or below the one above it, takes no pattern.
+    """
+    above = F.substring(folder, F.lit(1), F.length(folder) - F.length(basename(folder)))
+    beside = F.substring(rest, F.lit(4), F.length(rest))
+    joined = F.concat(folder, F.lit("/"), rest)
+    return (
+        F.when(_plain(joined), joined)
+        .when(rest.startswith("../") & _plain(folder) & _plain(beside), F.concat(above, beside))
+        .otherwise(_shortened(joined))
+    )
 
 
 def parent_dirs(path: Column) -> Column:

@@ -20,12 +20,14 @@ from ..functions.paths import dirname, resolve_under
 # Blank characters that the line rules trim and match.
 _WIDE = [0x00A0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF]
 BLANKS = "\t\n\x0b\x0c\r " + "".join(chr(c) for c in _WIDE)
-_BLANK_CLASS = r"\t\n\x0B\f\r " + "".join(f"\\u{c:04X}" for c in _WIDE)
+_WIDE_CLASS = "".join(f"\\u{c:04X}" for c in _WIDE)
+_BLANK_CLASS = r"\t\n\x0B\f\r " + _WIDE_CLASS
+_SEPARATORS = r"\u2028\u2029"
 S = f"[{_BLANK_CLASS}]"
 GAP = S.replace(r"\n", "")
 TEXT = f"[^{_BLANK_CLASS}]"
 NS = f"[^{_BLANK_CLASS}]"
-ANY = r"[^\n\r\u2028\u2029]"
+ANY = rf"[^\n\r{_SEPARATORS}]"
 QUOTE = r"""['"]"""
 
 
@@ -58,7 +60,12 @@ def trim_line(line: Column) -> Column:
 
 
 def _found(line: Column, pattern: str) -> Column:
-    return F.regexp_extract(line, pattern, 1)
+    """Group 1 of a pattern. Characters beyond ASCII, which make classes slow, are left out where a line has none."""
+    narrow = pattern.replace(_WIDE_CLASS, "").replace(_SEPARATORS, "")
+    if narrow == pattern:
+        return F.regexp_extract(line, pattern, 1)
+    ascii_only = F.length(line) == F.octet_length(line)
+    return F.when(ascii_only, F.regexp_extract(line, narrow, 1)).otherwise(F.regexp_extract(line, pattern, 1))
 
 
 def _first(*found: Column) -> Column:

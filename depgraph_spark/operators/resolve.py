@@ -61,10 +61,11 @@ def import_stems(
     dirs: DataFrame,
     packages: DataFrame | None = None,
     aliases: DataFrame | None = None,
+    langs: list[str] | None = None,
 ) -> DataFrame:
     """``(repo, path, lang, source_dir, import_no, spec, ord, stem)``: where each specifier may point, best first.
 
-    Only files below a source folder of their language take part. This is the table to keep beside the edges for
+    ``langs`` names the languages of ``specs``, all registered ones by default. Only files below a source folder of their language take part. This is the table to keep beside the edges for
     incremental updates: a changed file touches exactly the specifiers whose stem it can answer to.
     """
     placed = specs.join(dirs, ["repo", "lang"]).where(
@@ -77,15 +78,16 @@ def import_stems(
     package = F.coalesce("package", F.when(F.col("lang") != "go", F.col("repo")).otherwise(F.lit("")))
     cols = ["repo", "path", "lang", "source_dir", "import_no", "spec"]
     stems = _once(
-        "bases",
+        f"bases {','.join(langs or ['*'])}",
         lambda: _by_lang(
             F.col("lang"),
             lambda k: k.bases(F.col("spec"), F.col("path"), F.col("source_dir"), package),
             F.array().cast("array<string>"),
+            langs,
         ),
     )
     order = F.struct(F.lit(0).cast("bigint").alias("first"), F.col("pos").cast("bigint").alias("second"))
-    if aliases is not None:
+    if aliases is not None and any(k.aliases and (langs is None or k.id in langs) for k in languages()):
         # A name that starts with an alias is looked up below the alias targets; joined on, so texts are read once.
         named = aliases.select(F.col("repo").alias("alias_repo"), F.col("ord").alias("alias_ord"), "prefix", "target_ord", "target")
         aliased = F.col("lang").isin([k.id for k in languages() if k.aliases]) & ~F.col("spec").startswith(".")
@@ -121,15 +123,17 @@ def answered_stems(path: Column, suffixes: tuple[str, ...]) -> Column:
     return F.array_compact(F.array(*out))
 
 
-def path_stems() -> Column:
+def path_stems(langs: list[str] | None = None) -> Column:
     """``language_stems`` of the columns ``path`` and ``lang``."""
-    return _once("stems", lambda: language_stems(F.col("path"), F.col("lang")))
+    return _once(f"stems {','.join(langs or ['*'])}", lambda: language_stems(F.col("path"), F.col("lang"), langs))
 
 
-def language_stems(path: Column, lang: Column) -> Column:
-    """Array of ``(rank, stem)`` that the file ``path`` answers to in the language ``lang``."""
+def language_stems(path: Column, lang: Column, langs: list[str] | None = None) -> Column:
+    """Array of ``(rank, stem)`` that the file ``path`` answers to in the language ``lang``, one of ``langs``."""
     out = F.array().cast("array<struct<rank:int,stem:string>>")
     for k in languages():
+        if langs is not None and k.id not in langs:
+            continue
         if k.to_directory:
             above = F.transform(parent_dirs(path), lambda d: F.struct(F.lit(0).alias("rank"), d.alias("stem")))
             stems = F.when(is_source(path, k), above).otherwise(F.array().cast("array<struct<rank:int,stem:string>>"))
@@ -139,19 +143,25 @@ def language_stems(path: Column, lang: Column) -> Column:
     return out
 
 
-def resolution_index(files: DataFrame, langs: DataFrame, strict_dir_shadow: bool = False) -> DataFrame:
+def resolution_index(
+    files: DataFrame, langs: DataFrame, strict_dir_shadow: bool = False, only: list[str] | None = None
+) -> DataFrame:
     """``(repo, lang, stem, dst, known)``: the file each stem resolves to, for every language of the repository.
 
+    ``only`` leaves out all languages but those named.
+
     ``files(repo, path[, known])``; an existing file that is no graph file still wins its stem, with known = false.
     ``strict_dir_shadow`` lets a folder win over files of a lower rank where a bare stem is tried first. Languages that
     import folders get every file of theirs below the folder.
     """
     if "known" not in files.columns:
         files = files.withColumn("known", F.lit(True))
+    if only is not None:
+        langs = langs.where(F.col("lang").isin(only))
     pairs = files.select("repo", "path", "known").join(langs.select("repo", "lang").distinct(), "repo")
     # A folder import keeps every file of the language below it: there the file itself is part of the key.
     spread = [k.id for k in languages() if k.to_directory]
-    keys = pairs.select("repo", "lang", "path", "known", F.explode(path_stems()).alias("a"))
+    keys = pairs.select("repo", "lang", "path", "known", F.explode(path_stems(only)).alias("a"))
     keys = keys.select("repo", "lang", "path", "known", "a.rank", "a.stem")
     if strict_dir_shadow:
         bare_first = [k.id for k in languages() if len(k.suffixes) > 1 and k.suffixes[0] == ""]
@@ -203,12 +213,13 @@ def dependency_edges(
 
     The source folders, a few rows per repository, are written first: three joins use them, with their size known.
 
-    ``listing(repo, path)`` is every file of the repositories (manifests included); the texts by default.
+    ``listing(repo, path)`` is every file of the repositories (manifests included); the texts by default. ``langs`` limits
+    the edges to imports in these languages; then only their expressions are part of the job.
     """
     listing = source_files.select("repo", "path") if listing is None else listing.select("repo", "path")
     dirs = cut(source_dirs(listing))
     members = graph_files(listing, dirs).select("repo", "path").distinct().withColumn("known", F.lit(True))
     files = listing.join(members, ["repo", "path"], "left").withColumn("known", F.coalesce("known", F.lit(False)))
-    stems = import_stems(specifiers(source_files, langs), dirs, packages, aliases)
-    index = resolution_index(files, dirs, strict_dir_shadow)
+    stems = import_stems(specifiers(source_files, langs), dirs, packages, aliases, langs)
+    index = resolution_index(files, dirs, strict_dir_shadow, langs)
     return count_edges(resolve_imports(stems, index))

@@ -3,7 +3,9 @@
 import pytest
 from pyspark.sql import functions as F
 
+from depgraph_spark.functions import paths
 from depgraph_spark.operators import languages as langs
+from depgraph_spark.operators import resolve
 from depgraph_spark.operators.languages import Language, lines_starting, register_language, unregister_language
 from depgraph_spark.operators.resolve import (
     dependency_edges,
@@ -302,3 +304,24 @@ def test_language_ids_are_taken_once():
     with pytest.raises(ValueError):
         langs.register_language(langs.language("go"))
     assert langs.languages() == before
+
+
+def test_paths_without_odd_segments_resolve_as_the_others(spark):
+    folders = ["", "a", "a/b", "./a", "a//b", ".a/b", "a/b/", "..", "a/.."]
+    rests = ["", "x", "x/y.rb", "../x", "../x/y", "../../x", "..", "../", "./x", "x/", "x//y", "x/../y", ".x", "..x", "../.x", "/x", "../../../x"]
+    pairs = spark.createDataFrame([(f, r) for f in folders for r in rests], "f string, r string")
+    f, r = F.col("f"), F.col("r")
+    rows = pairs.select("f", "r", paths.resolve_under(f, r).alias("got"), paths._shortened(F.concat(f, F.lit("/"), r)).alias("want"))
+    assert [row for row in rows.collect() if row["got"] != row["want"]] == []
+    names = spark.createDataFrame([(p,) for p in ["", "a", "/a", "a/b", "a/b/", "a//b", "é/ü.rb"]], "p string")
+    assert [x["d"] for x in names.select(paths.dirname(F.col("p")).alias("d")).collect()] == ["", "", "", "a", "a/b", "a/", "é"]
+
+
+def test_edges_of_one_language_hold_its_expressions_alone(spark):
+    wide = "require_relative　'../b/é'\nrequire_relative 'c d'\nrequire_relative '../b/x'"
+    rows = [("r", "Gemfile", ""), ("r", "a/m.rb", wide), ("r", "b/é.rb", ""), ("r", "b/x.rb", ""), ("r", "a/c.rb", "")]
+    texts = spark.createDataFrame(rows, "repo string, path string, content string")
+    edges = resolve.dependency_edges(texts, langs=["ruby"])
+    assert {(e["src"], e["dst"]) for e in edges.collect()} == {("a/m.rb", "b/é.rb"), ("a/m.rb", "b/x.rb")}
+    plan = edges._jdf.queryExecution().optimizedPlan().toString()
+    assert "require_relative" in plan and "package:" not in plan and "= dart)" not in plan
