@@ -99,3 +99,34 @@ def test_scanned_files_grow_with_blocks_of_documents(spark, tmp_path, monkeypatc
     got = catalog.all_queries()["scan_source_files"](spark, str(tmp_path)).select("doc_id", "content").collect()
     assert sorted(map(tuple, got)) == [(i, (text or "") + "\n") for i, text, _ in rows]
     assert scanned[0].count() <= len(texts) / catalog.DOCS_PER_FILE + 2 * spark.sparkContext.defaultParallelism
+
+
+def test_import_rules_run_outside_generators(spark):
+    """Spark interprets what stands inside a generator, if any part of it has no generated code."""
+    texts = spark.createDataFrame([("r", "src/a.py", "import b\n"), ("r", "go.mod", "module m\n")], "repo string, path string, content string")
+    dirs = catalog.scans.source_dirs(texts)
+    specs = catalog.resolve.specifiers(texts)
+    steps = [
+        catalog.scans.discover_files(texts), dirs, specs,
+        catalog.resolve.import_stems(specs, dirs), catalog.resolve.resolution_index(texts.select("repo", "path"), dirs),
+    ]
+    for step in steps:
+        plan = step._jdf.queryExecution().optimizedPlan().toString().splitlines()
+        made = [line.split("Generate ", 1)[1] for line in plan if "Generate " in line]
+        assert made and all(line.startswith(("explode(_items#", "posexplode(_items#")) for line in made)
+
+
+def test_paths_that_tell_the_same_are_one_row_before_folders_are_listed(spark):
+    rows = [("r", f"{top}f{i}{end}") for top in ("src/", "lib/x/", ".h/", "a/dist/", "") for i in range(50) for end in (".py", ".rs")]
+    marks = [("r", "setup.py"), ("r", "Cargo.toml"), ("r", "sub/pubspec.yaml")]
+    found = catalog.scans.source_dirs(spark.createDataFrame(rows + marks, "repo string, path string"))
+    want = {("r", "python", "src"), ("r", "python", "lib"), ("r", "python", ""), ("r", "rust", "src")}
+    assert sorted(map(tuple, found.select("repo", "lang", "source_dir").collect())) == sorted(want)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "array_remove(transform" not in plan and "exists(slice" not in plan
+
+
+def test_texts_are_laid_out_as_numbers(spark):
+    plan = fx._render(spark, SF_DIR, None, False)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(n#" in plan
+    assert not any(f"hashpartitioning({column}#" in plan for column in ("repo", "name", "src_name"))
