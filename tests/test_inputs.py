@@ -130,3 +130,26 @@ def test_texts_are_laid_out_as_numbers(spark):
     plan = fx._render(spark, SF_DIR, None, False)._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning(n#" in plan
     assert not any(f"hashpartitioning({column}#" in plan for column in ("repo", "name", "src_name"))
+
+
+def test_difference_of_versions_is_computed_once(spark):
+    names = "repo string, src string, dst string, n_refs bigint"
+    old = spark.createDataFrame([("r", "a", "b", 1), ("r", "b", "a", 1), ("r", "c", "d", 1)], names)
+    new = spark.createDataFrame([("r", "a", "b", 1), ("r", "b", "c", 1), ("r", "c", "d", 1), ("r", "d", "b", 1)], names)
+    files = spark.createDataFrame([("r", p) for p in "abcd"], "repo string, path string")
+    graph, seen = catalog.DependencyGraph(files, old), spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    diff = catalog.incremental.edge_diff(old, new)
+    n, diff = diff.count(), diff.mapInArrow(counted, diff.schema)
+    comps = catalog.dynamic.updated_components(graph.components(), files, new, diff)
+    assert sorted(map(tuple, comps.collect())) == [("r", "a", "a"), ("r", "b", "b"), ("r", "c", "b"), ("r", "d", "b")]
+    assert seen.value == n == 3
+    ranks = catalog.rank.updated_pagerank(catalog.rank.pagerank_state(graph), files, new, diff)[1].collect()
+    want = catalog.rank.pagerank(catalog.DependencyGraph(files, new)).collect()
+    assert {r["path"]: r["pagerank"] for r in ranks} == pytest.approx({r["path"]: r["pagerank"] for r in want}, abs=1e-8)
+    assert seen.value == 2 * n
