@@ -239,14 +239,17 @@ def refresh_graph(
     packages: DataFrame | None = None,
     aliases: DataFrame | None = None,
 ) -> DataFrame:
-    """Rebuild everything from the texts, replace the stored graph below ``path``, and return its counts."""
+    """Rebuild everything from the texts, replace the stored graph below ``path``, and return its counts.
+
+    Components are found from the edges before these are stored, so the edges are written once first, not resolved twice.
+    """
     from ..sources.graph_store import read_graph, write_graph
     from ..sources.listing import detect_languages, graph_files
     from .graph import graph_stats
     from .resolve import dependency_edges
 
-    files = graph_files(listing).select("repo", "path", "lang").distinct()
-    edges = dependency_edges(source_files, listing, packages, aliases)
+    files = cut(graph_files(listing).select("repo", "path", "lang").distinct())
+    edges = cut(dependency_edges(source_files, listing, packages, aliases))
     write_graph(DependencyGraph(files, edges), path, mode="overwrite")
     stored = read_graph(source_files.sparkSession, path)
     return graph_stats(stored.files, stored.edges, stored.components(), detect_languages(listing))

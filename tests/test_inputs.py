@@ -153,3 +153,19 @@ def test_difference_of_versions_is_computed_once(spark):
     want = catalog.rank.pagerank(catalog.DependencyGraph(files, new)).collect()
     assert {r["path"]: r["pagerank"] for r in ranks} == pytest.approx({r["path"]: r["pagerank"] for r in want}, abs=1e-8)
     assert seen.value == 2 * n
+
+
+def test_refresh_reads_texts_once(spark, tmp_path):
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    rows = [("r", "lib/a.rb", "require_relative 'b'\n"), ("r", "lib/b.rb", ""), ("r", "Gemfile", "")]
+    texts = spark.createDataFrame(rows, "repo string, path string, content string")
+    listing = texts.select("repo", "path")
+    got = catalog.incremental.refresh_graph(texts.mapInArrow(counted, texts.schema), listing, str(tmp_path / "g"))
+    assert [(r["files"], r["edges"], r["components"]) for r in got.collect()] == [(2, 1, 2)]
+    assert seen.value == len(rows)
